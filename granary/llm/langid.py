@@ -13,8 +13,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 
@@ -108,6 +109,8 @@ def _grams(data: np.ndarray, order: int) -> np.ndarray:
 def fit_counts(counts: pd.DataFrame, order: int = ORDER) -> Model:
     """counts: lang, gram (order + 1 bytes), n; one row a pair."""
     langs = sorted(counts["lang"].unique().tolist(), key=lambda x: [ord(c) for c in x])
+    if not langs:
+        return Model([], [], [])
     lower: Table | None = None
     costs, escapes = [], []
     for k in range(order + 1):
@@ -132,11 +135,8 @@ def fit_counts(counts: pd.DataFrame, order: int = ORDER) -> Model:
 def train(docs: DataFrame, learn: Column, order: int = ORDER, max_docs: int = MAX_DOCS) -> Model:
     """Learn from rows of docs for which `learn` holds, with a text and a lang: of each language up to `max_docs` whole texts.
 
-    Chosen are rows by number alone (id and lang); grams of their texts are counted on the executors, and the driver gets the counts: their number is bounded by
+    Rows are chosen by id and lang alone (rows without an id are not, rows that share both come together); grams of their texts are counted on the executors, and the driver gets the counts: their number is bounded by
     the sample, whatever the size of docs."""
-    from pyspark.sql import Window
-
-    spark = docs.sparkSession
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.select("doc_id", "lang").withColumn("_r", rank).filter(F.col("_r") <= max_docs).select("doc_id", "lang").distinct()
@@ -155,9 +155,7 @@ def train(docs: DataFrame, learn: Column, order: int = ORDER, max_docs: int = MA
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = counts.toArrow().to_pandas() if hasattr(counts, "toArrow") else counts.toPandas()
-    del spark
-    return fit_counts(rows, order)
+    return fit_counts(counts.toArrow().to_pandas(), order)
 
 
 def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",), order: int = ORDER) -> DataFrame:
@@ -166,7 +164,7 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",
     Returns the columns given, lang_pred (the language of the shortest code, ties to the first by code point; `und` if the text is null or has no letter, or nothing was
     learned), score (its posterior probability with all languages equally likely before; 0 for und) and bits_per_byte (of the shortest code; null for und)."""
     spark, n = docs.sparkSession, len(columns)
-    schema = docs.select(*columns).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0).cast("double")}).schema
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,7 +64,7 @@ def test_table():
 
 
 def test_code_lengths_are_those_of_the_trees(rows):
-    own = [r for r in rows.collect() if r.text is not None and r.lang is not None]
+    own = [r for r in rows.collect() if r.text is not None and r.lang is not None and r.doc_id is not None]
     model = train(rows, F.lit(True), ORDER)
     assert model.langs == ["aa", "bb", "cc"]
     trees = {lang: tree([r.text for r in own if r.lang == lang]) for lang in model.langs}
