@@ -133,8 +133,9 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) ->
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(near_links(distinct.select("fp")), "a", "b")
     rooted = materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named, "fp")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     work = docs.withColumn("_row", row_key(docs, "doc_id", "text"))
     grouped = materialise(near_duplicates(work, ("doc_id", "_row")).select("doc_id", "_row", "root"), "grouped")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    firsts = grouped.groupBy("root").agg(F.min(rank).alias("first"))
+    firsts = materialise(grouped.groupBy("root").agg(F.min(rank).alias("first")), "firsts")
     dropped = materialise(grouped.join(firsts, "root").filter(F.col("_row") != F.col("first.r")).select("_row").distinct(), "dropped")
     if work.groupBy("_row").count().filter("count > 1").limit(1).count():
         work = work.dropDuplicates(["_row"])
