@@ -51,7 +51,7 @@ def shard(docs: DataFrame, dimensions: Mapping[str, Column], shards: int = 8, la
     """Put every row of docs into one of `shards` runs of the Hilbert curve.
 
     dimensions: numeric columns by name, null counting as least. Each is quantised to 2**bits even steps between its least and greatest value (one
-    aggregation), so that the same table always gives the same cells. Rows are sorted by curve index, ties by content, and the order is cut into runs: by `rows` (counts
+    aggregation), so that the same table always gives the same cells. Rows are sorted by curve index, ties by text, so that copies lie together, and by id, and the order is cut into runs: by `rows` (counts
     differ by one at most) or by `bytes` (a row goes to the run in which its middle byte falls).
 
     Returns doc_id, the columns `keep`, size (UTF-8 bytes of the text, null: 0, plus 1), text_crc32, the cell of each dimension, curve, place (long, the row's
@@ -72,8 +72,7 @@ def shard(docs: DataFrame, dimensions: Mapping[str, Column], shards: int = 8, la
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cells], axis=1), bits))
 
     base = base.withColumn("curve", curve(*names))
-    tie = F.xxhash64("doc_id", "text_crc32", "size")
-    placed = with_global_index(base, [F.col("curve"), tie, F.col("doc_id"), F.col("text_crc32")], "place")
+    placed = with_global_index(base, [F.col("curve"), F.col("text_crc32"), F.col("size"), F.col("doc_id")], "place")
     if law == "rows":
         n = placed.count()
         small, extra = divmod(n, shards)
