@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_CLUSTERS = 5
-#: Clusters up to which a resampling is made: each repetition draws as many as there are.
-MOST_CLUSTERS = 100_000
+#: Clusters (three numbers each) that are broadcast at most.
+BROADCAST_CLUSTERS = 500_000
 
 
 def draw(repetition: Column, slot: Column, n: Column, seed: int) -> Column:
@@ -16,15 +16,21 @@ def draw(repetition: Column, slot: Column, n: Column, seed: int) -> Column:
     return F.pmod(head, n)
 
 
-def _resampled(units: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """units: g (from 0 to n - 1), total, size. b, estimate: of each repetition the drawn totals over the drawn sizes."""
-    spark = units.sparkSession
-    n = units.count()
-    if n > MOST_CLUSTERS:
-        raise ValueError(f"{n} clusters; a bootstrap draws them anew in each repetition and takes {MOST_CLUSTERS} at most")
-    slots = spark.range(iterations).withColumnRenamed("id", "b").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = slots.select("b", draw(F.col("b"), F.col("slot"), F.lit(n).cast("long"), seed).alias("g"))
-    return drawn.join(F.broadcast(units), "g").groupBy("b").agg((F.sum("total") / F.sum("size")).alias("estimate"))
+def _numbered(per: DataFrame) -> DataFrame:
+    """Clusters c with totals and sizes, numbered from 0 in the order of the hash of their name: places within 4096 ranges of the hash, plus the counts of the ranges before."""
+    work = per.withColumn("_k", F.sha2("c", 256)).withColumn("_b", F.substring("_k", 1, 3))
+    sums = work.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sums.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_k", "c")) + F.col("_s") - 1
+    return work.join(F.broadcast(starts), "_b").select(place.cast("long").alias("g"), "total", "size")
+
+
+def _resampled(units: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
+    """units: g (from 0 to n - 1), total, size. b, estimate: of each repetition the drawn totals over the drawn sizes. Draws are a range of numbers, so any number of them is dealt out evenly;
+    each is looked up in the units, which are broadcast up to BROADCAST_CLUSTERS, and added up before anything is shuffled again."""
+    draws = units.sparkSession.range(n * iterations).select(F.floor(F.col("id") / F.lit(n)).alias("b"), (F.col("id") % n).alias("slot"))
+    drawn = draws.select("b", draw(F.col("b"), F.col("slot"), F.lit(n).cast("long"), seed).alias("g"))
+    return drawn.join(F.broadcast(units) if n <= BROADCAST_CLUSTERS else units, "g").groupBy("b").agg((F.sum("total") / F.sum("size")).alias("estimate"))
 
 
 def _interval(estimates: DataFrame, iterations: int) -> DataFrame:
@@ -45,8 +51,7 @@ def cluster_bootstrap(records: DataFrame, value: Column, cluster: str, iteration
     if known.clusters < min_clusters or known.unnamed:
         nothing = F.lit(None).cast("double")
         return head.drop("unnamed").withColumn("estimable", F.lit(False)).withColumn("ci_low", nothing).withColumn("ci_high", nothing).withColumn("p_value", nothing).withColumn("significant", F.lit(None).cast("boolean"))
-    units = per.withColumn("g", F.row_number().over(Window.orderBy("c")).cast("long") - 1).select("g", "total", "size")
-    found = _interval(_resampled(units, iterations, seed), iterations)
+    found = _interval(_resampled(_numbered(per), known.clusters, iterations, seed), iterations)
     p = F.least(F.lit(1.0), 2 * F.when(F.col("observed") >= 0, F.col("below")).otherwise(F.col("above")) / iterations)
     out = head.drop("unnamed").crossJoin(found).withColumn("p_value", p).withColumn("significant", p < 0.05).withColumn("estimable", F.lit(True))
     return out.select("n", "clusters", "observed", "estimable", "ci_low", "ci_high", "p_value", "significant")

@@ -584,7 +584,7 @@ def f26_top_1(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bootstrap_sql(cluster: str, value: str, source: str, b: int, seed: int = 42) -> str:
     draw = f"CAST('0x' || substr(sha256('{seed}:' || b || ':' || s), 1, 15) AS BIGINT) % n"
-    return f"""WITH {RECORDS}, u AS (SELECT row_number() OVER (ORDER BY c) - 1 AS g, t, z FROM (SELECT CAST({cluster} AS VARCHAR) AS c, sum({value}) AS t, count(*) AS z FROM {source} GROUP BY 1)), k AS (SELECT count(*) AS n FROM u),
+    return f"""WITH {RECORDS}, u AS (SELECT row_number() OVER (ORDER BY sha256(c), c) - 1 AS g, t, z FROM (SELECT CAST({cluster} AS VARCHAR) AS c, sum({value}) AS t, count(*) AS z FROM {source} GROUP BY 1)), k AS (SELECT count(*) AS n FROM u),
 d AS (SELECT b, {draw} AS g FROM range({b}) x(b), k, range(n) y(s)), e AS (SELECT b, sum(t) / sum(z) AS est FROM d JOIN u USING (g) GROUP BY b), r AS (SELECT est, row_number() OVER (ORDER BY est) - 1 AS i FROM e), o AS (SELECT sum(t) / sum(z) AS ob, sum(z) AS n, count(*) AS clusters FROM u)
 SELECT n::BIGINT AS n, clusters, round(ob, 6) AS observed, round(max(CASE WHEN i = {int(0.025 * b)} THEN est END), 6) AS ci_low, round(max(CASE WHEN i = {min(int(0.975 * b), b - 1)} THEN est END), 6) AS ci_high, least(1.0::DOUBLE, 2 * CASE WHEN ob >= 0 THEN count(*) FILTER (est <= 0) ELSE count(*) FILTER (est >= 0) END / {b}) AS p_value FROM r, o GROUP BY n, clusters, ob"""
 
@@ -596,10 +596,10 @@ def _boot(df: DataFrame) -> DataFrame:
     return df.select("n", "clusters", *six("observed", "ci_low", "ci_high"), "p_value")
 
 
-@query(_bootstrap_sql("example_id", "tuned - base", "(SELECT * FROM rec ORDER BY example_id LIMIT 500)", 200))
+@query(_bootstrap_sql("example_id", "tuned - base", "rec", 200))
 def r01_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Paired differences of the first 500 results by id, each drawn by itself."""
-    return _boot(B.paired_bootstrap(_arms(spark, sf).orderBy("example_id").limit(500), iterations=200))
+    """Paired differences, each drawn by itself."""
+    return _boot(B.paired_bootstrap(_arms(spark, sf), iterations=200))
 
 
 @query(_bootstrap_sql("group_id", "score", "rec", 200))
