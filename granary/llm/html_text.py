@@ -1,7 +1,7 @@
 """Main text of web pages by removing what a site repeats.
 
-Every page is parsed into its elements; the hashes of element subtrees are counted per host in Spark, and subtrees that recur across many pages of a host in
-different surroundings are its template. A second pass drops them, along with elements that by name never hold an article's text, and writes the blocks of the rest.
+Every page is parsed into its elements; the hashes of element subtrees are counted per host in Spark, and subtrees that recur across many distinct pages of a host in
+different surroundings are its template, unless the pages are near copies of each other. A last pass drops them, along with elements that by name never hold an article's text, and writes the blocks of the rest.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .common import BROADCAST_ROWS, materialise, row_key
 
 #: A subtree is template if it stands in at least so many different surroundings, and in this share of the host's pages.
 MIN_SURROUNDINGS, MIN_SHARE = 3, 0.01
+#: From so many distinct pages of a host on, what half of them have is template even where it makes up most of a page.
+COMMON_PAGES = 10
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math title".split())
@@ -38,6 +40,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*
 HINTED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 BLANK = re.compile(r"\s+")
+WORDY = re.compile(r"\w")
 
 
 class Node:
@@ -164,24 +167,61 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def subtrees(page: str) -> list[tuple[int, int]]:
-    """Hash of each element that may be template, and of its parent: elements with text outside the article, and those inside that are not prose."""
-    nodes = digest(parse(page))
-    article = article_of(nodes)
+def _in_sentence(node: Node) -> bool:
+    """Whether an inline element stands in prose, or in a block that has words of its own beside it."""
+    x = node.parent
+    while not any(isinstance(t, str) and WORDY.search(html.unescape(t)) for t in x.items):
+        if x.parent is None or x.tag in BLOCKS:
+            return x.tag in PROSE
+        x = x.parent
+    return True
+
+
+def removable(nodes: list[Node], article: Node | None) -> list[Node]:
+    """Elements that may be template, parents first: blocks with text outside the article, and those inside that are not prose; inline elements only where they are no part of a sentence."""
     inside = {id(article)} if article else set()
-    out = set()
+    out = []
     for node in nodes:
         if node.parent is not None and id(node.parent) in inside:
             inside.add(id(node))
-        if node.size and node.parent is not None and node is not article and node.tag not in ("html", "head", "body") and not (id(node) in inside and node.tag in PROSE):
-            out.add((_signed(node.digest), _signed(node.parent.digest)))
-    return sorted(out)
+        if not node.size or node.parent is None or node is article or node.tag in ("html", "head", "body"):
+            continue
+        if not (id(node) in inside and node.tag in PROSE) and (node.tag in BLOCKS or not _in_sentence(node)):
+            out.append(node)
+    return out
+
+
+def subtrees(page: str) -> list[tuple[int, int]]:
+    """Hash of each element that may be template, and of its parent."""
+    nodes = digest(parse(page))
+    return sorted({(_signed(node.digest), _signed(node.parent.digest)) for node in removable(nodes, article_of(nodes))})
+
+
+def near_copy(page: str, repeated: set[int]) -> bool:
+    """Whether subtrees that other pages repeat make up more than half of a page that has no article element: then they are a copied text rather than template."""
+    nodes = digest(parse(page))
+    if article_of(nodes):
+        return False
+    may = {id(node) for node in removable(nodes, None)}
+    total = covered = 0
+    stack = [(nodes[0], False)]
+    while stack:
+        node, within = stack.pop()
+        if hidden(node, False):
+            continue
+        within = within or (id(node) in may and _signed(node.digest) in repeated)
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        total += own
+        covered += own if within else 0
+        stack.extend((x, within) for x in node.items if isinstance(x, Node))
+    return 2 * covered > total
 
 
 def extract(page: str, template: set[int]) -> str:
     """Blocks of the article (of the page, if no element says where it is) without hidden elements and template subtrees, one a line."""
     nodes = digest(parse(page))
     article = article_of(nodes)
+    may = {id(node) for node in removable(nodes, article)} if template else set()
     blocks, line = [], []
 
     def flush() -> None:
@@ -199,7 +239,7 @@ def extract(page: str, template: set[int]) -> str:
         elif item.tag == "br":
             line.append(" ")
         else:
-            if item is not article and (hidden(item, inside) or (_signed(item.digest) in template and not (inside and item.tag in PROSE))):
+            if item is not article and (hidden(item, inside) or (id(item) in may and _signed(item.digest) in template)):
                 if item.tag in BLOCKS:
                     flush()
                 continue
@@ -212,26 +252,61 @@ def extract(page: str, template: set[int]) -> str:
     return "\n".join(blocks)
 
 
+def _recurring(seen: DataFrame, min_surroundings: int) -> DataFrame:
+    """seen: host, hash, page, lo, hi. The host, hash that stand in at least `min_surroundings` different parents with one parent a page taken, the least or the greatest: so on as many pages."""
+    sides = seen.select("host", "hash", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lo").alias("parent")), F.struct(F.lit(1).alias("side"), F.col("hi").alias("parent")))).alias("s"))
+    often = sides.select("host", "hash", "s.side", "s.parent").distinct().groupBy("host", "hash", "side").agg(F.count(F.lit(1)).alias("n"))
+    return often.filter(F.col("n") >= min_surroundings).select("host", "hash").distinct()
+
+
 def templates(pages: DataFrame, min_surroundings: int = MIN_SURROUNDINGS, min_share: float = MIN_SHARE) -> DataFrame:
-    """pages: key, host, html. Table in the shared folder of host, hash: subtrees found in at least `min_surroundings` different parents, and in that share of the host's pages. A copied
-    article repeats in equal surroundings, a template in different ones. Pages without a host have no template."""
+    """pages: key, host, html. Table in the shared folder of host, hash: subtrees found in at least `min_surroundings` different parents, each on a page of its own, and in that share of the
+    host's distinct pages. A copied article repeats in equal surroundings, a template in different ones; pages that mostly repeat others (near_copy) do not count, but for subtrees that
+    half of a host's pages have. Pages without a host have no template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, parents = [], [], []
+            hosts, hashes, parents, owners = [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for a, b in subtrees(page.as_py() or ""):
+                html = page.as_py() or ""
+                owner = _signed(xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")))
+                for a, b in subtrees(html):
                     hosts.append(host)
                     hashes.append(a)
                     parents.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(parents, pa.int64())], ["host", "hash", "parent"])
+                    owners.append(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (hashes, parents, owners))], ["host", "hash", "parent", "page"])
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, owners = [], []
+            for host, page, template in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                html = page.as_py() or ""
+                if near_copy(html, set(template.values.to_pylist())):
+                    hosts.append(host)
+                    owners.append(_signed(xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass"))))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(owners, pa.int64())], ["host", "page"])
 
     known = pages.filter("host <> ''")
-    seen = known.select("host", "html").mapInArrow(run, "host string, hash long, parent long")
-    often = seen.groupBy("host", "hash", "parent").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parents"))
-    often = often.filter(F.col("parents") >= min_surroundings)
-    sizes = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return materialise(often.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash"), "templates")
+    rows = known.select("host", "html").mapInArrow(run, "host string, hash long, parent long, page long")
+    seen = materialise(rows.groupBy("host", "hash", "page").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi")), "seen")
+    sizes = known.select("host", F.xxhash64("html")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    often = _recurring(seen, min_surroundings).join(counts, ["host", "hash"]).join(F.broadcast(sizes), "host")
+    often = materialise(often.filter(F.col("n") >= min_share * F.col("pages")).withColumn("common", (F.col("pages") >= COMMON_PAGES) & (2 * F.col("n") >= F.col("pages"))).select("host", "hash", "common"), "often")
+    rare = often.filter("not common").select("host", "hash")
+    with_rare, _ = _with_templates(known, rare)
+    near = materialise(with_rare.filter("template is not null").select("host", "html", "template").mapInArrow(copies, "host string, page long").distinct(), "near")
+    whole = _recurring(seen.join(rare, ["host", "hash"], "left_semi").join(near, ["host", "page"], "left_anti"), min_surroundings)
+    return materialise(often.filter("common").select("host", "hash").union(whole), "templates")
+
+
+def _with_templates(keyed: DataFrame, found: DataFrame) -> tuple[DataFrame, bool]:
+    """keyed with template: the hashes found of the page's host, where they are few enough to broadcast, else those that the page itself has (null for none); and which of the two."""
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        by_host = found.groupBy("host").agg(F.collect_list("hash").alias("template"))
+        return keyed.join(F.broadcast(by_host), "host", "left"), True
+    return keyed.join(_by_page(keyed, found), "key", "left"), False
 
 
 def main_text(pages: DataFrame, min_surroundings: int = MIN_SURROUNDINGS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -242,12 +317,7 @@ def main_text(pages: DataFrame, min_surroundings: int = MIN_SURROUNDINGS, min_sh
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     keyed = pages.select("page_id", "url", "html", row_key(pages, "page_id", "html").alias("key"), host.alias("host"))
     found = templates(keyed, min_surroundings, min_share)
-    by_name = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if by_name:
-        by_host = found.groupBy("host").agg(F.collect_list("hash").alias("template"))
-        work = keyed.join(F.broadcast(by_host), "host", "left")
-    else:
-        work = keyed.join(_by_page(keyed, found), "key", "left")
+    work, by_name = _with_templates(keyed, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, set[int]] = {}

@@ -73,3 +73,33 @@ def test_repeated_and_empty(spark):
     pages = site(spark)
     assert Counter(r.text for r in main_text(pages.union(pages)).collect()) == Counter([want(r.page_id) for r in pages.collect()] * 2)
     assert main_text(pages.filter("false")).collect() == []
+
+
+def texts(spark, pages):
+    rows = [(i, f"https://h.example/{i}", page) for i, page in enumerate(pages)]
+    return [r.text for r in sorted(main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect(), key=lambda r: r.page_id)]
+
+
+def test_inline_repeats_stay(spark):
+    """A word set off in several paragraphs of one page, or of several pages, is part of its sentences, with an article element and without."""
+    one = "<article>" + "".join(f"<p>Number {i} of <em>x</em> and <a href='/k'>a link</a>.</p>" for i in range(4)) + "</article>"
+    assert texts(spark, [one]) == ["\n".join(f"Number {i} of x and a link." for i in range(4))]
+    for a, b in (("<p>", "</p>"), ("<div>", "</div>")):
+        assert texts(spark, [f"<body>{a}Page {i} says <b>so</b> again.{b}</body>" for i in range(5)]) == [f"Page {i} says so again." for i in range(5)]
+
+
+def test_repeats_within_a_page_are_one_page(spark):
+    page = "<body>" + "".join(f"<div><p>Same.</p><p>Own {i}</p></div>" for i in range(4)) + "</body>"
+    assert texts(spark, [page] * 2) == ["\n".join(f"Same.\nOwn {i}" for i in range(4))] * 2
+
+
+def test_near_copies_without_article_stay(spark):
+    """Three near copies keep what they share, beside a bar that all pages of the host have."""
+    shared = [f"Paragraph {k} of the text that was copied, with one other changed." for k in range(4)]
+    near = [[*shared, f"The changed one {i}."] for i in range(3)]
+    page = lambda ps: "<body>" + "".join(f"<p>{p}</p>" for p in ps) + "</body>"
+    assert texts(spark, [page(ps) for ps in near]) == ["\n".join(ps) for ps in near]
+    bar = "<div><a href='/'>Start</a><a href='/n'>News</a></div>"
+    other = [[f"Another text {i}, " + f"of its own {i} " * 9] for i in range(12)]
+    got = texts(spark, [page(ps).replace("<body>", f"<body>{bar}") for ps in near + other])
+    assert got == ["\n".join(p.strip() for p in ps) for ps in near + other]
