@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialise, row_key
 
-#: A subtree is template if it stands in at least so many different surroundings, and in this share of the host's pages.
-MIN_SURROUNDINGS, MIN_SHARE = 3, 0.01
+#: A subtree is template if it stands in at least so many different surroundings, and in this share of the host's pages or, on a large host, on so many pages.
+MIN_SURROUNDINGS, MIN_SHARE, ENOUGH_PAGES = 3, 0.01, 10
 #: From so many distinct pages of a host on, what half of them have is template even where it makes up most of a page.
 COMMON_PAGES = 10
 
@@ -261,7 +261,7 @@ def _recurring(seen: DataFrame, min_surroundings: int) -> DataFrame:
 
 def templates(pages: DataFrame, min_surroundings: int = MIN_SURROUNDINGS, min_share: float = MIN_SHARE) -> DataFrame:
     """pages: key, host, html. Table in the shared folder of host, hash: subtrees found in at least `min_surroundings` different parents, each on a page of its own, and in that share of the
-    host's distinct pages. A copied article repeats in equal surroundings, a template in different ones; pages that mostly repeat others (near_copy) do not count, but for subtrees that
+    host's distinct pages or on ENOUGH_PAGES of them. A copied article repeats in equal surroundings, a template in different ones; pages that mostly repeat others (near_copy) do not count, but for subtrees that
     half of a host's pages have. Pages without a host have no template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +293,7 @@ def templates(pages: DataFrame, min_surroundings: int = MIN_SURROUNDINGS, min_sh
     sizes = known.select("host", F.xxhash64("html")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     often = _recurring(seen, min_surroundings).join(counts, ["host", "hash"]).join(F.broadcast(sizes), "host")
-    often = materialise(often.filter(F.col("n") >= min_share * F.col("pages")).withColumn("common", (F.col("pages") >= COMMON_PAGES) & (2 * F.col("n") >= F.col("pages"))).select("host", "hash", "common"), "often")
+    often = materialise(often.filter(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(float(ENOUGH_PAGES)))).withColumn("common", (F.col("pages") >= COMMON_PAGES) & (2 * F.col("n") >= F.col("pages"))).select("host", "hash", "common"), "often")
     rare = often.filter("not common").select("host", "hash")
     with_rare, _ = _with_templates(known, rare)
     near = materialise(with_rare.filter("template is not null").select("host", "html", "template").mapInArrow(copies, "host string, page long").distinct(), "near")

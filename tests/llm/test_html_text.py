@@ -103,3 +103,10 @@ def test_near_copies_without_article_stay(spark):
     other = [[f"Another text {i}, " + f"of its own {i} " * 9] for i in range(12)]
     got = texts(spark, [page(ps).replace("<body>", f"<body>{bar}") for ps in near + other])
     assert got == ["\n".join(p.strip() for p in ps) for ps in near + other]
+
+
+def test_menu_of_a_section_on_a_large_host(spark):
+    """A menu on 12 pages goes on a host of 1,500 pages as it does on a small one."""
+    menu = "<div>Section menu</div>"
+    pages = [f"<body>{menu if i < 12 else ''}<div>Text {i} is its own.</div></body>" for i in range(1500)]
+    assert texts(spark, pages) == [f"Text {i} is its own." for i in range(1500)]
