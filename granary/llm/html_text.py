@@ -30,6 +30,8 @@ DROPPED = frozenset("head nav aside footer form button select option label dialo
 HINTS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentary disqus replies share sharing social related recommended pagination pager toolbar widget widgets search skip complementary contentinfo".split()
 )
+#: Hints that hold however much text an element has.
+REMARKS = frozenset("comment comments commentary disqus replies".split())
 #: Elements that start and end a block of text.
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Blocks of prose: within an article they are its text even if other pages repeat them.
@@ -41,20 +43,33 @@ HINTED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 SPLIT = re.compile(r"[^a-z0-9]+")
 BLANK = re.compile(r"\s+")
 WORDY = re.compile(r"\w")
+#: The end of the attributes of a self-closing tag (in an unquoted value the slash belongs to the value).
+CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 
 
 class Node:
-    __slots__ = ("tag", "hint", "parent", "items", "digest", "size")
+    __slots__ = ("tag", "hint", "parent", "items", "digest", "size", "spared")
 
     def __init__(self, tag: str, hint: str, parent: Node | None) -> None:
         self.tag, self.hint, self.parent = tag, hint, parent
         self.items: list[Node | str] = []
-        self.digest, self.size = 0, 0
+        self.digest, self.size, self.spared = 0, 0, False
 
 
 def parse(page: str) -> Node:
     """A tree of elements and raw texts. Unclosed and misplaced tags are repaired the simple way: a block ends an open paragraph, an end tag closes what is open inside its
-    element, one without a start is ignored."""
+    element, one without a start is ignored. A self-closing svg or math is empty, and so is another raw element so written that has no end tag before the next of its kind; one
+    without an end tag ends with the first element around it that has one."""
+    lacking: set[str] = set()
+
+    def end_of(tag: str, at: int) -> re.Match | None:
+        if tag in lacking:
+            return None
+        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+        if not end:
+            lacking.add(tag)
+        return end
+
     root = here = Node("#root", "", None)
     at, n = 0, len(page)
     while at < n:
@@ -96,11 +111,17 @@ def parse(page: str) -> Node:
         node = Node(tag, hint, here)
         here.items.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            closed = CLOSED.search(attributes)
+            end = None if closed and tag in ("svg", "math") else end_of(tag, at)
+            if closed and end and re.compile(rf"<{re.escape(tag)}\b", re.I).search(page, at, end.start()):
+                end = None
             if end:
                 at = end.end()
-            elif tag != "title":
-                at = n
+            elif not closed and tag != "title":
+                x = here
+                while x is not root and not (end := end_of(x.tag, at)):
+                    x = x.parent
+                at = end.start() if end else n
         elif tag not in VOID and not attributes.endswith("/"):
             here = node
     return root
@@ -129,15 +150,31 @@ def digest(root: Node) -> list[Node]:
                 h.update(t.encode("utf-8", "surrogatepass"))
                 node.size += len(t)
         node.digest = h.intdigest()
+    _spare(nodes)
     return nodes
 
 
+def _spare(nodes: list[Node]) -> None:
+    """Mark forms and hinted elements with most of the text of the page, or of an article or main around them, that is not in elements dropped by their tags: what their names say is not
+    taken for their kind. Boxes of readers' remarks are not marked."""
+    shown: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        shown[id(node)] = 0 if node.tag in DROPPED and node.tag != "form" else own + sum(shown[id(x)] for x in node.items if isinstance(x, Node))
+    around = {id(nodes[0]): shown[id(nodes[0])]}
+    for node in nodes[1:]:
+        within = around[id(node.parent)]
+        size = shown[id(node)]
+        node.spared = 2 * size > within and (node.tag == "form" or node.hint != "") and REMARKS.isdisjoint(SPLIT.split(node.hint))
+        around[id(node)] = size if node.tag in ("article", "main") and size else within
+
+
 def hidden(node: Node, in_article: bool) -> bool:
-    if node.tag in DROPPED:
+    if node.tag in DROPPED and not (node.tag == "form" and node.spared):
         return True
     if node.tag == "header":
         return not in_article
-    if not node.hint or node.tag in ("html", "body", "main"):
+    if not node.hint or node.spared and node.tag != "article" or node.tag in ("html", "body", "main"):
         return False
     if node.tag == "article":
         return "comment" in node.hint
@@ -157,6 +194,23 @@ def article_of(nodes: list[Node]) -> Node | None:
     return best
 
 
+def articles_of(nodes: list[Node]) -> list[Node]:
+    """The element that holds the article, and the other articles of the page that are not hidden, in the order of the page; those within another come with it."""
+    best = article_of(nodes)
+    out: list[Node] = []
+    taken: set[int] = set()
+    for node in nodes if best else ():
+        if node is not best and (node.tag != "article" or not node.size or _within(best, node) or _within(node, best)):
+            continue
+        x = node
+        while x and not hidden(x, False) and id(x) not in taken:
+            x = x.parent
+        if x is None:
+            out.append(node)
+            taken.add(id(node))
+    return out
+
+
 def _within(node: Node, other: Node) -> bool:
     while node and node is not other:
         node = node.parent
@@ -177,14 +231,15 @@ def _in_sentence(node: Node) -> bool:
     return True
 
 
-def removable(nodes: list[Node], article: Node | None) -> list[Node]:
-    """Elements that may be template, parents first: blocks with text outside the article, and those inside that are not prose; inline elements only where they are no part of a sentence."""
-    inside = {id(article)} if article else set()
+def removable(nodes: list[Node], articles: list[Node]) -> list[Node]:
+    """Elements that may be template, parents first: blocks with text outside the articles, and those inside that are not prose; inline elements only where they are no part of a sentence."""
+    roots = {id(node) for node in articles}
+    inside = set(roots)
     out = []
     for node in nodes:
         if node.parent is not None and id(node.parent) in inside:
             inside.add(id(node))
-        if not node.size or node.parent is None or node is article or node.tag in ("html", "head", "body"):
+        if not node.size or node.parent is None or id(node) in roots or node.tag in ("html", "head", "body"):
             continue
         if not (id(node) in inside and node.tag in PROSE) and (node.tag in BLOCKS or not _in_sentence(node)):
             out.append(node)
@@ -194,7 +249,7 @@ def removable(nodes: list[Node], article: Node | None) -> list[Node]:
 def subtrees(page: str) -> list[tuple[int, int]]:
     """Hash of each element that may be template, and of its parent."""
     nodes = digest(parse(page))
-    return sorted({(_signed(node.digest), _signed(node.parent.digest)) for node in removable(nodes, article_of(nodes))})
+    return sorted({(_signed(node.digest), _signed(node.parent.digest)) for node in removable(nodes, articles_of(nodes))})
 
 
 def near_copy(page: str, repeated: set[int]) -> bool:
@@ -202,7 +257,7 @@ def near_copy(page: str, repeated: set[int]) -> bool:
     nodes = digest(parse(page))
     if article_of(nodes):
         return False
-    may = {id(node) for node in removable(nodes, None)}
+    may = {id(node) for node in removable(nodes, [])}
     total = covered = 0
     stack = [(nodes[0], False)]
     while stack:
@@ -218,10 +273,11 @@ def near_copy(page: str, repeated: set[int]) -> bool:
 
 
 def extract(page: str, template: set[int]) -> str:
-    """Blocks of the article (of the page, if no element says where it is) without hidden elements and template subtrees, one a line."""
+    """Blocks of the articles (of the page, if no element says where it is) without hidden elements and template subtrees, one a line."""
     nodes = digest(parse(page))
-    article = article_of(nodes)
-    may = {id(node) for node in removable(nodes, article)} if template else set()
+    articles = articles_of(nodes)
+    roots = {id(node) for node in articles}
+    may = {id(node) for node in removable(nodes, articles)} if template else set()
     blocks, line = [], []
 
     def flush() -> None:
@@ -229,7 +285,7 @@ def extract(page: str, template: set[int]) -> str:
             blocks.append(text)
         line.clear()
 
-    stack: list[tuple[object, bool]] = [(article or nodes[0], article is not None)]
+    stack: list[tuple[object, bool]] = [(x, bool(articles)) for x in reversed(articles or nodes[:1])]
     while stack:
         item, inside = stack.pop()
         if item is None:
@@ -239,7 +295,7 @@ def extract(page: str, template: set[int]) -> str:
         elif item.tag == "br":
             line.append(" ")
         else:
-            if item is not article and (hidden(item, inside) or (id(item) in may and _signed(item.digest) in template)):
+            if id(item) not in roots and (hidden(item, inside) or (id(item) in may and _signed(item.digest) in template)):
                 if item.tag in BLOCKS:
                     flush()
                 continue

@@ -110,3 +110,24 @@ def test_menu_of_a_section_on_a_large_host(spark):
     menu = "<div>Section menu</div>"
     pages = [f"<body>{menu if i < 12 else ''}<div>Text {i} is its own.</div></body>" for i in range(1500)]
     assert texts(spark, pages) == [f"Text {i} is its own." for i in range(1500)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><article><p>One <svg width='1'/>two <math/>three.</p></article>", "One two three."),
+        ("<body><iframe src='/x'/><script src='a.js'/><article><p>One.</p></article><script>x</script></body>", "One."),
+        ("<body><div><script>var x = 1;</div><article><p>One.</p></article></body>", "One."),
+        ("<body><textarea/><p>One.</p><textarea>q</textarea></body>", "One."),
+        ("<body><script src=/js/>no</script><p>One.</p></body>", "One."),
+        ("<body><div class='has-sidebar'><div class='sidebar'>x</div><article><p>The text.</p></article></div></body>", "The text."),
+        ("<body><form id='form1'><div class='with-search'><p>The text.</p></div></form></body>", "The text."),
+        ("<main><article><div class='no-sidebar'><p>The text.</p></div></article></main>", "The text."),
+        ("<main><article><p>First of two.</p></article><article><p>The second.</p></article></main>", "First of two.\nThe second."),
+        ("<article><p>First.</p></article><article class='comment'><p>A remark.</p></article><article><p>The second one.</p></article>", "First.\nThe second one."),
+        ("<article><p>x</p><div class='comments'><p>A long remark, longer than it.</p></div></article>", "x"),
+        ("<nav>" + "<a>link</a>" * 9 + "</nav><div class='related'>r</div><p>text</p>", "text"),
+    ],
+)
+def test_articles_are_whole(page, text):
+    assert extract(page, set()) == text
