@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextvars
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+import weakref
+from collections.abc import Callable, Sequence
+from urllib.parse import quote
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,9 +23,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset (one machine)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset a local session gets one of its own; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,20 +37,74 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that materialise() has written and that are still referred to, and the folders written inside of settled().
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: this cuts the lineage, and the rows outlive the executors that made them."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(quote(path, safe="/:@?&=%+,;~!*()'$"))
+
+
+def remove_folder(path: str) -> None:
+    fs, base = file_system(path)
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        fs.delete_dir(base)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of materialise() that no later read needs: those made from them are written."""
+    for t in tables:
+        if t is not None and (path := _paths.pop(t, None)):
+            remove_folder(path)
+
+
+def settled(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """materialise(make()); the tables that make() wrote on the way are deleted once its result is written."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        df = make()
+    finally:
+        _made.reset(token)
+    out = materialise(df, name)
+    for path in made:
+        remove_folder(path)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(docs: DataFrame, *parts: Column) -> DataFrame:
+    """One struct column `row` with all of docs' columns, and the columns `parts` of docs: no name of theirs can meet one of an operator. select("row.*") gives docs' columns back."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *parts)
+
+
+def row_key(*content: str | Column) -> list[Column]:
+    """Two longs k1 and k2, 128 bits together, that identify a row by content: two hashes of the columns given, started differently. Equal rows share them."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in content]
+    # a null adds nothing to a hash, so which columns are null is hashed as well
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in columns])
+    return [F.xxhash64(F.lit(1), nulls, *columns).alias("k1"), F.xxhash64(F.lit("second"), *reversed(columns), nulls).alias("k2")]
 
 
-def row_key(df: DataFrame, id_col: str, content: str) -> Column:
-    """A long that identifies each row by content: the id where ids are unique and not null, else a hash of id and content (equal rows then share it)."""
-    n, distinct, known = df.agg(F.count(F.lit(1)), F.countDistinct(id_col), F.count(id_col)).first()
-    if n == distinct == known and isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return F.col(id_col).cast("long")
-    return F.xxhash64(F.lit(1), F.col(id_col), F.lit(2), F.col(content))
+KEY = ["k1", "k2"]
 
 
 def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "left", salts: int = 16, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def components(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame, left: str, right: str, max_rounds: int = 60) ->
 
     A round of large-star links every larger neighbour of a node to the node's least neighbour, small-star every smaller one; both keep the components and the number of rounds grows with the logarithm of
     their size, also for long chains. Each round aggregates minima before it joins them back, so no neighbourhood is gathered in one place; its result is a
-    table in the shared folder. Rounds end when the links no longer change."""
+    table in the shared folder, which is deleted after the next. Rounds end when the links no longer change."""
     a, b = F.col(left), F.col(right)
     edges = materialise(links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     state = None
@@ -24,7 +24,8 @@ def components(links: DataFrame, left: str, right: str, max_rounds: int = 60) ->
         large = materialise(large, "large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = materialise(small, "small")
+        before, edges = edges, materialise(small, "small")
+        release(before, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

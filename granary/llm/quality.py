@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_small, materialise
+from .common import SPACE, boxed, join_small, materialise, quoted
 
 #: Words of a repeat window.
 WINDOW = 8
-#: A host is rejected if its shrunk rate of failure in any rule is above this.
+#: A host is rejected if its shrunk rate of failure in any rule is above this,
 MAX_HOST_RATE = 0.5
+#: or if it is, by so many standard deviations, above both so many times the corpus rate and this rate.
+TIMES, LEAST_RATE, SURE = 3.0, 0.15, 4.0
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -59,32 +61,34 @@ def _by_word(text: Column) -> Column:
 
 
 def measures(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) of a text. All are 0 for a null or empty text."""
+    """Struct of n_words, word_chars, n_symbols, n_lines (those with a word), n_dup_lines, n_repeat_words (all long) of a text. All are 0 for a null or empty text."""
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rest = [
         (F.length(whole) - F.regexp_count(whole, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
     ]
-    return let(_by_word(text), lambda m: F.struct(m["n"].alias("n_words"), *rest, m["r"].alias("n_repeat_words")))
+    whole = let(_by_word(text), lambda m: F.struct(m["n"].alias("n_words"), *rest, m["r"].alias("n_repeat_words")))
+    return let(whole, lambda m: F.struct(*[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols")], m["lines"]["n"].alias("n_lines"), m["lines"]["dup"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words")))
 
 
-#: Rules whose failures are counted per host: a document fails one by the condition. The first two make base_failed.
+#: Rules whose failures are counted per host: a document fails one by the condition. The first two make base_failed; n_lines is the number of lines with a word.
 RULES = {
     "few_words": "n_words < 20",
     "repeats": "100 * n_repeat_words > 30 * n_words",
     "symbols": "10 * n_symbols > 3 * word_chars",
-    "dup_lines": "2 * n_dup_lines > n_words",
+    "dup_lines": "10 * n_dup_lines > 3 * n_lines",
 }
 
 
-def host_verdicts(measured: DataFrame, host: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """measured: a row a document with `host` and a boolean column a rule of RULES. A row a host: n_docs, <rule>_rate (shrunk) and host_ok.
+def host_verdicts(measured: DataFrame, host: str, max_rate: float = MAX_HOST_RATE, times: float = TIMES, sure: float = SURE) -> DataFrame:
+    """measured: a row a document with `host` and a boolean column a rule of RULES. A row a host: n_docs, and for each rule <rule>_rate (shrunk) and <rule>_ok; host_ok (all of them).
 
     Prior: for each rule a beta distribution whose mean is the corpus rate m and whose strength s = m (1 - m) / v - 1, with v the variance of the hosts' rates
-    weighted by their documents less what binomial noise explains, held within 1 to 1e6 (1e6 also where the hosts do not differ). A host's rate is
-    (failures + s m) / (documents + s). A null host is a host like any other.
+    weighted by their documents less what binomial noise explains, held within 1 to 1e6 (1e6 also where the hosts do not differ). A host's posterior has the mean
+    (failures + s m) / (documents + s), its shrunk rate. A host fails a rule if that rate is above max_rate, or if the rate less `sure` standard deviations of the posterior is above
+    LEAST_RATE and above `times` the corpus rate: it then stands out of the corpus for certain. A null host is a host like any other.
     """
     counts = materialise(measured.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), *[F.count_if(F.col(r)).alias(r) for r in RULES]), "hosts")
     n = F.col("n_docs")
@@ -96,33 +100,41 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = MAX_HOST_RAT
         noise = mean * (1 - mean) * got["hosts"] / got["n"] if got["n"] else 0.0
         strength = min(1e6, max(1.0, mean * (1 - mean) / (spread - noise) - 1)) if spread - noise > 1e-12 else 1e6
         rate = (F.col(r) + F.lit(strength * mean)) / (n + F.lit(strength))
-        out = out.withColumn(f"{r}_rate", rate)
-        ok = ok & (rate <= F.lit(max_rate))
+        certain = rate - F.lit(sure) * F.sqrt(rate * (1 - rate) / (n + F.lit(strength + 1)))
+        out = out.withColumn(f"{r}_rate", rate).withColumn(f"{r}_ok", (rate <= F.lit(max_rate)) & (certain <= F.lit(max(LEAST_RATE, times * mean))))
+        ok = ok & F.col(f"{r}_ok")
     return out.withColumn("host_ok", ok).drop(*RULES)
 
 
-def quality(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE, keep: tuple[str, ...] = ()) -> DataFrame:
+def _host_key(host: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), host), F.lit("-"))
+
+
+def _failed() -> Column:
+    return F.col("few_words") | F.col("repeats")
+
+
+def quality(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = (), **limits: float) -> DataFrame:
     """Measure each document and judge it and its host.
 
     Returns a row per row of docs: doc_id, the columns `keep`, host, the measures, base_failed (the first two RULES), host_ok and kept (neither failed). A null or empty text fails by its words. A null host
-    is a host like any other; an empty table gives an empty result. Columns other than doc_id, text, host and `keep` are not read.
-    """
-    m = docs.select("doc_id", *keep, F.col(host).alias("host"), measures(F.col("text")).alias("_m")).select("doc_id", *keep, "host", "_m.*")
+    is a host like any other; repeated rows are documents of their own; an empty table gives an empty result. Columns other than doc_id, text, host and `keep` are not read, whatever their names."""
+    box = F.struct("doc_id", *[F.col(quoted(c)) for c in keep]).alias("row")
+    m = docs.select(box, F.col(quoted(host)).alias("host"), measures(F.col("text")).alias("_m")).select("row", "host", "_m.*")
     m = materialise(m.withColumns({r: F.expr(c) for r, c in RULES.items()}), "measured")
-    verdicts = materialise(host_verdicts(m, "host", max_rate).select(F.coalesce(F.concat(F.lit("s"), F.col("host")), F.lit("-")).alias("_host"), "host_ok"), "verdicts")
-    judged = join_small(m.withColumn("_host", F.coalesce(F.concat(F.lit("s"), F.col("host")), F.lit("-"))), verdicts, "_host").drop("_host")
-    failed = F.col("few_words") | F.col("repeats")
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("host_ok")).drop(*RULES)
-
-
-def filter_documents(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that quality() keeps, with docs' own columns.
-
-    Measures are computed in the scan that also gives the texts, so that no text is shuffled: a first pass counts failures per host, the second measures
-    again and drops what fails or lies on a rejected host."""
-    m = docs.select(F.col(host).alias("host"), measures(F.col("text")).alias("_m")).select("host", "_m.*").withColumns({r: F.expr(c) for r, c in RULES.items()})
-    verdicts = host_verdicts(m, "host", max_rate)
-    rejected = materialise(verdicts.filter(~F.col("host_ok")).select(F.coalesce(F.concat(F.lit("s"), F.col("host")), F.lit("-")).alias("_host")), "rejected")
-    own = docs.filter(let(_by_word(F.col("text")), lambda m: (m["n"] >= 20) & (100 * m["r"] <= 30 * m["n"])))
-    own = own.withColumn("_host", F.coalesce(F.concat(F.lit("s"), F.col(host)), F.lit("-")))
-    return join_small(own, rejected, "_host", "left_anti").select(*docs.columns)
+    verdicts = materialise(host_verdicts(m, "host", **limits).select(_host_key(F.col("host")).alias("_host"), "host_ok"), "verdicts")
+    judged = join_small(m.withColumn("_host", _host_key(F.col("host"))), verdicts, "_host").drop("_host")
+    return judged.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop(*RULES).select("row.*", *[c for c in judged.columns if c not in ("row", *RULES)], "base_failed", "kept")
+
+
+def filter_documents(docs: DataFrame, host: str = "source", **limits: float) -> DataFrame:
+    """The documents that quality() keeps, with docs' own columns, whatever their names.
+
+    Every text is measured once: the pass that counts failures per host also stores the documents that pass by themselves, and those whose host is rejected are left out of that table
+    by a join with the list of rejected hosts. Nulls, empty tables and repeated rows are treated as in quality()."""
+    m = boxed(docs, F.col(quoted(host)).alias("host"), measures(F.col("text")).alias("_m")).select("row", "host", "_m.*").withColumns({r: F.expr(c) for r, c in RULES.items()})
+    m = materialise(m.select(F.when(~_failed(), F.col("row")).alias("row"), "host", *RULES), "passed")
+    verdicts = host_verdicts(m.drop("row"), "host", **limits)
+    rejected = materialise(verdicts.filter(~F.col("host_ok")).select(_host_key(F.col("host")).alias("_host")), "rejected")
+    own = m.filter(~_failed()).select("row", _host_key(F.col("host")).alias("_host"))
+    return join_small(own, rejected, "_host", "left_anti").select("row.*")

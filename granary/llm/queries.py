@@ -22,9 +22,10 @@ def tokenizer_files() -> dict[str, str]:
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    dimensions = {"lang_cell": shard.name_number(F.col("lang")), "source_cell": shard.name_number(F.col("source")), "length_cell": F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1.0))}
-    out = shard.shard(docs, dimensions, shards=8, law="rows")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *dimensions, "curve")
+    names = {"lang_cell": F.col("lang"), "source_cell": F.col("source")}
+    numbers = {"length_cell": F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1.0))}
+    out = shard.shard(docs, names, numbers, shards=8, law="rows")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *names, *numbers, "curve")
 
 
 def op2_columns(packed: DataFrame) -> DataFrame:

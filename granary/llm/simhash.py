@@ -15,13 +15,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, materialise, row_key
+from .common import KEY, boxed, join_small, materialise, quoted, release, row_key, settled
 from .components import components
 
 #: Words of a shingle and seed of its hash.
 SHINGLE, SEED = 3, 42
 #: A half of which more distinct fingerprints than this share a variant is indexed by a quarter of the other half as well.
 HOT = 64
+#: Distinct fingerprints a task, so that their variants (66 each) are made by as many tasks as they need.
+BATCH = 20_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -73,17 +75,36 @@ def near_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
     A key holds which half it is of, its wild bit (or 32 for none) and the half with that bit cleared. Under an exact half the other half may differ in two
     bits, under a half with a wild bit (which one side has set and the other not) in one. A key that more than `hot` fingerprints share is made finer by a
-    variant of a quarter of the other half, by the same argument, so nothing is lost and no large group meets whole.
+    variant of a quarter of the other half, by the same argument; where more than `hot` share that as well, all but the last quarter is settled, and each fingerprint asks for those that are one or two bits
+    away in it. So nothing is lost and no large group meets whole.
     """
     halves = [_half(F.col("fp"), F.lit(h)) for h in (0, 1)]
     code = lambda h, j, x: _shift("shiftleft", F.lit(h * 33).cast("long") + j, F.lit(32)).bitwiseOR(x)
     exact = [code(h, F.lit(32), x) for h, x in enumerate(halves)]
     wild = [_wild(31, partial(code, h), x) for h, x in enumerate(halves)]
-    keyed = fps.select("fp", F.explode(F.concat(F.array(*exact), *wild)).alias("key"))
+    spark = fps.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), fps.count() // BATCH)
+    keyed = fps.select("fp").repartition(tasks, "fp").select("fp", F.explode(F.concat(F.array(*exact), *wild)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(_side(F.col("key"), F.col("fp"))).alias("n1"))
     meets = sizes.filter(F.when(_is_exact(F.col("key")), F.col("n") > 1).otherwise((F.col("n1") > 0) & (F.col("n1") < F.col("n"))))
     live = materialise(keyed.join(meets.select("key", (F.col("n") > hot).alias("hot")), "key"), "variants")
-    return _meet(live.filter("not hot"), ["key"]).union(_meet(_finer(live.filter("hot")), ["key", "key2"]))
+    finer = _finer(live.filter("hot"))
+    sizes = finer.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    finer = materialise(finer.join(sizes.select("key", "key2", (F.col("n") > hot).alias("crowded")), ["key", "key2"]), "finer")
+    return _meet(live.filter("not hot"), ["key"]).union(_meet(finer.filter("not crowded"), ["key", "key2"])).union(_ask(finer.filter("crowded")))
+
+
+def _ask(rows: DataFrame) -> DataFrame:
+    """Rows of key and key2: pairs found by equality with what each fingerprint asks for. Outside of the quarter that key2 leaves open they differ at most in the wild bits of the keys."""
+    other = 1 - F.floor(F.shiftright("key", 32) / 33)
+    last = 1 - F.floor(F.shiftright("key2", 16) / 17)
+    at = F.when(other == 0, F.lit(32)).otherwise(F.lit(0)) + F.when(last == 0, F.lit(16)).otherwise(F.lit(0))
+    quarter = _shift("shiftrightunsigned", F.col("fp"), at).bitwiseAND(0xFFFF)
+    masks = F.array(*[F.lit((1 << i) | (1 << j)) for i in range(16) for j in range(i, 16)], F.lit(0))
+    rows = rows.select("key", "key2", "fp", quarter.alias("q"))
+    asked = rows.select("key", "key2", F.col("fp").alias("a"), F.explode(F.transform(masks, lambda m: F.col("q").bitwiseXOR(m))).alias("q"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
+    return asked.join(rows.withColumnRenamed("fp", "b"), ["key", "key2", "q"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def _half(fp: Column, which: Column) -> Column:
@@ -123,31 +144,43 @@ def _meet(rows: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys).filter(apart & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
 
 
+def _named(prints: DataFrame) -> DataFrame:
+    """prints: doc_id, fp. A row a fingerprint: fp, root, component_id."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(near_links(distinct.select("fp")), "a", "b")
+    rooted = materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Group documents whose fingerprints are linked, directly or through others, at two or fewer differing bits.
 
     Returns a row per row of docs: the columns given, fp (long), root (a fingerprint that names the group), component_id
-    (smallest doc_id in the group; null ids count only if there is no other). Null and empty texts have fingerprint zero and link like any other. An empty table gives an empty result.
+    (smallest doc_id in the group; null ids count only if there is no other). Null and empty texts have fingerprint zero and link like any other; repeated rows are rows of their own.
+    An empty table gives an empty result. Other columns of docs are not read, whatever their names.
     """
-    prints = materialise(with_fingerprint(docs, columns), "prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_links(distinct.select("fp")), "a", "b")
-    rooted = materialise(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
-    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
-    return prints.join(named, "fp")
+    kept = F.struct(*[F.col(quoted(c)) for c in columns]).alias("row")
+    prints = materialise(with_fingerprint(docs.select("doc_id", kept, "text"), ("doc_id", "row")), "prints")
+    named = settled("named", lambda: _named(prints))
+    return prints.join(named, "fp").select("row.*", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without its near-duplicates: of each group the row with the smallest doc_id stays (of rows that share it, one). Columns as in docs.
-
-    Only ids are gathered and joined back: rows to drop are found by their key, and stay in their scan where the list is small enough to broadcast."""
-    columns = docs.columns
-    work = docs.withColumn("_row", row_key(docs, "doc_id", "text"))
-    grouped = materialise(near_duplicates(work, ("doc_id", "_row")).select("doc_id", "_row", "root"), "grouped")
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
+    """docs without its near-duplicates: of each group the row with the smallest doc_id stays (of rows that share it, one). Columns as in docs, whatever their names; null and
+    empty texts, which are one group, nulls in other columns and empty tables as in near_duplicates().
+
+    Only ids are gathered and joined back: rows to drop are found by their key, and stay in their scan where the list is small enough to broadcast. Of rows that are equal in id and text one stays; only those are shuffled."""
+    prints = materialise(with_fingerprint(docs.select("doc_id", *row_key("doc_id", "text"), "text"), ("doc_id", *KEY)), "prints")
+    named = settled("named", lambda: _named(prints))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), *KEY)
+    grouped = materialise(prints.join(named, "fp").select("doc_id", *KEY, "root"), "grouped")
     firsts = materialise(grouped.groupBy("root").agg(F.min(rank).alias("first")), "firsts")
-    dropped = materialise(grouped.join(firsts, "root").filter(F.col("_row") != F.col("first.r")).select("_row").distinct(), "dropped")
-    if work.groupBy("_row").count().filter("count > 1").limit(1).count():
-        work = work.dropDuplicates(["_row"])
-    return join_small(work, dropped, "_row", "left_anti").select(*columns)
+    rest = F.struct(*KEY) != F.struct("first.k1", "first.k2")
+    dropped = materialise(grouped.join(firsts, "root").filter(rest).select(*KEY).distinct(), "dropped")
+    twins = materialise(grouped.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*KEY).join(dropped, KEY, "left_anti"), "twins")
+    release(prints, named, grouped, firsts)
+    single = join_small(boxed(docs, *row_key("doc_id", "text")), dropped, KEY, "left_anti")
+    if twins.limit(1).count():
+        single = join_small(single, twins, KEY, "left_anti").unionByName(join_small(single, twins, KEY, "left_semi").dropDuplicates(KEY))
+    return single.select("row.*")

@@ -3,7 +3,8 @@
 A window of `width` words is removed if its word sequence also starts anywhere else. Windows are not compared at once: level by level, from short
 sequences to the full width (each length the half of the next, rounded up), a window is represented by one of the sequences of that length inside it, the one with the least
 hash. Equal windows choose equal sequences, so a sequence that is found once in the corpus rules out every window that chose it; the others are
-extended to twice the length. At the full width a window stands for itself, and what is left is repeated.
+extended to twice the length. At the full width a window stands for itself, and what is left is repeated. Short sequences are compared by 64 bits, where two that fall
+together only cost work; windows of the full width by 128 bits.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, row_key
+from .common import BROADCAST_ROWS, KEY, boxed, materialise, quoted, release, row_key
 
 #: Words of a window.
 WIDTH = 35
@@ -24,21 +26,15 @@ SHORTEST = 8
 #: Bytes of text that are hashed at a time (a longer text is hashed by itself).
 CHUNK = 1 << 21
 
+#: Bytes of a word that are hashed eight at a time by arrays; longer words are hashed one by one.
+LANES = 64
+
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTES = np.random.default_rng(20_240_501).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES[_SPACES] = 0
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, CHUNK + 4096), base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers
+#: Odd multipliers of the two hashes of a word and of a sequence.
+_WORD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_SEQUENCE = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+_LOW = np.array([0, *[(1 << (8 * n)) - 1 for n in range(1, 8)], (1 << 64) - 1], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,31 +43,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the texts, one after the other, and the number of words of each text."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    power, inverse = _powers_to(len(data))
+def hash_words(texts: list[bytes], which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash (one of two) of each word of the texts, one after the other, and the number of words of each text. A word's bytes are mixed in eight at a time, each
+    time through a function that is not linear, so words made to cancel out do not meet."""
+    joined = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
     space = _SPACES[data]
     starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
     if not space[0]:
         starts = np.concatenate(([0], starts))
     ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
-    hashes = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    length = ends - starts
+    wide = np.ndarray(len(joined) + 1, "<u8", joined + bytes(8), strides=(1,))
+    hashes = _mix(length.astype(np.uint64) * _WORD[which] + np.uint64(which + 1))
+    left = np.flatnonzero(length <= LANES)
+    at = 0
+    while len(left):
+        lane = wide[starts[left] + at] & _LOW[np.minimum(length[left] - at, 8)]
+        hashes[left] = _mix((hashes[left] ^ lane) * _WORD[which])
+        at += 8
+        left = left[length[left] > at]
+    for i in np.flatnonzero(length > LANES).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]], seed=which)
     first = np.cumsum([0, *[len(t) + 1 for t in texts]])
     return hashes, np.diff(np.searchsorted(starts, first))
 
 
-def sequence_hashes(words: np.ndarray, length: int) -> np.ndarray:
+def sequence_hashes(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     """Hash of the `length` words from each place on: that of two halves, which overlap by a word if the length is odd."""
     if length == 1:
         return words
     half = (length + 1) // 2
-    short = sequence_hashes(words, half)
+    short = sequence_hashes(words, half, which)
     n = max(0, len(words) - length + 1)
-    return _mix(short[:n] * np.uint64(0xD6E8FEB86659FD93) + short[length - half : length - half + n])
+    return _mix(short[:n] * _SEQUENCE[which] + short[length - half : length - half + n])
 
 
 def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -107,7 +112,8 @@ def levels(width: int = WIDTH, shortest: int = SHORTEST) -> list[int]:
 
 
 def _chosen(texts: list[bytes], dead: list, length: int, width: int) -> tuple[np.ndarray, ...]:
-    """Of the windows still alive, the sequences they chose: text, hash, first and last window that chose it, number of sequences of the text."""
+    """Of the windows still alive, the sequences they chose: text, hash, second hash (of windows; zero for what is shorter), first and last window that chose it, number of
+    sequences of the text."""
     words, counts = hash_words(texts)
     ends = np.cumsum(counts)
     hashes = sequence_hashes(words, length)
@@ -119,36 +125,39 @@ def _chosen(texts: list[bytes], dead: list, length: int, width: int) -> tuple[np
     at = np.flatnonzero(alive)
     if not len(at):
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     text = np.searchsorted(ends, at, "right")
     new = np.concatenate(([True], (place[at[1:]] != place[at[:-1]]) | (text[1:] != text[:-1])))
     first = at[new]
     last = at[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))]
     text = text[new]
     base = ends[text] - counts[text]
-    return text, hashes[place[first]].view(np.int64), first - base, last - base, np.bincount(text, minlength=len(texts))[text]
+    second = sequence_hashes(hash_words(texts, 1)[0], length, 1)[place[first]] if length == width else np.zeros(len(first), np.uint64)
+    return text, hashes[place[first]].view(np.int64), second.view(np.int64), first - base, last - base, np.bincount(text, minlength=len(texts))[text]
 
 
 def _level(docs: DataFrame, length: int, width: int) -> DataFrame:
-    """docs: key, dead (array of long or null), text. Rows of key, h, lo, hi, of."""
+    """docs: k1, k2, dead (array of long or null), text. Rows of k1, k2, h, h2, lo, hi, of."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("of", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
             at = 0
             while at < batch.num_rows:
                 start, texts, size = at, [], 0
                 while at < batch.num_rows and (not texts or size < CHUNK):
-                    texts.append((batch.column(2)[at].as_py() or "").encode("utf-8", "surrogatepass"))
+                    texts.append((batch.column(3)[at].as_py() or "").encode("utf-8", "surrogatepass"))
                     size += len(texts[-1])
                     at += 1
-                dead = [None if not d.is_valid else d.values.to_numpy() for d in batch.column(1)[start:at]]
-                text, h, lo, hi, of = _chosen(texts, dead, length, width)
+                dead = [None if not d.is_valid else d.values.to_numpy() for d in batch.column(2)[start:at]]
+                text, *found = _chosen(texts, dead, length, width)
                 for a in range(0, len(text), 1 << 16):
                     part = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[start + text[part]]), pa.array(h[part]), pa.array(lo[part].astype(np.int32)), pa.array(hi[part].astype(np.int32)), pa.array(of[part].astype(np.int32))], ["key", "h", "lo", "hi", "of"])
+                    columns = [k[start + text[part]] for k in keys] + [x[part] for x in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.type.to_pandas_dtype())) for c, t in zip(columns, schema, strict=True)], schema.names)
 
-    return docs.select("key", "dead", "text").mapInArrow(run, "key long, h long, lo int, hi int, of int")
+    return docs.select(*KEY, "dead", "text").mapInArrow(run, "k1 long, k2 long, h long, h2 long, lo int, hi int, of int")
 
 
 def _small(df: DataFrame) -> bool:
@@ -156,29 +165,32 @@ def _small(df: DataFrame) -> bool:
 
 
 def dead_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """docs: key, text. Two tables in the shared folder: key, dead (the ranges of windows that are not repeated) and key of texts without a repeated window.
+    """docs: k1, k2, text. Two tables in the shared folder: k1, k2, dead (the ranges of windows that are not repeated) and k1, k2 of texts without a repeated window.
 
     A level reads texts that have windows left, with their dead ranges. A sequence found once gives its text and range by minima over its only row, so counting is one aggregation with partial sums, without a
-    join back, and no hot sequence is gathered anywhere."""
+    join back, and no hot sequence is gathered anywhere. A level's tables are deleted when the next one's are written."""
     no_dead = F.lit(None).cast("array<long>")
     dead, done = None, None
     for length in levels(width):
         if dead is None:
             work = docs.withColumn("dead", no_dead)
         else:
-            left = docs.join(F.broadcast(done), "key", "left_anti") if _small(done) else docs.join(done, "key", "left_anti")
-            work = left.join(dead, "key", "left")
+            left = docs.join(F.broadcast(done), KEY, "left_anti") if _small(done) else docs.join(done, KEY, "left_anti")
+            work = left.join(dead, KEY, "left")
         rows = _level(work, length, width)
-        once = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("key", "lo", "hi", "of")]).filter("n = 1")
+        same = ["h", "h2"] if length == width else ["h"]
+        once = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in (*KEY, "lo", "hi", "of")]).filter("n = 1")
         packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
-        new = once.groupBy("key").agg(F.collect_list(packed).alias("dead"), (F.count(F.lit(1)) == F.first("of")).alias("done"))
+        new = once.groupBy(*KEY).agg(F.collect_list(packed).alias("dead"), (F.count(F.lit(1)) == F.first("of")).alias("done"))
         new = materialise(new, f"dead{length}")
-        gone = new.filter("done").select("key")
-        ranges = new.filter("not done").select("key", "dead")
+        gone = new.filter("done").select(*KEY)
+        ranges = new.filter("not done").select(*KEY, "dead")
         if dead is not None:
-            ranges = dead.union(ranges).groupBy("key").agg(F.flatten(F.collect_list("dead")).alias("dead"))
+            ranges = dead.union(ranges).groupBy(*KEY).agg(F.flatten(F.collect_list("dead")).alias("dead"))
             gone = done.union(gone)
+        before = (new, dead, done)
         dead, done = materialise(ranges, "ranges"), materialise(gone, "done")
+        release(*before)
     return dead, done
 
 
@@ -222,30 +234,34 @@ def _apply(docs: DataFrame, columns: list[str], width: int) -> DataFrame:
     return docs.select(*columns, "text", "dead", "done").mapInArrow(run, schema)
 
 
+def _judged(docs: DataFrame, columns: list[str], width: int) -> DataFrame:
+    """docs: the columns, k1, k2, text. What _apply() returns for every row."""
+    dead, done = dead_windows(docs.select(*KEY, "text"), width)
+    done = done.withColumn("done", F.lit(True))
+    if _small(done):
+        flagged = docs.join(F.broadcast(done), KEY, "left")
+        clean = flagged.filter("done").withColumn("dead", F.lit(None).cast("array<long>"))
+        rest = flagged.filter("done is null").join(dead, KEY, "left")
+        return _apply(clean, columns, width).unionByName(_apply(rest, columns, width))
+    return _apply(docs.join(done, KEY, "left").join(dead, KEY, "left"), columns, width)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Remove every word of docs' texts that is covered by a window of `width` words whose word sequence also starts anywhere else, in the same text or another.
 
     Returns a row per row of docs: the columns given, text (the kept words joined by one space), n_words, n_removed, removed (positions of removed words: first, end, ...).
     Windows are judged on the input. A null or empty text has no words and gives an empty one; texts shorter than the window lose nothing; repeated rows repeat
-    each other's windows. An empty table gives an empty result. Sequences are compared by 64-bit hashes at each of the levels."""
-    columns = tuple(columns)
-    keyed = docs.withColumn("_key", row_key(docs, "doc_id", "text"))
-    dead, done = dead_windows(keyed.select(F.col("_key").alias("key"), "text"), width)
-    dead = dead.withColumnRenamed("key", "_key")
-    done = done.withColumnRenamed("key", "_key").withColumn("done", F.lit(True))
-    if _small(done):
-        flagged = keyed.join(F.broadcast(done), "_key", "left")
-        clean = flagged.filter("done").withColumn("dead", F.lit(None).cast("array<long>"))
-        rest = flagged.filter("done is null").join(dead, "_key", "left")
-        return _apply(clean, list(columns), width).unionByName(_apply(rest, list(columns), width))
-    return _apply(keyed.join(done, "_key", "left").join(dead, "_key", "left"), list(columns), width)
+    each other's windows. An empty table gives an empty result. Other columns of docs are not read, whatever their names. Windows are taken for equal if 128 bits of hash are."""
+    kept = F.struct(*[F.col(quoted(c)) for c in columns]).alias("row")
+    out = _judged(docs.select(kept, *row_key("doc_id", "text"), "text"), ["row"], width)
+    return out.select("row.*", "text", "n_words", "n_removed", "removed")
 
 
 def dedup_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with repeated passages removed; texts that lose nothing stay as they are. n_chars follows the text. Columns as in docs."""
-    rest = tuple(c for c in docs.columns if c != "text")
-    out = remove_repeats(docs.withColumn("_text", F.col("text")), width, (*rest, "_text"))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("_text")))
+    """docs with repeated passages removed; texts that lose nothing stay as they are. n_chars follows the text. Columns as in docs, whatever their names; rows as in remove_repeats()."""
+    out = _judged(boxed(docs, *row_key("doc_id", "text"), F.col("text")), ["row"], width)
+    cut = F.col("n_removed") > 0
+    row = F.col("row").withField("text", F.when(cut, F.col("text")).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")

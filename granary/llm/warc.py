@@ -8,34 +8,32 @@ that Spark hands them to.
 from __future__ import annotations
 
 import hashlib
+import logging
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialise, new_path, row_key
+from .common import KEY, file_system, join_small, materialise, new_path, release, remove_folder, row_key
+
+log = logging.getLogger(__name__)
 
 #: Payloads of fewer bytes are always stored.
 LEAST_SHARED = 100
 #: Compressed bytes after which a writer starts the next file.
 FILE_BYTES = 32 << 20
-#: Bytes read at a time, and the most that one record's headers may have.
-CHUNK, MOST_HEADER = 1 << 20, 1 << 16
+#: Bytes read at a time, and the most that one record's headers may have, in a member or not.
+CHUNK, MOST_HEADER = 1 << 20, 1 << 26
+#: The most bytes of a record: what one value of a Spark column can hold. Longer ones are quarantined.
+MOST_RECORD = (1 << 31) - (1 << 16)
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 MAGIC = b"\x1f\x8b\x08"
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in path:
-        return pafs.LocalFileSystem(), path.removeprefix("file:")
-    return pafs.FileSystem.from_uri(quote(path, safe="/:@?&=%+,;~!*()'$"))
-
-
 def record(kind: str, rid: str, uri: str, date: str, payload: bytes, digest: str, refers_to: str | None = None) -> bytes:
     """One WARC record; a revisit's block is empty and names the record that has its payload."""
     block = b"" if kind == "revisit" else payload
@@ -59,31 +57,45 @@ def member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _same(pages: DataFrame) -> DataFrame:
-    """key, first (key of the row whose payload this one repeats, or null), from pages of key, page_id, digest, bytes."""
-    shared = pages.filter(F.col("bytes") >= LEAST_SHARED).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "key")).alias("first"))
-    return materialise(shared.filter("n > 1").select("digest", F.col("first.key").alias("first_key"), F.col("first.page_id").alias("first_id")), "shared")
+def _sums(pages: DataFrame) -> DataFrame:
+    """A row for each distinct page: k1, k2, page_id, digest and bytes of its payload, copies (rows that are equal)."""
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = pages.select(*row_key("page_id", "url", "html"), "page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    return rows.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("page_id", "digest", "bytes")], F.count(F.lit(1)).alias("copies"))
+
+
+def _same(sums: DataFrame) -> DataFrame:
+    """digest, first (k1 and k2 of the row that is stored), of payloads that several rows share."""
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", *KEY))
+    shared = sums.filter(F.col("bytes") >= LEAST_SHARED).groupBy("digest").agg(F.sum("copies").alias("n"), least.alias("first"))
+    return materialise(shared.filter("n > 1").select("digest", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2")), "shared")
+
 
+def record_id(k1: int, k2: int, twin: int) -> str:
+    """Name of the record of the `twin`-th of equal rows."""
+    return f"urn:page:{k1 & (1 << 64) - 1:016x}{k2 & (1 << 64) - 1:016x}:{twin}"
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+
+def _record_id(k1: str, k2: str, twin: F.Column) -> F.Column:
+    """record_id() as a column."""
+    return F.concat(F.lit("urn:page:"), *[F.lower(F.lpad(F.hex(k), 16, "0")) for k in (k1, k2)], F.lit(":"), twin.cast("string"))
+
+
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", sums: DataFrame | None = None) -> DataFrame:
     """Write a record for every row of pages (page_id, url, html) to WARC files under path; a table of file, records, bytes (one row a file).
 
     Payload: the html in UTF-8 (null: empty). Of rows with equal payloads of at least LEAST_SHARED bytes the one with the smallest page_id is stored as response, the
     others as revisits of it. Which payloads are shared is found on digests alone; texts stay in their scan where the list of shared digests is small enough to broadcast.
-    A task writes to a name of its own attempt and renames the file when it is whole, so an attempt that is lost or repeated leaves no half file in the table. A null page_id
-    and a null url are written as empty. Repeated rows are records of their own."""
+    A task writes to a name of its own attempt and renames the file when it is whole, so an attempt that is lost or repeated leaves no half file in the table. A null url is
+    written as empty. Equal rows are records of their own; other columns of pages are not read, whatever their names."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keyed = pages.select("page_id", "url", "html", row_key(pages, "page_id", "html").alias("key"))
-    sums = keyed.select("key", "page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
-    twins = keyed.groupBy("key").count().filter("count > 1").limit(1).count() > 0
+    sums = _sums(pages) if sums is None else sums
     shared = _same(sums)
-    work = join_small(keyed.withColumn("digest", F.sha2(payload, 256)), shared, "digest").select("page_id", "url", "html", "key", "digest", "first_key", "first_id")
-    if twins:  # equal rows: number them, so that only one of those with the first key is the response
-        from pyspark.sql import Window
-
-        work = work.withColumn("twin", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-    else:
-        work = work.withColumn("twin", F.lit(1))
+    twins = materialise(sums.filter("copies > 1").select(*KEY), "twins")
+    work = join_small(pages.select(*row_key("page_id", "url", "html"), "url", "html", F.sha2(payload, 256).alias("digest")), shared, "digest").withColumn("twin", F.lit(1))
+    if twins.limit(1).count():  # equal rows: number them, so that only one of those with the first key is the response
+        again = join_small(work, twins, KEY, "left_semi").withColumn("twin", F.row_number().over(Window.partitionBy(*KEY).orderBy(*KEY)))
+        work = join_small(work, twins, KEY, "left_anti").unionByName(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -98,17 +110,15 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
             return pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}.warc.gz"]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
 
         for batch in batches:
-            for page_id, url, text, key, digest, first_key, first_id, twin in zip(*batch.columns, strict=True):
+            for url, text, digest, *keys in zip(*batch.columns, strict=True):
                 if out is None:
                     name, count, size = f"part-{uuid.uuid4().hex}", 0, 0
                     out = fs.open_output_stream(f"{base}/_{name}.open", compression=None)
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                pid, k = page_id.as_py(), key.as_py()
-                again = first_key.is_valid and (first_key.as_py() != k or twin.as_py() > 1)
-                rid = f"urn:page:{'' if pid is None else pid}:{k}:{twin.as_py()}"
-                refers = f"urn:page:{'' if first_id.as_py() is None else first_id.as_py()}:{first_key.as_py()}:1" if again else None
+                k1, k2, f1, f2, twin = (x.as_py() for x in keys)
+                again = f1 is not None and ((f1, f2) != (k1, k2) or twin > 1)
                 uri = quote(url.as_py() or "", safe="/:@?&=%+,;~!*()'$#[]")
-                done = member(record("revisit" if again else "response", rid, uri, date, data, digest.as_py(), refers))
+                done = member(record("revisit" if again else "response", record_id(k1, k2, twin), uri, date, data, digest.as_py(), record_id(f1, f2, 1) if again else None))
                 out.write(done)
                 count, size = count + 1, size + len(done)
                 if size >= FILE_BYTES:
@@ -117,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         if out is not None:
             yield close()
 
-    return materialise(work.mapInArrow(run, "file string, records long, bytes long"), "archives")
+    return materialise(work.select("url", "html", "digest", *KEY, "f1", "f2", "twin").mapInArrow(run, "file string, records long, bytes long"), "archives")
 
 
 @dataclass
@@ -140,7 +150,7 @@ def check_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and block of the bytes of one whole record."""
     if not data.startswith(VERSIONS):
         raise Broken("no version line")
-    cut = data.find(b"\r\n\r\n")
+    cut = data.find(b"\r\n\r\n", 0, MOST_HEADER)
     if cut < 0:
         raise Broken("headers do not end")
     headers = parse_headers(data[:cut])
@@ -220,12 +230,17 @@ def _gzip_record(src: Source, start: int, most: int) -> tuple[int, dict[str, str
 
 
 def _plain_record(src: Source, start: int, most: int) -> tuple[int, dict[str, str], bytes]:
-    head = src.at(start, MOST_HEADER)
+    head = src.at(start, 1 << 16)
     if not head.startswith(VERSIONS):
         raise Broken("no version line")
-    cut = head.find(b"\r\n\r\n")
-    if cut < 0:
-        raise Broken("headers do not end")
+    while (cut := head.find(b"\r\n\r\n", 0, MOST_HEADER)) < 0:
+        # look further while what is there can still be headers
+        if any(b":" not in line for line in head.split(b"\r\n")[1:-1]) or len(head) >= MOST_HEADER:
+            raise Broken("headers do not end")
+        more = src.at(start, 4 * len(head))
+        if len(more) == len(head):
+            raise Broken("headers do not end")
+        head = more
     headers = parse_headers(head[:cut])
     n = content_length(headers)
     if n > most:
@@ -237,7 +252,7 @@ def _plain_record(src: Source, start: int, most: int) -> tuple[int, dict[str, st
     return start + cut + 4 + n + 4, headers, body[:n]
 
 
-def salvage(stream: pa.NativeFile, most: int = 1 << 30) -> Iterator[Found]:
+def salvage(stream: pa.NativeFile, most: int = MOST_RECORD) -> Iterator[Found]:
     """Records of a file of gzip members, of plain records, or of both, and the gaps between them. most: bytes of a record, beyond which it is quarantined."""
     src, at, gap, reason = Source(stream), 0, None, ""
     while True:
@@ -279,7 +294,7 @@ def _next(src: Source, at: int) -> int:
         src.forget(at)
 
 
-def read_archives(spark: SparkSession, files: DataFrame, most: int = 1 << 30) -> DataFrame:
+def read_archives(spark: SparkSession, files: DataFrame, most: int = MOST_RECORD) -> DataFrame:
     """files: file (paths). A row a record or gap: file, start, end (bytes of the file), kind (record or gap), reason (of a gap), type, record_id, uri, refers_to, digest (as its header says), payload (binary).
 
     Files are dealt out evenly; a task streams its files. Any file may be damaged anywhere: see salvage()."""
@@ -310,21 +325,32 @@ def read_archives(spark: SparkSession, files: DataFrame, most: int = 1 << 30) ->
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive pages in the shared folder and read them back: page_id, payload_bytes, payload_digest (of the payload read, a revisit's being that of the record it
-    refers to), record_type, refers_to (page_id). A revisit whose response is lost has null bytes and digest."""
+    """Archive pages in the shared folder and read them back. A row per row of pages: page_id, payload_bytes, payload_digest (of the payload read, a revisit's being that of the record it
+    refers to), record_type, refers_to (page_id). A page whose record cannot be read back (or, for a revisit, the response's) has nulls there; what the reader had to pass over is
+    counted in the log, and its table of gaps stays in the shared folder. The archives themselves are deleted."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    records = read_archives(spark, write_archives(pages, path)).filter("kind = 'record'")
-    part = lambda c: F.split_part(F.col(c), F.lit(":"), F.lit(3)).try_cast(pages.schema["page_id"].dataType)
-    slim = materialise(records.select("record_id", "type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sum")), "records")
+    sums = materialise(_sums(pages), "sums")
+    files = write_archives(pages, path, sums=sums)
+    read = read_archives(spark, files)
+    slim = materialise(read.select("file", "start", "end", "kind", "reason", "record_id", "type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sum")), "records")
+    remove_folder(path)
+    release(files)
+    gaps = slim.filter("kind = 'gap'").select("file", "start", "end", "reason")
+    if n := gaps.count():
+        kept = materialise(gaps, "gaps")
+        log.warning("%d quarantined gaps, listed in %s", n, kept.inputFiles()[0].rsplit("/", 1)[0])
+    slim = slim.filter("kind = 'record'")
     stored = slim.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("bytes").alias("_bytes"), F.col("sum").alias("_sum"))
-    wanted = materialise(slim.filter("type = 'revisit'").groupBy("refers_to").count().select("refers_to").join(stored, "refers_to"), "wanted")
-    out = join_small(slim, wanted, "refers_to")
+    first = sums.select(_record_id("k1", "k2", F.lit(1)).alias("refers_to"), F.col("page_id").alias("_first"))
+    wanted = slim.filter("type = 'revisit'").groupBy("refers_to").count().select("refers_to").join(stored, "refers_to", "left").join(first, "refers_to", "left")
     again = F.col("type") == "revisit"
-    return out.select(
-        part("record_id").alias("page_id"),
+    out = join_small(slim, materialise(wanted, "wanted"), "refers_to").select(
+        "record_id",
         F.when(again, F.col("_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
         F.when(again, F.col("_sum")).otherwise(F.col("sum")).alias("payload_digest"),
         F.col("type").alias("record_type"),
-        F.when(again, part("refers_to")).alias("refers_to"),
+        F.when(again, F.col("_first")).alias("refers_to"),
     )
+    rows = sums.select("page_id", *KEY, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("twin")).select("page_id", _record_id("k1", "k2", F.col("twin")).alias("record_id"))
+    return rows.join(out, "record_id", "left").drop("record_id")

@@ -48,9 +48,9 @@ def test_levels_lose_nothing(texts, width):
     raw = [t.encode() for t in texts]
     dead = [np.zeros(0, np.int64) for _ in texts]
     for length in levels(width, 2):
-        text, h, lo, hi, _ = _chosen(raw, dead, length, width)
+        text, h, h2, lo, hi, _ = _chosen(raw, dead, length, width)
         by = defaultdict(list)
-        for row in zip(text.tolist(), h.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        for row in zip(text.tolist(), zip(h.tolist(), h2.tolist()), lo.tolist(), hi.tolist(), strict=True):
             by[row[1]].append(row)
         for rows in by.values():
             if len(rows) == 1:
@@ -95,3 +95,27 @@ def test_empty_and_width(spark, empty):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_words, r.n_removed) for r in remove_repeats(df, 5).collect()}
     assert [got[i] for i in range(30)] == brute(texts, 5)
+
+
+def test_words_made_to_cancel_out(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64; documents that differ in such a word share no window of 35."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    words = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    rest = [f"w{i}" for i in range(34)]
+    rows = [(i, " ".join([*rest[:17], w, *rest[17:]])) for i, w in enumerate(words)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    hashes = [hash_words([b" ".join(w.encode() for w in words)], which)[0] for which in (0, 1)]
+    assert len({int(h) for own in hashes for h in own}) == 4
+
+
+@pytest.mark.parametrize("which", [0, 1])
+def test_every_byte_of_a_word_counts(which):
+    rng = random.Random(3)
+    words = {bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 90))) for _ in range(3000)}
+    words |= {b"a" * n for n in range(1, 90)}
+    words = sorted(words)
+    hashes, n = hash_words([b" ".join(words)], which)
+    assert n.tolist() == [len(words)] and len(set(hashes.tolist())) == len(words)
+    alone = [int(hash_words([w], which)[0][0]) for w in words[::50]]
+    assert alone == hashes[::50].tolist()
