@@ -8,6 +8,7 @@ pieces of each length and look their place up in the plan.
 from __future__ import annotations
 
 import base64
+import math
 import struct
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
@@ -300,10 +301,10 @@ def with_crc(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, large: float = LARGE, groups: Sequence[int] = GROUPS, buckets_of: int = 4096) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, large: float = LARGE, groups: Sequence[int] = GROUPS) -> DataFrame:
     """Add sequence_id and offset (long) to pieces, a table in the shared folder with `length` from 1 to capacity.
 
-    Pieces of a length are numbered from 0: they are dealt by hash into buckets of about `buckets_of`, numbered there, and start after the buckets before. The plan gives
+    The n pieces of a length are numbered from 0: they are dealt by the hash of all their columns into sqrt(n) buckets, numbered there, and start after the buckets before. The plan gives
     each (length, number) its sequence and offset."""
     spark = pieces.sparkSession
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `capacity` rows
@@ -311,8 +312,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, large: float = LARG
     lengths, numbers, sequences, offsets = _lookup(best_plan(histogram, capacity, large, groups) if histogram else [], capacity)
     first_of = np.searchsorted(lengths, np.arange(capacity + 2))
     shared = spark.sparkContext.broadcast((numbers, sequences, offsets, first_of))
-    dealt = spark.createDataFrame([(x, max(1, n // buckets_of)) for x, n in histogram.items()], "length long, _buckets long")
-    work = pieces.join(F.broadcast(dealt), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_buckets"))).drop("_buckets")
+    dealt = spark.createDataFrame([(x, math.isqrt(n - 1) + 1) for x, n in histogram.items()], "length long, _buckets long")
+    work = pieces.join(F.broadcast(dealt), "length").withColumn("_bucket", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "length"]), F.col("_buckets"))).drop("_buckets")
     sums = work.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("length", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))

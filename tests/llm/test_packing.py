@@ -68,7 +68,7 @@ def expected(rows, capacity):
 
 @pytest.mark.parametrize("capacity", [64, 2048])
 def test_pack(docs, capacity):
-    rows = pack(docs, capacity=capacity, digest=with_crc, buckets_of=4, **FILES).collect()
+    rows = pack(docs, capacity=capacity, digest=with_crc, **FILES).collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected(docs.collect(), capacity)
     by = {}
     for r in rows:
