@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,3 +112,13 @@ def split_thinking(ids: Column, begin: int, end: int) -> Column:
     trace = F.when(b > 0, F.slice(ids, a + 1, F.greatest(b - a - 1, F.lit(0)))).when(a > 0, F.slice(ids, a + 1, F.size(ids)))
     answer = F.when(b > 0, F.slice(ids, b + 1, F.size(ids))).when(a > 0, F.array().cast("array<int>")).otherwise(ids)
     return F.struct(trace.alias("trace"), answer.alias("answer"), ((a == 0) | (b > 0)).alias("closed"))
+
+
+def known_axes(axes: Column, registered: Sequence[str]) -> Column:
+    """Entries of a map of axes that have a value and a registered name."""
+    return F.map_filter(axes, lambda k, v: v.isNotNull() & k.isin(*registered))
+
+
+def unknown_axes(axes: Column, registered: Sequence[str]) -> Column:
+    """Entries that have a value and another name."""
+    return F.map_filter(axes, lambda k, v: v.isNotNull() & ~k.isin(*registered))

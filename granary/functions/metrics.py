@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,20 @@ def token_f1(prediction: Column, reference: Column) -> Column:
     return let(F.struct(F.sort_array(tokens(prediction)).alias("p"), F.sort_array(tokens(reference)).alias("r")), score)
 
 
+def token_counts(rows: DataFrame, key: str, normalized: Column) -> DataFrame:
+    """key, token, n: how often each token of a normalised text occurs; a text without tokens has one row with a null token and n 0."""
+    return rows.select(key, F.explode_outer(tokens(normalized)).alias("token")).groupBy(key, "token").agg(F.count("token").alias("n"))
+
+
+def token_f1_rows(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """key, f1 of texts given as token_counts(): the same as token_f1(), by joins and aggregations, for long texts or many."""
+    size = lambda rows, name: rows.groupBy(key).agg(F.sum("n").alias(name))
+    common = predictions.join(references.withColumnRenamed("n", "m"), [key, "token"]).groupBy(key).agg(F.sum(F.least("n", "m")).alias("c"))
+    both = size(predictions, "p").join(size(references, "r"), key).join(common, key, "left").fillna(0, ["c"])
+    f1 = F.when((F.col("p") == 0) | (F.col("r") == 0), (F.col("p") == F.col("r")).cast("double")).otherwise(f1_of(F.col("c"), F.col("p"), F.col("r")))
+    return both.select(key, f1.alias("f1"))
+
+
 def set_scores(predicted: Column, reference: Column) -> Column:
     """Struct of precision, recall and f1 of two arrays taken as sets."""
 

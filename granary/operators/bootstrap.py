@@ -80,17 +80,58 @@ def primary_verdict(low: Column, high: Column, margin: float, estimable: Column
     return out if estimable is None else F.when(estimable, out).otherwise("inconclusive")
 
 
-def compare(pairs: DataFrame, margin: float = 0.02, by: str = "task", cluster: str = "group_id", iterations: int = 2000, seed: int = 42) -> DataFrame:
-    """Overall and for each value of `by`: n, base, tuned, delta, verdict and primary verdict by cluster bootstrap. A job for each value: `by` is a column of few values."""
-    values = [r[0] for r in pairs.select(by).distinct().orderBy(by).limit(1000).collect()]
-    out = None
-    for v in [None, *values]:
-        own = pairs if v is None else pairs.filter(F.col(by) == v)
-        stats = own.agg(F.avg("base").alias("base"), F.avg("tuned").alias("tuned"))
-        row = paired_cluster_bootstrap(own, cluster, iterations=iterations, seed=seed).crossJoin(stats).withColumn(by, F.lit("overall" if v is None else v))
-        out = row if out is None else out.union(row)
-    delta = F.col("tuned") - F.col("base")
-    return out.withColumn("delta", delta).withColumn("verdict", verdict(delta, F.col("significant"))).withColumn("primary", primary_verdict(F.col("ci_low"), F.col("ci_high"), margin, F.col("estimable")))
+def compare(pairs: DataFrame, margin: float = 0.02, by: str = "task", cluster: str = "group_id", iterations: int = 2000, seed: int = 42, min_clusters: int = MIN_CLUSTERS) -> DataFrame:
+    """Overall and for each value of `by` (null is a value of its own): `by`, overall (whether the row is of all pairs, `by` is then `overall`), n, clusters, base, tuned, delta, estimable, ci_low, ci_high,
+    p_value, significant, verdict and primary verdict by paired cluster bootstrap.
+
+    One plan for all values, however many: pairs are summed up by value and cluster, clusters are numbered within their value, and every cluster makes as many draws as there are repetitions, so draws are as many
+    rows as clusters times repetitions and are dealt out evenly. No pairs give a row of all pairs that says so."""
+    value = F.col(by).cast("string")
+    sides = F.array(F.struct(F.lit(True).alias("overall"), F.lit("overall").alias(by)), F.struct(F.lit(False).alias("overall"), value.alias(by)))
+    work = pairs.select(F.explode(sides).alias("_s"), F.col(cluster).cast("string").alias("c"), F.col("base").cast("double").alias("base"), F.col("tuned").cast("double").alias("tuned"))
+    name = F.concat(F.when(F.col("_s.overall"), "o").otherwise("v"), F.coalesce(F.concat(F.lit("="), F.col(f"_s.{by}")), F.lit("")))
+    scored = F.col("tuned") - F.col("base")
+    per = work.withColumn("_g", name).groupBy("_g", "_s", "c").agg(F.sum(scored).alias("total"), F.count(F.lit(1)).alias("size"), F.sum("base").alias("base"), F.sum("tuned").alias("tuned"))
+    head = per.groupBy("_g", "_s").agg(
+        F.sum("size").alias("n"), F.count(F.lit(1)).alias("clusters"), (F.sum("base") / F.sum("size")).alias("base"), (F.sum("tuned") / F.sum("size")).alias("tuned"), (F.sum("total") / F.sum("size")).alias("observed"), F.bool_or(F.col("c").isNull()).alias("unnamed")
+    )
+    estimable = (F.col("clusters") >= min_clusters) & ~F.col("unnamed")
+    units = _numbered_within(per.join(head.filter(estimable).select("_g", F.col("clusters").alias("of")), "_g"))
+    found = _interval_within(_resampled_within(units, iterations, seed), iterations)
+    p = F.least(F.lit(1.0), 2 * F.when(F.col("observed") >= 0, F.col("below")).otherwise(F.col("above")) / iterations)
+    out = head.join(found, "_g", "left").withColumn("estimable", estimable).withColumn("p_value", p).withColumn("significant", p < 0.05).withColumn("delta", F.col("tuned") - F.col("base"))
+    shown = out.select(F.col(f"_s.{by}").alias(by), "_s.overall", "n", "clusters", "base", "tuned", "delta", "observed", "estimable", "ci_low", "ci_high", "p_value", "significant")
+    return shown.withColumn("verdict", verdict(F.col("delta"), F.col("significant"))).withColumn("primary", primary_verdict(F.col("ci_low"), F.col("ci_high"), margin, F.col("estimable")))
+
+
+#: Repetitions that a row stands for while draws are dealt out.
+CHUNK = 50
+
+
+def _numbered_within(per: DataFrame) -> DataFrame:
+    """_g, g (from 0 in the order of the hash of the cluster's name), of (clusters of the group), total, size: places within ranges of the hash, plus the counts of the ranges before."""
+    work = per.withColumn("_k", F.sha2("c", 256)).withColumn("_b", F.substring("_k", 1, 3))
+    ahead = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = work.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n")).select("_g", "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_k", "c")) + F.col("_start") - 1
+    return work.join(starts, ["_g", "_b"]).select("_g", place.cast("long").alias("g"), "of", "total", "size")
+
+
+def _resampled_within(units: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """_g, b, estimate: of each repetition within each group the drawn totals over the drawn sizes. A unit's number is also the slot of one draw in every repetition."""
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(CHUNK)))
+    slots = units.select("_g", F.col("g").alias("slot"), "of", chunks.alias("from")).repartition(tasks, "_g", "slot", "from")
+    draws = slots.select("_g", "slot", "of", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + (CHUNK - 1), F.lit(iterations - 1)))).alias("b"))
+    drawn = draws.select("_g", "b", draw(F.col("b"), F.col("slot"), F.col("of"), seed).alias("g"))
+    return drawn.join(units.select("_g", "g", "total", "size"), ["_g", "g"]).groupBy("_g", "b").agg((F.sum("total") / F.sum("size")).alias("estimate"))
+
+
+def _interval_within(estimates: DataFrame, iterations: int) -> DataFrame:
+    low, high = int(0.025 * iterations), min(int(0.975 * iterations), iterations - 1)
+    at = F.row_number().over(Window.partitionBy("_g").orderBy("estimate")) - 1
+    end = lambda i: F.max(F.when(F.col("i") == i, F.col("estimate")))
+    return estimates.withColumn("i", at).groupBy("_g").agg(end(low).alias("ci_low"), end(high).alias("ci_high"), F.count_if(F.col("estimate") <= 0).alias("below"), F.count_if(F.col("estimate") >= 0).alias("above"))
 
 
 def conclusion(comparison: DataFrame) -> DataFrame:

@@ -20,15 +20,23 @@ KINDS = ("id_collision", "exact_duplicate", "normalized_duplicate", "near_duplic
 #: Kinds that make a split unusable when they cross splits.
 FATAL = ("id_collision", "exact_duplicate", "normalized_duplicate", "near_duplicate")
 THRESHOLD = 0.85
+#: Parts of a class of equal keys while its first row is looked for.
+SALTS = 16
 #: Min-hash rows of 16 bands of 4.
 BANDS, ROWS = 16, 4
 
 
 def star(rows: DataFrame, key: Column, kind: str, similarity: float = 1.0) -> DataFrame:
-    """The first row of each class of equal keys (not null) with every later one. The first is found by an aggregation, so a large class is not sorted in one task."""
-    work = rows.withColumn("_key", key).filter(F.col("_key").isNotNull())
-    first = work.groupBy("_key").agg(F.min(F.struct("ord", "id", "split")).alias("_f"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return work.join(first, "_key").filter(F.col("ord") > F.col("_f.ord")).select(
+    """The first row of each class of equal keys (not null) with every later one. The first is found by an aggregation, so a large class is not sorted in one task.
+
+    Keys are computed once: rows of id, split, ord and key are dealt out by key and salt, and that exchange serves both the firsts and the rows that they are joined to."""
+    salt = F.pmod(F.xxhash64("id", "ord"), F.lit(SALTS))
+    work = rows.select("id", "split", "ord", key.alias("_key")).filter(F.col("_key").isNotNull()).withColumn("_salt", salt).repartition("_key", "_salt")
+    first = work.groupBy("_key", "_salt").agg(F.min(F.struct("ord", "id", "split")).alias("_f"), F.count(F.lit(1)).alias("_n"))
+    first = first.groupBy("_key").agg(F.min("_f").alias("_f"), F.sum("_n").alias("_n")).filter("_n > 1")
+    # written so that nothing of it is pushed below the exchange
+    later = F.coalesce(F.col("ord") > F.col("_f.ord"), F.lit(False))
+    return work.join(first, "_key").filter(later).select(
         F.lit(kind).alias("kind"), F.col("_f.id").alias("left_id"), F.col("id").alias("right_id"), F.col("_f.split").alias("left_split"), F.col("split").alias("right_split"), F.lit(similarity).alias("similarity")
     )
 
@@ -82,19 +90,21 @@ def _bands(grams: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """Pairs of different ids whose sets of character n-grams of the normalised text have a Jaccard similarity of `threshold` or more; pairs of exact stars are left out, other members of an exact class are not.
+    """Pairs of different texts whose sets of character n-grams of the normalised text have a Jaccard similarity of `threshold` or more.
 
-    Candidates share one of 16 min-hash bands (recall at 0.85 is above 0.9999). Equal normalised texts are one class: bands and similarities are computed once a class, and
-    sets whose sizes differ by more than the threshold allows do not meet. No bucket is left out, however large."""
-    normalized = rows.select("id", "split", "ord", normalize_text(F.col("text")).alias("norm")).withColumn("cls", F.xxhash64("norm"))
-    classes = normalized.groupBy("cls").agg(F.first("norm").alias("norm"))
+    Rows of equal normalised text are one class, which its first row stands for; the others are its members by normalized_duplicates() and exact_duplicates(), so copies are not expanded into
+    pairs, and where rows of two splits are alike one of the three says so. Candidates share one of 16 min-hash bands (recall at 0.85 is above 0.9999); sets whose sizes differ by more than the threshold allows
+    do not meet. No bucket is left out, however large. Texts are normalised and signed once: what later steps read comes from the same exchanges."""
+    normalized = rows.select("id", "split", "ord", normalize_text(F.col("text")).alias("norm"))
+    # one aggregate, so that every reader of the classes asks for the same exchange
+    classes = normalized.filter("norm is not null").groupBy(F.sha2("norm", 256).alias("cls")).agg(F.min(F.struct("ord", "id", "split", "norm")).alias("f"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [_grams(t.as_py(), size) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int32()), pa.array([_bands(g).view(np.int64) for g in grams], pa.list_(pa.int64()))], ["cls", "n", "bands"])
 
-    signed = classes.mapInArrow(sign, "cls long, n int, bands array<long>")
+    signed = classes.select("cls", "f.norm").mapInArrow(sign, "cls string, n int, bands array<long>").repartition("cls", "n")
     # sizes of alike sets differ by less than 1 / threshold: a bucket's members are dealt to size steps of that ratio, and meet those of their own step and the next
     step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold)))
     keyed = signed.select("cls", "n", step.alias("s"), F.posexplode("bands").alias("band", "h"))
@@ -103,8 +113,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = S
     apart = F.when(F.col("s") == F.col("sa"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     sized = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
     candidates = left.join(right, ["band", "h", "s"]).filter(apart & sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    texts = classes.select(F.col("cls"), "norm")
-    both = candidates.join(texts.withColumnRenamed("cls", "a").withColumnRenamed("norm", "x"), "a").join(texts.withColumnRenamed("cls", "b").withColumnRenamed("norm", "y"), "b")
+    both = candidates.join(classes.select(F.col("cls").alias("a"), F.col("f").alias("x")), "a").join(classes.select(F.col("cls").alias("b"), F.col("f").alias("y")), "b")
 
     @F.pandas_udf("double")
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -115,23 +124,11 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = S
             out.append(common / (len(g) + len(h) - common) if len(g) + len(h) else 1.0)
         return pd.Series(out)
 
-    alike = both.select("a", "b", similarity("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold)
-    same = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity"))
-    members = normalized.select("cls", "id", "split", "ord")
-    l = members.select(F.col("cls").alias("a"), F.col("id").alias("i"), F.col("split").alias("si"), F.col("ord").alias("oi"))
-    r = members.select(F.col("cls").alias("b"), F.col("id").alias("j"), F.col("split").alias("sj"), F.col("ord").alias("oj"))
-    pairs = alike.union(same).join(l, "a").join(r, "b").filter((F.col("i") != F.col("j")) & ((F.col("a") != F.col("b")) | (F.col("oi") < F.col("oj"))))
-    first = F.col("oi") < F.col("oj")
-    out = pairs.select(
-        F.lit("near_duplicate").alias("kind"),
-        F.when(first, F.col("i")).otherwise(F.col("j")).alias("left_id"),
-        F.when(first, F.col("j")).otherwise(F.col("i")).alias("right_id"),
-        F.when(first, F.col("si")).otherwise(F.col("sj")).alias("left_split"),
-        F.when(first, F.col("sj")).otherwise(F.col("si")).alias("right_split"),
-        "similarity",
-    ).dropDuplicates(["left_id", "right_id"])
-    exact = exact_duplicates(rows).select(pair_key().alias("_p")).distinct()
-    return out.withColumn("_p", pair_key()).join(exact, "_p", "left_anti").drop("_p")
+    alike = both.withColumn("similarity", similarity("x.norm", "y.norm")).filter(F.col("similarity") >= threshold)
+    first = F.struct("x.ord", "x.id", "x.split") < F.struct("y.ord", "y.id", "y.split")
+    ends = F.when(first, F.struct(F.col("x").alias("l"), F.col("y").alias("r"))).otherwise(F.struct(F.col("y").alias("l"), F.col("x").alias("r")))
+    out = alike.select(ends.alias("e"), "similarity")
+    return out.select(F.lit("near_duplicate").alias("kind"), F.col("e.l.id").alias("left_id"), F.col("e.r.id").alias("right_id"), F.col("e.l.split").alias("left_split"), F.col("e.r.split").alias("right_split"), "similarity")
 
 
 def scenario_repeats(rows: DataFrame) -> DataFrame:

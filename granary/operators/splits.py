@@ -95,6 +95,19 @@ def split_rows(rows: DataFrame, config: SplitConfig, group: Column | None = None
     return split_holdout(rows, holdout_value(F.col(ATTRIBUTES[config.strategy])), group, config)
 
 
+def violations(split: DataFrame, group: Column) -> DataFrame:
+    """One row: ids_apart (ids in two splits), groups_apart (groups in two splits), n (rows)."""
+    apart = lambda key, name: split.groupBy(key.alias("k")).agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(name))
+    return apart(F.col("id"), "ids_apart").crossJoin(apart(group, "groups_apart")).crossJoin(split.agg(F.count(F.lit(1)).alias("n")))
+
+
+def named(split: DataFrame, name: str) -> DataFrame:
+    """The rows of one split; a name that no split has raises."""
+    if name not in SPLITS:
+        raise ValueError(f"no such split: {name}")
+    return split.filter(F.col("split") == name)
+
+
 def verify(split: DataFrame, group: Column | None = None, expected: int | None = None) -> None:
     """Raises if an id is in two splits, rows are missing, or a group lies in two splits."""
     if expected is not None and split.count() != expected:

@@ -51,7 +51,7 @@ def validate(rows: DataFrame, max_tokens: int | None = None, require_reviewed: b
     """All findings: those of single rows gathered by code and subject, and those of the whole (empty, repeated ids, mixed versions, constant axes).
 
     Counts are complete; ids listed are the LISTED least, kept small by a window before they are collected."""
-    per_row = row_findings(rows, max_tokens, require_reviewed, scan_content)
+    per_row = row_findings(rows, max_tokens, require_reviewed, scan_content).repartition("id")  # one exchange, so that texts are scanned once for counts and ids
     by = ("severity", "code", "subject")
     counts = per_row.groupBy(*by).agg(F.count(F.lit(1)).alias("n_affected"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("id"))

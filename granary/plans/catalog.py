@@ -17,6 +17,7 @@ from ..operators import leakage as L
 from ..operators import registry as R
 from ..operators import splits as S
 from ..operators import validation as Q
+from ..operators.graders import NDCG_WEIGHT
 from ..sources import files
 from . import bindings
 from .bindings import RANKS, RECORDS, TEXTS, rank_sql, table
@@ -138,14 +139,16 @@ def f44_padded_length(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.max(X.padded_length(F.col("l_partkey"))).alias("padded"))
 
 
-@query(
-    """WITH h AS (SELECT page_id, CAST(i AS INT) AS line, x, unnest([['email_address', '\\b[\\w.+-]+@[\\w-]+\\.[\\w.]{2,}\\b'], ['us_phone', '\\b(?:\\+1[-.\\s]?)?\\(?\\d{3}\\)?[-.\\s]\\d{3}[-.\\s]\\d{4}\\b']]) AS p
+def _lines_sql() -> str:
+    patterns = ", ".join(f"['{n}', '{p}']" for n, p in X.SENSITIVE.items())
+    return f"""WITH h AS (SELECT page_id, CAST(i AS INT) AS line, x, unnest([{patterns}]) AS p
   FROM (SELECT page_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM (SELECT page_id, string_split(html, chr(10)) AS ls FROM pages)))
 SELECT page_id, line, p[1] AS pattern, left(regexp_extract(x, p[2]), 6) || '…' AS found FROM h WHERE regexp_matches(x, p[2])"""
-)
+
+
+@query(_lines_sql())
 def s22_content_scan(spark: SparkSession, sf: str) -> DataFrame:
-    two = {k: X.SENSITIVE[k] for k in ("email_address", "us_phone")}
-    return files.scan_content(table(spark, sf, "pages"), "html", ["page_id"], two)
+    return files.scan_content(table(spark, sf, "pages"), "html", ["page_id"])
 
 
 # filters and validation
@@ -221,7 +224,14 @@ def j05b_exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return L.exact_duplicates(bindings.texts(spark, sf)).select(*SHOWN)
 
 
-_NORMALIZED = f"""WITH {TEXTS}, k AS (SELECT *, {norm_sql('text')} AS nk FROM txt),
+def _variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts, and every third of them once more with punctuation around it, in another split."""
+    rows = bindings.texts(spark, sf)
+    again = rows.filter("ord % 3 = 0").select(F.concat(F.lit("v"), "id").alias("id"), F.lit("variant").alias("split"), (F.col("ord") + 10**13).alias("ord"), F.concat(F.lit("** "), "text", F.lit(" !")).alias("text"), "family", "entities")
+    return rows.union(again)
+
+
+_NORMALIZED = f"""WITH {TEXTS}, a AS (SELECT id, split, ord, text FROM txt UNION ALL SELECT 'v' || id, 'variant', ord + 10000000000000, '** ' || text || ' !' FROM txt WHERE ord % 3 = 0), k AS (SELECT *, {norm_sql('text')} AS nk FROM a),
 ef AS (SELECT text, min(ord) AS o FROM k GROUP BY text HAVING count(*) > 1),
 ex AS (SELECT least(a.id, b.id) AS x, greatest(a.id, b.id) AS y FROM ef JOIN k a ON a.text = ef.text AND a.ord = o JOIN k b ON b.text = ef.text AND b.ord > o),
 nf AS (SELECT nk, min(ord) AS o FROM k GROUP BY nk HAVING count(*) > 1)"""
@@ -233,18 +243,19 @@ nf AS (SELECT nk, min(ord) AS o FROM k GROUP BY nk HAVING count(*) > 1)"""
 WHERE NOT EXISTS (SELECT 1 FROM ex WHERE x = least(a.id, b.id) AND y = greatest(a.id, b.id))"""
 )
 def j05c_normalized_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return L.normalized_duplicates(bindings.texts(spark, sf)).select(*SHOWN)
+    return L.normalized_duplicates(_variants(spark, sf)).select(*SHOWN)
 
 
 @query(
-    _NORMALIZED
-    + """, s AS (SELECT id, ord, CASE WHEN length(nk) > 5 THEN list_distinct(list_transform(range(1, length(nk) - 3), lambda i: substr(nk, i, 5))) WHEN nk <> '' THEN [nk] ELSE [] END AS g FROM k),
+    f"""WITH {TEXTS}, k AS (SELECT *, {norm_sql('text')} AS nk FROM txt), f AS (SELECT nk, min(ord) AS ord, arg_min(id, ord) AS id FROM k WHERE nk IS NOT NULL GROUP BY nk),
+s AS (SELECT id, ord, CASE WHEN length(nk) > 5 THEN list_distinct(list_transform(range(1, length(nk) - 3), lambda i: substr(nk, i, 5))) WHEN nk <> '' THEN [nk] ELSE [] END AS g FROM f),
 u AS (SELECT id, ord, len(g) AS n, unnest(g) AS x FROM s),
 c AS (SELECT a.id AS i, b.id AS j, a.n + b.n AS t, count(*) AS m FROM u a JOIN u b ON a.x = b.x AND a.ord < b.ord AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY ALL)
-SELECT least(i, j) AS left_id, greatest(i, j) AS right_id, round(m / (t - m), 6) AS similarity FROM c WHERE m / (t - m) >= 0.85 AND NOT EXISTS (SELECT 1 FROM ex WHERE x = least(i, j) AND y = greatest(i, j))"""
+SELECT i AS left_id, j AS right_id, round(m / (t - m), 6) AS similarity FROM c WHERE m / (t - m) >= 0.85"""
 )
 def j05d_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return L.near_duplicates(bindings.texts(spark, sf)).select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), *six("similarity"))
+    """Pairs of classes of equal normalised texts, each by its first row; the classes' members are what j05b and j05c list."""
+    return L.near_duplicates(bindings.texts(spark, sf)).select("left_id", "right_id", *six("similarity"))
 
 
 @query(
@@ -546,8 +557,9 @@ c AS (SELECT doc_id, w, count(*) FILTER (side = 'a') AS x, count(*) FILTER (side
 SELECT doc_id, round(CASE WHEN sum(x) = 0 OR sum(y) = 0 THEN CASE WHEN sum(x) = sum(y) THEN 1 ELSE 0 END ELSE 2 * sum(least(x, y)) / (sum(x) + sum(y)) END, 6) AS f1 FROM c GROUP BY doc_id"""
 )
 def f27_token_f1(spark: SparkSession, sf: str) -> DataFrame:
-    norm = lambda c: X.normalize_answer(F.col(c))
-    return _neighbours(spark, sf).select("doc_id", M.token_f1(norm("a"), norm("b")).alias("f1")).select("doc_id", *six("f1"))
+    counts = M.token_counts(table(spark, sf, "documents"), "doc_id", X.normalize_answer(F.col("text")))
+    after = counts.withColumn("doc_id", F.col("doc_id") - 1)
+    return M.token_f1_rows(counts, after, "doc_id").select("doc_id", *six("f1"))
 
 
 @query(
@@ -596,50 +608,73 @@ def _boot(df: DataFrame) -> DataFrame:
     return df.select("n", "clusters", *six("observed", "ci_low", "ci_high"), "p_value")
 
 
-@query(_bootstrap_sql("example_id", "tuned - base", "rec", 200))
+@query(_bootstrap_sql("example_id", "tuned - base", "rec", 2000))
 def r01_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Paired differences, each drawn by itself."""
-    return _boot(B.paired_bootstrap(_arms(spark, sf), iterations=200))
+    return _boot(B.paired_bootstrap(_arms(spark, sf)))
 
 
-@query(_bootstrap_sql("group_id", "score", "rec", 200))
+@query(_bootstrap_sql("group_id", "score", "rec", 2000))
 def r02_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    return _boot(B.cluster_bootstrap(bindings.records(spark, sf), F.col("score"), "group_id", iterations=200))
+    return _boot(B.cluster_bootstrap(bindings.records(spark, sf), F.col("score"), "group_id"))
 
 
-@query(_bootstrap_sql("group_id", "tuned - base", "rec", 200))
+@query(_bootstrap_sql("group_id", "tuned - base", "rec", 2000))
 def r03_paired_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    return _boot(B.paired_cluster_bootstrap(_arms(spark, sf), iterations=200))
-
-
-@query()
-def r06_compare(spark: SparkSession, sf: str) -> DataFrame:
-    return B.compare(_arms(spark, sf), iterations=200).select("task", "n", "clusters", *six("base", "tuned", "delta", "ci_low", "ci_high", "p_value"), "verdict", "primary")
+    return _boot(B.paired_cluster_bootstrap(_arms(spark, sf)))
+
+
+def compare_sql(select: str, b: int = 2000, seed: int = 42) -> str:
+    """What compare() finds, for a SELECT over its rows."""
+    low, high = int(0.025 * b), min(int(0.975 * b), b - 1)
+    return f"""WITH {RECORDS}, w AS (SELECT true AS overall, 'overall' AS task, group_id, base, tuned FROM rec UNION ALL SELECT false, task, group_id, base, tuned FROM rec),
+p AS (SELECT overall, task, group_id AS c, sum(tuned - base) AS t, count(*) AS z, sum(base) AS sb, sum(tuned) AS st FROM w GROUP BY ALL),
+u AS (SELECT *, row_number() OVER (PARTITION BY overall, task ORDER BY sha256(c), c) - 1 AS g, count(*) OVER (PARTITION BY overall, task) AS k FROM p),
+h AS (SELECT overall, task, sum(z)::BIGINT AS n, count(*) AS clusters, sum(sb) / sum(z) AS base, sum(st) / sum(z) AS tuned, sum(t) / sum(z) AS ob FROM p GROUP BY ALL),
+d AS (SELECT overall, task, b, CAST('0x' || substr(sha256('{seed}:' || b || ':' || g), 1, 15) AS BIGINT) % k AS g FROM u, range({b}) x(b)),
+e AS (SELECT d.overall, d.task, b, sum(t) / sum(z) AS est FROM d JOIN u ON d.overall = u.overall AND d.task = u.task AND d.g = u.g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY overall, task ORDER BY est) - 1 AS i FROM e),
+f AS (SELECT overall, task, max(CASE WHEN i = {low} THEN est END) AS ci_low, max(CASE WHEN i = {high} THEN est END) AS ci_high, count(*) FILTER (est <= 0) AS below, count(*) FILTER (est >= 0) AS above FROM r GROUP BY ALL),
+o AS (SELECT h.*, ci_low, ci_high, least(1.0::DOUBLE, 2 * CASE WHEN ob >= 0 THEN below ELSE above END / {b}) AS p_value FROM h JOIN f USING (overall, task)),
+v AS (SELECT *, CASE WHEN abs(tuned - base) < 0.01 THEN 'no change' ELSE CASE WHEN tuned > base THEN 'improved' ELSE 'regressed' END || CASE WHEN p_value < 0.05 THEN '' ELSE ' (not significant)' END END AS verdict,
+  CASE WHEN round_even(ci_low, 4) > 0 THEN 'better' WHEN round_even(ci_high, 4) < 0 THEN 'worse' WHEN round_even(ci_low, 4) >= -0.02 AND round_even(ci_high, 4) <= 0.02 THEN 'equivalent' ELSE 'inconclusive' END AS prim FROM o)
+SELECT {select} FROM v"""
 
 
 # extraction and graders
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    rows = [
-        (1, '```json\n{"ranking": ["a", "b", "c"], "label": "scope", "confident": true}\n```', "ranking"),
-        (2, "1. c\n2. b\n3. a\nWhat decided it: scope.", "policy"),
-        (3, "I do not know which one you mean.", "policy"),
-        (4, '{"ranking": ["b", "a", "c"], "decided_by": "scope", "confident": false} trailing', "policy"),
-        (5, "The label is scope.", "classification"),
-        (6, '["a", "b"]', "set_match"),
-        (7, "Scope", "exact_match"),
-        (8, "You should obviously start with point one [evidence-7].", "heuristic_rubric"),
-    ]
-    reference = F.struct(F.lit("scope").alias("text"), F.lit("scope").alias("label"), F.array(F.lit("deadline"), F.lit("scope")).alias("options"), F.array(F.lit("a"), F.lit("c")).alias("items"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("ranking"), F.lit(True).alias("confident"), F.array(F.lit("point one"), F.lit("point two")).alias("required_points"), F.array(F.lit("never")).alias("forbidden_points"), F.array(F.lit("evidence-7")).alias("evidence_ids"), F.lit(None).cast("string").alias("expected_decision"))
-    return spark.createDataFrame(rows, "id int, response string, grader string").withColumn("reference", reference)
-
-
-@query()
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer and a reference for every ranked order, for one of the six graders by turns."""
+    k = F.col("l_orderkey")
+    listed, even = F.to_json("predicted"), k % 2 == 0
+    label = F.when(even, "scope").otherwise("deadline")
+    said = {
+        "exact_match": F.when(even, "The  Scope!").otherwise("deadline"),
+        "classification": F.concat(F.lit("It is the "), label, F.lit(".")),
+        "set_match": F.to_json(F.slice("predicted", 1, 3)),
+        "ranking": F.concat(F.lit("```json\n{\"ranking\": "), listed, F.lit("}\n```")),
+        "policy": F.concat(F.lit("{\"ranking\": "), listed, F.lit(", \"decided_by\": \""), label, F.lit("\", \"confident\": "), F.when(k % 3 == 0, "true").otherwise("false"), F.lit("}")),
+        "heuristic_rubric": F.concat(F.lit("You should "), F.when(even, "obviously ").otherwise(""), F.lit("start with point one [evidence-7].")),
+    }
+    grader = F.element_at(F.array(*[F.lit(g) for g in said]), (k % 6 + 1).cast("int"))
+    answer = F.element_at(F.array(*said.values()), (k % 6 + 1).cast("int"))
+    reference = F.struct(F.lit("scope").alias("text"), F.lit("scope").alias("label"), F.array(F.lit("deadline"), F.lit("scope")).alias("options"), F.slice("reference", 1, 2).alias("items"), F.col("reference").alias("ranking"), F.lit(True).alias("confident"), F.array(F.lit("point one"), F.lit("point two")).alias("required_points"), F.array(F.lit("never")).alias("forbidden_points"), F.array(F.lit("evidence-7")).alias("evidence_ids"), F.lit(None).cast("string").alias("expected_decision"))
+    return bindings.rankings(spark, sf).select(k.alias("id"), answer.alias("response"), grader.alias("grader"), reference.alias("reference"))
+
+
+_GRADES = f"""WITH {RANKS}, s AS (
+  SELECT l_orderkey AS id, sum((n - rr + 1) / log2(pr + 1)) / sum((n - rr + 1) / log2(rr + 1)) AS ndcg, max(CASE WHEN pr = 1 AND rr = 1 THEN 1.0 ELSE 0.0 END) AS top,
+    count(*) FILTER (pr <= 3) AS p, count(*) FILTER (rr <= 2) AS r, count(*) FILTER (pr <= 3 AND rr <= 2) AS c FROM rk GROUP BY 1
+), b AS (SELECT *, {{w}}::DOUBLE * ndcg + (1 - {{w}}::DOUBLE) * top AS blend, CASE WHEN id % 2 = 0 THEN 1.0 ELSE 0.0 END AS even FROM s)
+SELECT id, ['exact_match', 'classification', 'set_match', 'ranking', 'policy', 'heuristic_rubric'][(id % 6 + 1)::INT] AS grader, round(CASE id % 6 WHEN 0 THEN even WHEN 1 THEN even WHEN 2 THEN 2 * c / (p + r) WHEN 3 THEN blend WHEN 4 THEN (blend + even + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END) / 3 ELSE 0.8 - 0.068 * even END, 6) AS score, false AS parse_failed FROM b"""
+
+
+@query(_GRADES.format(w=NDCG_WEIGHT))
 def g_graders(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.graders import grade
 
-    return grade(_answers(spark)).select("id", "grader", F.round("score", 6).alias("score"), "parse_failed")
+    return grade(_answers(spark, sf)).select("id", "grader", *six("score"), "parse_failed")
 
 
 @query()

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.conversations import ID_PATTERN, shape_errors
+from ..functions.conversations import ID_PATTERN, content_hash, shape_errors
+from ..operators.registry import dataset_hash
 from ..operators.validation import SOURCES, STATUSES, TASKS
 from . import schemas
 
@@ -31,7 +32,11 @@ def scan_json(spark: SparkSession, paths: str | Sequence[str], strict: bool = Tr
 
 def load_report(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Per file: total lines, blank, parsed, failed."""
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    return report_lines(spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def report_lines(text: DataFrame) -> DataFrame:
+    """load_report() of lines (file, value)."""
     blank = F.col("value").rlike(r"^\s*$")
     good = F.col("value").rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json("value").isNotNull()
     return text.groupBy("file").agg(F.count(F.lit(1)).alias("total"), F.count_if(blank).alias("blank"), F.count_if(~blank & good).alias("parsed"), F.count_if(~blank & ~good).alias("failed"))
@@ -52,9 +57,13 @@ def example_errors() -> Column:
 
 
 def load_examples(spark: SparkSession, paths: str | Sequence[str], schema: str = schemas.EXAMPLE) -> tuple[DataFrame, DataFrame]:
-    """Good rows (typed) and rejects (file, at, id, errors). Keys that the schema does not have are errors; both come from one scan's expressions."""
-    fields = [f.name for f in T._parse_datatype_string(schema).fields]
-    lines = scan_lines(spark, paths)
+    """judge_lines() of the lines of files."""
+    return judge_lines(scan_lines(spark, paths), schema)
+
+
+def judge_lines(lines: DataFrame, schema: str = schemas.EXAMPLE) -> tuple[DataFrame, DataFrame]:
+    """lines: file, at, value. Good rows (typed) and rejects (file, at, id, errors). Keys that the schema does not have are errors; both come from one scan's expressions."""
+    fields = [f.name for f in T.StructType.fromDDL(schema).fields]
     parsed = lines.select("file", "at", "value", F.from_json("value", schema).alias("x"), F.json_object_keys("value").alias("keys"))
     flat = parsed.select("file", "at", "keys", "x.*").withColumn("not_json", F.col("keys").isNull())
     extra = F.transform(F.array_except(F.coalesce("keys", F.array().cast("array<string>")), F.lit(fields)), lambda k: F.concat(F.lit("unknown_field:"), k))
@@ -116,11 +125,21 @@ def load_manifests(spark: SparkSession, pattern: str, schema: str = schemas.MANI
 
 
 def read_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Events, malformed lines left out; fields beyond the schema in `fields` (VARIANT)."""
-    rows = spark.read.text(paths).withColumn("fields", F.when(F.col("value").rlike(r"^\s*\{.*\}\s*$"), F.try_parse_json("value"))).filter("fields is not null")
+    """parse_events() of the lines of files."""
+    return parse_events(spark.read.text(paths))
+
+
+def parse_events(lines: DataFrame) -> DataFrame:
+    """Events of lines (value), malformed ones left out; fields beyond the schema in `fields` (VARIANT)."""
+    rows = lines.select("value", F.when(F.col("value").rlike(r"^\s*\{.*\}\s*$"), F.try_parse_json("value")).alias("fields")).filter("fields is not null")
     return rows.select(F.from_json("value", schemas.EVENT).alias("e"), "fields").select("e.*", "fields")
 
 
+def last_records(records: DataFrame) -> DataFrame:
+    """Of the records of one seed and example the one that comes last by `at`."""
+    return records.groupBy("seed", "example_id").agg(F.max_by(F.struct(*[c for c in records.columns if c not in ("seed", "example_id", "at")]), "at").alias("g")).select("seed", "example_id", "g.*")
+
+
 def read_partial_log(spark: SparkSession, path: str, identity: str) -> DataFrame:
     """Recorded generations of a log: its first line names the identity (identity_sha256), which must be the one given; a torn last line is dropped, a damaged one before it raises; of repeated
     (seed, example_id) the last record wins."""
@@ -133,5 +152,43 @@ def read_partial_log(spark: SparkSession, path: str, identity: str) -> DataFrame
         raise ValueError("the log belongs to another run")
     if bad.damaged:
         raise ValueError("the log is damaged before its last line")
-    records = work.filter("ok and at > first").select("at", F.from_json("value", schemas.GENERATION).alias("g")).select("at", "g.*")
-    return records.groupBy("seed", "example_id").agg(F.max_by(F.struct(*[c for c in records.columns if c not in ("seed", "example_id", "at")]), "at").alias("g")).select("seed", "example_id", "g.*")
+    return last_records(work.filter("ok and at > first").select("at", F.from_json("value", schemas.GENERATION).alias("g")).select("at", "g.*"))
+
+
+SPLIT_NAMES = {"train": ("train", "training"), "validation": ("validation", "valid", "val", "dev"), "test": ("test", "eval", "evaluation")}
+
+
+def discover_splits(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Path of each split's file or folder of JSON lines, by the first of its names that is there. A handful of names is looked up, through Spark's readers, so any store will do."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(folder).select("path").distinct()
+    top = names.select(F.regexp_extract("path", r"([^/]+?)(?:\.jsonl)?$", 1).alias("name"), "path").filter(F.col("name").isin(*[n for own in SPLIT_NAMES.values() for n in own])).collect()
+    have = {r["name"]: r["path"] for r in top}
+    return {split: have[n] for split, own in SPLIT_NAMES.items() for n in own if n in have and n == next(m for m in own if m in have)}
+
+
+def prepare(spark: SparkSession, source: str, target: str, version: str) -> DataFrame:
+    """Write the good rows of a raw dataset to a new versioned folder (an existing one raises): rows as JSON lines under data, rejects under rejects, and the manifest, which is returned: version, example_count, rejected,
+    task_distribution, domain_distribution, content_hash."""
+    good, rejects = load_examples(spark, source)
+    write_jsonl(good.drop("file", "at"), f"{target}/data")
+    rejects.write.mode("errorifexists").json(f"{target}/rejects")
+    kept = spark.read.schema(schemas.EXAMPLE).json(f"{target}/data")
+    spread = lambda c: kept.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(c, F.lit("")), "n")))).alias(f"{c}_distribution"))
+    digest = dataset_hash(kept.withColumn("split", F.lit("all")), content_hash(F.col("messages"))).withColumnRenamed("sha256", "content_hash")
+    counts = kept.agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("example_count")).crossJoin(rejects.agg(F.count(F.lit(1)).alias("rejected")))
+    manifest = reduce(DataFrame.crossJoin, [counts, spread("task"), spread("domain"), digest])
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{target}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{target}/manifest")
+
+
+def emit_schemas() -> dict[str, str]:
+    """The schemas of what is read, as JSON, by name."""
+    return {name.lower(): T.StructType.fromDDL(getattr(schemas, name)).json() for name in ("EXAMPLE", "EVALUATION", "RECORD", "MANIFEST", "RUN", "EVENT", "GENERATION")}
+
+
+def emit_events(events: DataFrame, path: str) -> None:
+    """Append events, with ts and iso_time added where they are not there, as JSON lines: a table that is only ever appended to."""
+    now = F.current_timestamp()
+    rows = events if "ts" in events.columns else events.withColumn("ts", F.unix_micros(now) / 1e6)
+    rows = rows if "iso_time" in rows.columns else rows.withColumn("iso_time", F.date_format(F.timestamp_micros((F.col("ts") * 1e6).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+    rows.select(json_line(rows.schema).alias("value")).write.mode("append").text(path)

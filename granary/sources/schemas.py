@@ -16,3 +16,5 @@ MANIFEST = (
 RUN = "experiment_id string, name string, kind string, status string, task string, model_family string, config_hash string, seed bigint, dataset_version string, dataset_hash string, created_at string, started_at string, finished_at string, duration_seconds double, metrics variant"
 EVENT = "ts double, iso_time string, experiment_id string, stage string, event string"
 GENERATION = "seed int, example_id string, text string, reasoning string, prompt_tokens int, completion_tokens int, finish_reason string, latency_seconds double"
+#: The fields of a record that a payload's results hold, for use inside of a struct.
+RECORD_FIELDS = ", ".join(f"{name}: {kind}" for name, kind in (x.split(" ", 1) for x in RECORD.split(", ")))
