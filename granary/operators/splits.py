@@ -53,33 +53,38 @@ def split_grouped(rows: DataFrame, group: Column, config: SplitConfig) -> DataFr
     return rows.withColumn("split", by_rank(stable_rank(group, config.seed), config.train, config.validation))
 
 
-def held_out_values(rows: DataFrame, value: Column, config: SplitConfig) -> list[str]:
-    """Values in the order of their stable rank until the test fraction is reached (at least one). The table of values and counts is read on the driver: it must be short enough to be a list of held-out values."""
+#: Ranges of ranks over which counts are summed before they are added up.
+RANGES = 4096
+
+
+def held_out(rows: DataFrame, value: Column, config: SplitConfig) -> DataFrame:
+    """Table of value: those named, or values in the order of their stable rank until the test fraction is reached (at least one). Counts are added up over ranges of the rank, so no task sees all values."""
     counts = rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    known = counts.withColumn("rank", stable_rank(F.col("value"), config.seed))
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     if distinct < 2:
         raise ValueError("a holdout needs at least two values")
     if config.holdout_values:
-        have = {r.value for r in counts.filter(F.col("value").isin(*config.holdout_values)).collect()}
-        if missing := sorted(set(config.holdout_values) - have):
+        out = counts.filter(F.col("value").isin(*config.holdout_values)).select("value")
+        if missing := sorted(set(config.holdout_values) - {r.value for r in out.collect()}):
             raise ValueError(f"values that do not occur: {missing}")
-        out = sorted(have)
     else:
         target = max(1, int(total * config.test))
-        before = F.coalesce(F.sum("n").over(Window.orderBy("rank", "value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        out = [r.value for r in known.withColumn("before", before).filter(F.col("before") < target).orderBy("rank").collect()]
-    if len(out) >= distinct:
+        known = counts.withColumn("rank", stable_rank(F.col("value"), config.seed)).withColumn("range", F.floor(F.col("rank") * RANGES))
+        sums = known.groupBy("range").agg(F.sum("n").alias("sum"))
+        starts = sums.select("range", F.coalesce(F.sum("sum").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+        within = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("rank", "value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        out = known.withColumn("within", within).join(F.broadcast(starts), "range").filter(F.col("start") + F.col("within") < target).select("value")
+    if out.count() >= distinct:
         raise ValueError("nothing would be left to train on")
     return out
 
 
 def split_holdout(rows: DataFrame, value: Column, group: Column, config: SplitConfig) -> DataFrame:
-    """Held-out values go to test; the rest is split by group into train and validation."""
-    held = held_out_values(rows, value, config)
+    """Held-out values go to test; the rest is split by group into train and validation. The table of held-out values is joined, so it may be of any length."""
+    held = held_out(rows, value, config).select(F.col("value").alias("_value"), F.lit(True).alias("_held"))
     rest = config.train + config.validation
     seen = F.when(stable_rank(group, config.seed) < F.lit(config.train / rest), "train").when(stable_rank(group, config.seed) < F.lit(config.train / rest + config.validation / rest), "validation").otherwise("train")
-    return rows.withColumn("split", F.when(value.isin(*held), "test").otherwise(seen))
+    return rows.withColumn("_value", value).join(held, "_value", "left").withColumn("split", F.when(F.col("_held"), "test").otherwise(seen)).drop("_value", "_held")
 
 
 def split_rows(rows: DataFrame, config: SplitConfig, group: Column | None = None) -> DataFrame:

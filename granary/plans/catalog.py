@@ -508,8 +508,7 @@ def p09_suite(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH v AS (SELECT source AS v, count(*) AS n, {rank_sql('source', 42)} AS r FROM documents GROUP BY source), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY r, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM v) SELECT v AS value FROM b WHERE before < greatest(1, floor(total * 0.15::DOUBLE))")
 def w01_holdout_values(spark: SparkSession, sf: str) -> DataFrame:
-    held = S.held_out_values(table(spark, sf, "documents"), C.holdout_value(F.col("source")), S.SplitConfig("domain_holdout"))
-    return spark.createDataFrame([(v,) for v in held], "value string")
+    return S.held_out(table(spark, sf, "documents"), C.holdout_value(F.col("source")), S.SplitConfig("domain_holdout"))
 
 
 # splits

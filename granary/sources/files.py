@@ -54,11 +54,13 @@ def scan_content(rows: DataFrame, text: str, key: Sequence[str], patterns: Mappi
     return out.select(*key, "line", "h.pattern", masked(F.col("h.found")).alias("found"))
 
 
-def scan_folder(spark: SparkSession, root: str, allowed: str | None = None, skipped: str = r"/(\.git|\.venv|venv|node_modules|__pycache__)/") -> DataFrame:
-    """scan_content() of the text files under root."""
+def scan_folder(spark: SparkSession, root: str, allowed: str | None = None, skipped: str = r"/(\.git|\.venv|venv|node_modules|__pycache__)/", most: int = MOST_BYTES) -> DataFrame:
+    """scan_content() of the text files under root that are not in a skipped folder. A file of more than `most` bytes is not scanned: it has one row that says so, with line 0, pattern `not_scanned` and its size as found."""
+    files = list_files(spark, root).select("path", "bytes").filter(~F.col("path").rlike(skipped))
+    over = files.filter(F.col("bytes") > most).select("path", F.lit(0).alias("line"), F.lit("not_scanned").alias("pattern"), F.col("bytes").cast("string").alias("found"))
     text = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
-    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), "value").filter((F.col("bytes") <= MOST_BYTES) & ~F.col("path").rlike(skipped))
-    return scan_content(rows, "value", ["path"], allowed=allowed)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"), "value").filter((F.col("bytes") <= most) & ~F.col("path").rlike(skipped))
+    return scan_content(rows, "value", ["path"], allowed=allowed).union(over)
 
 
 def upload_check(files: DataFrame, forbidden: Mapping[str, str]) -> DataFrame:

@@ -142,8 +142,8 @@ def last_records(records: DataFrame) -> DataFrame:
 
 def read_partial_log(spark: SparkSession, path: str, identity: str) -> DataFrame:
     """Recorded generations of a log: its first line names the identity (identity_sha256), which must be the one given; a torn last line is dropped, a damaged one before it raises; of repeated
-    (seed, example_id) the last record wins."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value").filter(~F.col("value").rlike(r"^\s*$"))
+    (seed, example_id) the last record wins. Lines are ordered by where their part of the file starts, and within it as they are read, so a file may be read in any number of parts."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("at"), "value").filter(~F.col("value").rlike(r"^\s*$"))
     rows = lines.withColumn("ok", F.col("value").rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json("value").isNotNull())
     ends = rows.groupBy("file").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     work = rows.join(F.broadcast(ends), "file")

@@ -157,3 +157,42 @@ def test_prepare_dataset_and_splits(spark, tmp_path):
         jsonl.emit_events(spark.createDataFrame([("x", "step", i)], "experiment_id string, event string, loss int"), str(tmp_path / "events"))
     events = jsonl.read_events(spark, str(tmp_path / "events")).collect()
     assert len(events) == 2 and all(e.ts > 0 and e.iso_time and e.event == "step" for e in events)
+
+
+def test_partial_log_in_parts(spark, tmp_path):
+    """The last record of a key wins however many parts the file is read in; another run's log, and damage before the end, raise."""
+    head = json.dumps({"kind": "partial", "identity_sha256": "me"})
+    lines = [json.dumps({"seed": 1, "example_id": f"e{i % 5}", "text": f"t{i}"}) for i in range(400)]
+    log = tmp_path / "log.jsonl"
+    log.write_text("\n".join([head, *lines, '{"seed": 1, "exam']))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = {r.example_id: r.text for r in jsonl.read_partial_log(spark, str(log), "me").collect()}
+        assert got == {f"e{i}": f"t{395 + i}" for i in range(5)}
+        with pytest.raises(ValueError, match="another run"):
+            jsonl.read_partial_log(spark, str(log), "you")
+        log.write_text("\n".join([head, "torn", *lines]))
+        with pytest.raises(ValueError, match="damaged"):
+            jsonl.read_partial_log(spark, str(log), "me")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_large_files_are_named(spark, tmp_path):
+    from granary.sources import files
+
+    (tmp_path / "a.txt").write_text("mail: someone@host.example\n")
+    (tmp_path / "b.txt").write_text("x" * 5000)
+    got = {(r.path.rsplit("/", 1)[1], r.line, r.pattern, r.found) for r in files.scan_folder(spark, str(tmp_path), most=1000).collect()}
+    assert got == {("a.txt", 1, "email_address", "someon…"), ("b.txt", 0, "not_scanned", "5000")}
+
+
+def test_holdout_of_many_values(spark):
+    """Held-out values are joined, in the order of their rank, however many there are."""
+    rows = spark.range(4000).select("id", (F.col("id") % 2000).cast("string").alias("domain"))
+    out = S.split_rows(rows, S.SplitConfig("domain_holdout"))
+    assert out.columns == ["id", "domain", "split"] and out.filter("split = 'test'").count() == 600
+    S.verify(out, expected=4000)
+    assert out.groupBy("domain").agg(F.bool_and(F.col("split") == "test").alias("all"), F.bool_or(F.col("split") == "test").alias("any")).filter("all <> any").count() == 0
+    with pytest.raises(ValueError, match="do not occur"):
+        S.split_rows(rows, S.SplitConfig("domain_holdout", holdout_values=("nothing",)))
