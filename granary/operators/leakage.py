@@ -29,13 +29,13 @@ BANDS, ROWS = 16, 4
 def star(rows: DataFrame, key: Column, kind: str, similarity: float = 1.0) -> DataFrame:
     """The first row of each class of equal keys (not null) with every later one. The first is found by an aggregation, so a large class is not sorted in one task.
 
-    Keys are computed once: rows of id, split, ord and key are dealt out by key and salt, and that exchange serves both the firsts and the rows that they are joined to."""
+    Keys are computed once: rows of id, split, ord and key are dealt out by key and salt, and that exchange serves both the firsts and the rows that they are joined to. For that no filter may be pushed below it:
+    a null key is a name with a mark, and what is asked of a pair is not a plain comparison."""
     salt = F.pmod(F.xxhash64("id", "ord"), F.lit(SALTS))
-    work = rows.select("id", "split", "ord", key.alias("_key")).filter(F.col("_key").isNotNull()).withColumn("_salt", salt).repartition("_key", "_salt")
-    first = work.groupBy("_key", "_salt").agg(F.min(F.struct("ord", "id", "split")).alias("_f"), F.count(F.lit(1)).alias("_n"))
+    work = rows.select("id", "split", "ord", F.coalesce(key.cast("string"), F.lit("\x00null")).alias("_key"), key.isNull().alias("_null")).withColumn("_salt", salt).repartition("_key", "_salt")
+    first = work.groupBy("_key", "_salt").agg(F.min(F.struct("ord", "id", "split", "_null")).alias("_f"), F.count_if(~F.col("_null")).alias("_n"))
     first = first.groupBy("_key").agg(F.min("_f").alias("_f"), F.sum("_n").alias("_n")).filter("_n > 1")
-    # written so that nothing of it is pushed below the exchange
-    later = F.coalesce(F.col("ord") > F.col("_f.ord"), F.lit(False))
+    later = F.coalesce((F.col("ord") > F.col("_f.ord")) & ~F.col("_null") & ~F.col("_f._null"), F.lit(False))
     return work.join(first, "_key").filter(later).select(
         F.lit(kind).alias("kind"), F.col("_f.id").alias("left_id"), F.col("id").alias("right_id"), F.col("_f.split").alias("left_split"), F.col("split").alias("right_split"), F.lit(similarity).alias("similarity")
     )
@@ -95,9 +95,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = S
     Rows of equal normalised text are one class, which its first row stands for; the others are its members by normalized_duplicates() and exact_duplicates(), so copies are not expanded into
     pairs, and where rows of two splits are alike one of the three says so. Candidates share one of 16 min-hash bands (recall at 0.85 is above 0.9999); sets whose sizes differ by more than the threshold allows
     do not meet. No bucket is left out, however large. Texts are normalised and signed once: what later steps read comes from the same exchanges."""
-    normalized = rows.select("id", "split", "ord", normalize_text(F.col("text")).alias("norm"))
-    # one aggregate, so that every reader of the classes asks for the same exchange
-    classes = normalized.filter("norm is not null").groupBy(F.sha2("norm", 256).alias("cls")).agg(F.min(F.struct("ord", "id", "split", "norm")).alias("f"))
+    normalized = rows.filter(F.col("text").isNotNull()).select("id", "split", "ord", normalize_text(F.col("text")).alias("norm"))
+    # one aggregate over a key that is never null, so that every reader of the classes asks for the same exchange
+    classes = normalized.groupBy(F.coalesce(F.sha2("norm", 256), F.lit("")).alias("cls")).agg(F.min(F.struct("ord", "id", "split", "norm")).alias("f"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
