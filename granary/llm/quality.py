@@ -18,7 +18,7 @@ WINDOW = 8
 #: A host is rejected if its shrunk rate of failure in any rule is above this,
 MAX_HOST_RATE = 0.5
 #: or if it is, by so many standard deviations, above both so many times the corpus rate and this rate.
-TIMES, LEAST_RATE, SURE = 3.0, 0.15, 4.0
+TIMES, LEAST_RATE, SURE = 3.0, 0.15, 3.0
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
