@@ -1,7 +1,8 @@
 """Main text of web pages by removing what a site repeats.
 
 Every page is parsed into its elements; the hashes of element subtrees are counted per host in Spark, and subtrees that recur across many distinct pages of a host in
-different surroundings are its template, unless the pages are near copies of each other. A last pass drops them, along with elements that by name never hold an article's text, and writes the blocks of the rest.
+different surroundings are its template, unless the pages are near copies of each other. A last pass takes the template out of each page first. Among what is left, elements that by name never hold an
+article's text go, and where article or main elements hold at least half of the rest they are the article; its blocks are the text.
 """
 
 from __future__ import annotations
@@ -10,16 +11,17 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, row_key
+from .common import BROADCAST_ROWS, KEY, materialise, row_key, settled
 
 #: A subtree is template if it stands in at least so many different surroundings, and in this share of the host's pages or, on a large host, on so many pages.
 MIN_SURROUNDINGS, MIN_SHARE, ENOUGH_PAGES = 3, 0.01, 10
-#: From so many distinct pages of a host on, what half of them have is template even where it makes up most of a page.
+#: From so many distinct pages of a host on, what half of them have is template even where it makes up most of a page, and also where it is prose inside of their articles.
 COMMON_PAGES = 10
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,7 +36,7 @@ HINTS = frozenset(
 REMARKS = frozenset("comment comments commentary disqus replies".split())
 #: Elements that start and end a block of text.
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-#: Blocks of prose: within an article they are its text even if other pages repeat them.
+#: Blocks of prose: within an article they are its text even if some other pages repeat them.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figcaption figure caption".split())
 CLOSED_BY_SAME = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -145,22 +147,22 @@ def digest(root: Node) -> list[Node]:
         for x in node.items:
             if isinstance(x, Node):
                 h.update(x.digest.to_bytes(8, "little"))
-                node.size += x.size
             elif t := x.strip():
                 h.update(t.encode("utf-8", "surrogatepass"))
-                node.size += len(t)
         node.digest = h.intdigest()
-    _spare(nodes)
+    weigh(nodes, frozenset())
     return nodes
 
 
-def _spare(nodes: list[Node]) -> None:
-    """Mark forms and hinted elements with most of the text of the page, or of an article or main around them, that is not in elements dropped by their tags: what their names say is not
-    taken for their kind. Boxes of readers' remarks are not marked."""
+def weigh(nodes: list[Node], gone: frozenset[int] | set[int]) -> None:
+    """Give every element the length of its text without the elements that are gone, and mark forms and hinted elements with most of the text of the page, or of an article or main around them,
+    that is not in elements dropped by their tags: what their names say is not taken for their kind. Boxes of readers' remarks are not marked."""
     shown: dict[int, int] = {}
     for node in reversed(nodes):
         own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
-        shown[id(node)] = 0 if node.tag in DROPPED and node.tag != "form" else own + sum(shown[id(x)] for x in node.items if isinstance(x, Node))
+        below = [x for x in node.items if isinstance(x, Node)]
+        node.size = 0 if id(node) in gone else own + sum(x.size for x in below)
+        shown[id(node)] = 0 if id(node) in gone or (node.tag in DROPPED and node.tag != "form") else own + sum(shown[id(x)] for x in below)
     around = {id(nodes[0]): shown[id(nodes[0])]}
     for node in nodes[1:]:
         within = around[id(node.parent)]
@@ -231,25 +233,30 @@ def _in_sentence(node: Node) -> bool:
     return True
 
 
-def removable(nodes: list[Node], articles: list[Node]) -> list[Node]:
-    """Elements that may be template, parents first: blocks with text outside the articles, and those inside that are not prose; inline elements only where they are no part of a sentence."""
+#: Told apart by this: the hash of a subtree as prose inside of an article.
+AS_PROSE = 0x9E3779B97F4A7C15
+
+
+def removable(nodes: list[Node], articles: list[Node]) -> dict[int, tuple[Node, int, bool]]:
+    """Elements that may be template, parents first, by their Python id: element, hash, and whether it is prose inside of the articles. Inline elements count only where they are no part of a sentence."""
     roots = {id(node) for node in articles}
     inside = set(roots)
-    out = []
+    out = {}
     for node in nodes:
         if node.parent is not None and id(node.parent) in inside:
             inside.add(id(node))
         if not node.size or node.parent is None or id(node) in roots or node.tag in ("html", "head", "body"):
             continue
-        if not (id(node) in inside and node.tag in PROSE) and (node.tag in BLOCKS or not _in_sentence(node)):
-            out.append(node)
+        if node.tag in BLOCKS or not _in_sentence(node):
+            prose = id(node) in inside and node.tag in PROSE
+            out[id(node)] = (node, _signed(node.digest ^ AS_PROSE if prose else node.digest), prose)
     return out
 
 
-def subtrees(page: str) -> list[tuple[int, int]]:
-    """Hash of each element that may be template, and of its parent."""
+def subtrees(page: str) -> list[tuple[int, int, bool]]:
+    """Hash of each element that may be template, that of its parent, and whether it is prose inside of an article."""
     nodes = digest(parse(page))
-    return sorted({(_signed(node.digest), _signed(node.parent.digest)) for node in removable(nodes, articles_of(nodes))})
+    return sorted({(h, _signed(node.parent.digest), prose) for node, h, prose in removable(nodes, articles_of(nodes)).values()})
 
 
 def near_copy(page: str, repeated: set[int]) -> bool:
@@ -257,14 +264,14 @@ def near_copy(page: str, repeated: set[int]) -> bool:
     nodes = digest(parse(page))
     if article_of(nodes):
         return False
-    may = {id(node) for node in removable(nodes, [])}
+    may = removable(nodes, [])
     total = covered = 0
     stack = [(nodes[0], False)]
     while stack:
         node, within = stack.pop()
         if hidden(node, False):
             continue
-        within = within or (id(node) in may and _signed(node.digest) in repeated)
+        within = within or (id(node) in may and may[id(node)][1] in repeated)
         own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
         total += own
         covered += own if within else 0
@@ -272,12 +279,46 @@ def near_copy(page: str, repeated: set[int]) -> bool:
     return 2 * covered > total
 
 
-def extract(page: str, template: set[int]) -> str:
-    """Blocks of the articles (of the page, if no element says where it is) without hidden elements and template subtrees, one a line."""
+def _template(nodes: list[Node], template: set[int]) -> set[int]:
+    """Python ids of the outermost elements of the page that are template. Prose inside of the articles stays if it would take more than half of their text: then the pages are copies of a text."""
+    articles = articles_of(nodes)
+    may = removable(nodes, articles)
+    out, under, prose = set(), set(), []
+    for node in nodes:
+        if node.parent is not None and id(node.parent) in under:
+            under.add(id(node))
+        elif id(node) in may and may[id(node)][1] in template:
+            under.add(id(node))
+            out.add(id(node))
+            if may[id(node)][2]:
+                prose.append(node)
+    weigh(nodes, out - {id(node) for node in prose})
+    if 2 * sum(node.size for node in prose) > sum(node.size for node in articles):
+        out -= {id(node) for node in prose}
+    return out
+
+
+def _visible(node: Node, inside: bool, gone: set[int]) -> int:
+    """Length of the text of the element that is not gone or hidden."""
+    total, stack = 0, [(node, inside)]
+    while stack:
+        x, inside = stack.pop()
+        total += sum(len(t.strip()) for t in x.items if isinstance(t, str))
+        for y in x.items:
+            if isinstance(y, Node) and id(y) not in gone and not hidden(y, inside):
+                stack.append((y, inside or y.tag == "article"))
+    return total
+
+
+def cleaned(page: str, template: set[int]) -> tuple[str, int]:
+    """The text of a page, its blocks one a line, and the number of subtrees that went as template before the article was looked for."""
     nodes = digest(parse(page))
+    gone = _template(nodes, template) if template else set()
+    weigh(nodes, gone)
     articles = articles_of(nodes)
+    if articles and 2 * sum(_visible(node, True, gone) for node in articles) < _visible(nodes[0], False, gone):
+        articles = []
     roots = {id(node) for node in articles}
-    may = {id(node) for node in removable(nodes, articles)} if template else set()
     blocks, line = [], []
 
     def flush() -> None:
@@ -295,7 +336,7 @@ def extract(page: str, template: set[int]) -> str:
         elif item.tag == "br":
             line.append(" ")
         else:
-            if id(item) not in roots and (hidden(item, inside) or (id(item) in may and _signed(item.digest) in template)):
+            if id(item) not in roots and (id(item) in gone or hidden(item, inside)):
                 if item.tag in BLOCKS:
                     flush()
                 continue
@@ -305,7 +346,11 @@ def extract(page: str, template: set[int]) -> str:
                 stack.append((None, inside))
             stack.extend((x, inside) for x in reversed(item.items))
     flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks), len(gone)
+
+
+def extract(page: str, template: set[int]) -> str:
+    return cleaned(page, template)[0]
 
 
 def _recurring(seen: DataFrame, min_surroundings: int) -> DataFrame:
@@ -316,98 +361,118 @@ def _recurring(seen: DataFrame, min_surroundings: int) -> DataFrame:
 
 
 def templates(pages: DataFrame, min_surroundings: int = MIN_SURROUNDINGS, min_share: float = MIN_SHARE) -> DataFrame:
-    """pages: key, host, html. Table in the shared folder of host, hash: subtrees found in at least `min_surroundings` different parents, each on a page of its own, and in that share of the
-    host's distinct pages or on ENOUGH_PAGES of them. A copied article repeats in equal surroundings, a template in different ones; pages that mostly repeat others (near_copy) do not count, but for subtrees that
-    half of a host's pages have. Pages without a host have no template."""
+    """pages: host, html. Rows of host, hash: subtrees found in at least `min_surroundings` different parents, each on a page of its own, and in that share of the
+    host's distinct pages or on ENOUGH_PAGES of them; prose inside of articles only if at least COMMON_PAGES and half of the host's pages have it. A copied article repeats in equal surroundings, a template
+    in different ones; pages that mostly repeat others (near_copy) do not count, but for subtrees that half of a host's pages have. Pages without a host have no template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes, parents, owners = [], [], [], []
+            hosts, found, owners = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 html = page.as_py() or ""
-                owner = _signed(xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")))
-                for a, b in subtrees(html):
-                    hosts.append(host)
-                    hashes.append(a)
-                    parents.append(b)
-                    owners.append(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (hashes, parents, owners))], ["host", "hash", "parent", "page"])
+                own = subtrees(html)
+                found += own
+                hosts += [host] * len(own)
+                owners += [_page(html)] * len(own)
+            columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *columns, pa.array(owners, pa.int64())], ["host", "hash", "parent", "prose", "page"])
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, repeated = None, set()
         for batch in batches:
             hosts, owners = [], []
             for host, page, template in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 html = page.as_py() or ""
-                if near_copy(html, set(template.values.to_pylist())):
+                if shared is None:
+                    repeated = set(template.values.to_pylist())
+                elif host != last:
+                    last, repeated = host, set(shared.value[host].tolist())
+                if near_copy(html, repeated):
                     hosts.append(host)
-                    owners.append(_signed(xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass"))))
+                    owners.append(_page(html))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(owners, pa.int64())], ["host", "page"])
 
-    known = pages.filter("host <> ''")
-    rows = known.select("host", "html").mapInArrow(run, "host string, hash long, parent long, page long")
-    seen = materialise(rows.groupBy("host", "hash", "page").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi")), "seen")
+    known = pages.filter("host <> ''").select("host", "html")
+    rows = known.mapInArrow(run, "host string, hash long, parent long, prose boolean, page long")
+    seen = materialise(rows.groupBy("host", "hash", "page").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi"), F.max("prose").alias("prose")), "seen")
     sizes = known.select("host", F.xxhash64("html")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    often = _recurring(seen, min_surroundings).join(counts, ["host", "hash"]).join(F.broadcast(sizes), "host")
-    often = materialise(often.filter(F.col("n") >= F.least(min_share * F.col("pages"), F.lit(float(ENOUGH_PAGES)))).withColumn("common", (F.col("pages") >= COMMON_PAGES) & (2 * F.col("n") >= F.col("pages"))).select("host", "hash", "common"), "often")
+    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.max("prose").alias("prose")).filter(F.col("n") >= min_surroundings)
+    counts = materialise(counts.join(F.broadcast(sizes) if _few(sizes) else sizes, "host"), "counts")
+    common = (F.col("pages") >= COMMON_PAGES) & (2 * F.col("n") >= F.col("pages"))
+    enough = F.col("n") >= F.least(min_share * F.col("pages"), F.lit(float(ENOUGH_PAGES)))
+    counts = counts.filter(enough & (~F.col("prose") | common)).select("host", "hash", common.alias("common"))
+    often = materialise(_recurring(seen.join(counts, ["host", "hash"], "left_semi"), min_surroundings).join(counts, ["host", "hash"]), "often")
     rare = often.filter("not common").select("host", "hash")
-    with_rare, _ = _with_templates(known, rare)
-    near = materialise(with_rare.filter("template is not null").select("host", "html", "template").mapInArrow(copies, "host string, page long").distinct(), "near")
+    few = _few(rare)
+    shared = _shared(rare) if few else None
+    keyed = known.select("host", "html", *row_key("host", "html"))
+    doubtful = known.join(F.broadcast(rare.select("host").distinct()), "host", "left_semi").withColumn("template", F.lit(None).cast("array<long>")) if few else keyed.join(_by_page(keyed, rare), KEY)
+    near = materialise(doubtful.select("host", "html", "template").mapInArrow(copies, "host string, page long").distinct(), "near")
     whole = _recurring(seen.join(rare, ["host", "hash"], "left_semi").join(near, ["host", "page"], "left_anti"), min_surroundings)
-    return materialise(often.filter("common").select("host", "hash").union(whole), "templates")
+    return often.filter("common").select("host", "hash").union(whole)
+
 
+def _page(html: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")))
 
-def _with_templates(keyed: DataFrame, found: DataFrame) -> tuple[DataFrame, bool]:
-    """keyed with template: the hashes found of the page's host, where they are few enough to broadcast, else those that the page itself has (null for none); and which of the two."""
-    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        by_host = found.groupBy("host").agg(F.collect_list("hash").alias("template"))
-        return keyed.join(F.broadcast(by_host), "host", "left"), True
-    return keyed.join(_by_page(keyed, found), "key", "left"), False
+
+def _few(table: DataFrame) -> bool:
+    return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _shared(found: DataFrame):
+    """The templates of every host as one broadcast dictionary of sorted hashes: for tables that are _few()."""
+    rows = found.toArrow().to_pandas()
+    by_host = {host: np.sort(own.to_numpy()) for host, own in rows.groupby("host")["hash"]}
+    return found.sparkSession.sparkContext.broadcast(by_host)
 
 
 def main_text(pages: DataFrame, min_surroundings: int = MIN_SURROUNDINGS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Main text of every row of pages: page_id, url, text (empty if there is none), n_chars (its code points).
+    """Main text of every row of pages: page_id, url, text (empty if there is none), n_chars (its code points), n_template (subtrees that went as template).
 
     A null or empty html gives an empty text; a null url has no host, so nothing of it is template; repeated rows are pages of their own; an empty table gives an
-    empty result. Where a host's templates are few they are broadcast by host, else each page gets those that it has by a join."""
+    empty result; other columns are not read, whatever their names. Where all templates are few, workers have them by host; else each page gets those that it has by a join."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    keyed = pages.select("page_id", "url", "html", row_key(pages, "page_id", "html").alias("key"), host.alias("host"))
-    found = templates(keyed, min_surroundings, min_share)
-    work, by_name = _with_templates(keyed, found)
+    keyed = pages.select("page_id", "url", "html", *row_key("page_id", "url", "html"), host.alias("host"))
+    found = settled("templates", lambda: templates(keyed, min_surroundings, min_share))
+    few = _few(found)
+    shared = _shared(found) if few else None
+    work = keyed.withColumn("template", F.lit(None).cast("array<long>")) if few else keyed.join(_by_page(keyed, found), KEY, "left")
+    schema = pages.select("page_id", "url").withColumn("text", F.lit("")).withColumn("n_template", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, set[int]] = {}
+        sets: dict[str, set[int]] = {}
         for batch in batches:
-            texts = []
+            texts, removed = [], []
             for page, host, template in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
                 name = host.as_py()
-                if not template.is_valid:
-                    own = set()
-                elif by_name and name in kept:
-                    own = kept[name]
-                else:
-                    own = set(template.values.to_pylist())
-                    if by_name:
-                        kept = {name: own, **dict(list(kept.items())[:31])}
-                texts.append(extract(page.as_py() or "", own))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
+                if shared is None:
+                    own = set(template.values.to_pylist()) if template.is_valid else set()
+                elif (own := sets.get(name)) is None:
+                    own = set(shared.value.get(name, np.zeros(0, np.int64)).tolist())
+                    sets = {name: own, **dict(list(sets.items())[:31])}
+                text, n = cleaned(page.as_py() or "", own)
+                texts.append(text)
+                removed.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], schema.names)
 
-    out = work.select("page_id", "url", "html", "host", "template").mapInArrow(run, pages.select("page_id", "url").withColumn("text", F.lit("")).schema)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    out = work.select("page_id", "url", "html", "host", "template").mapInArrow(run, schema)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
 def _by_page(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """key, template: the template hashes that each page itself has."""
+    """keyed: k1, k2, host, html. k1, k2, template: the hashes of `found` that each page itself has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hosts, hashes = [], [], []
-            for key, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for a in {a for a, _ in subtrees(page.as_py() or "")}:
-                    keys.append(key)
-                    hosts.append(host)
-                    hashes.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["key", "host", "hash"])
-
-    own = keyed.select("key", "host", "html").mapInArrow(run, "key long, host string, hash long")
-    return own.join(found, ["host", "hash"], "left_semi").distinct().groupBy("key").agg(F.collect_list("hash").alias("template"))
+            keys, hosts, hashes = ([], []), [], []
+            for k1, k2, host, page in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(3), strict=True):
+                own = {h for h, _, _ in subtrees(page.as_py() or "")}
+                hashes += own
+                hosts += [host] * len(own)
+                keys[0].extend([k1] * len(own))
+                keys[1].extend([k2] * len(own))
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], [*KEY, "host", "hash"])
+
+    own = keyed.select(*KEY, "host", "html").mapInArrow(run, "k1 long, k2 long, host string, hash long")
+    return own.join(found, ["host", "hash"], "left_semi").distinct().groupBy(*KEY).agg(F.collect_list("hash").alias("template"))

@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 from granary.llm import html_text
-from granary.llm.html_text import extract, main_text, subtrees
+from granary.llm.html_text import digest, articles_of, extract, main_text, parse, removable, subtrees, templates
 
 NAV = '<nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav>'
 
@@ -31,7 +31,7 @@ def test_blocks(page, text):
 
 
 def test_equal_subtrees_have_equal_hashes():
-    a, b = (dict(subtrees(f"<body>{NAV}<article><p>{x}</p></article>")) for x in ("one", "two"))
+    a, b = ({h: p for h, p, _ in subtrees(f"<body>{NAV}<article><p>{x}</p></article>")} for x in ("one", "two"))
     shared = set(a) & set(b)
     assert shared and all(a[h] == b[h] for h in shared if a[h] in shared)
 
@@ -131,3 +131,61 @@ def test_menu_of_a_section_on_a_large_host(spark):
 )
 def test_articles_are_whole(page, text):
     assert extract(page, set()) == text
+
+
+def test_notice_inside_of_articles(spark):
+    """An unhinted notice in the articles of all pages of a host goes; what near copies share stays, and so does a paragraph on a few pages."""
+    notice = "<p>Subscribe to our letter today.</p>"
+    pages = [f"<article><h1>Head {i}</h1><p>Article {i} says a good deal, and all of it its own: {i * 7} and {i * 9}.</p>{'<p>A shared quotation.</p>' if i < 4 else ''}{notice}</article>" for i in range(12)]
+    want = [f"Head {i}\nArticle {i} says a good deal, and all of it its own: {i * 7} and {i * 9}." + ("\nA shared quotation." if i < 4 else "") for i in range(12)]
+    assert texts(spark, pages) == want
+    shared = "".join(f"<p>Paragraph {k} of the copied text, which is long.</p>" for k in range(4))
+    near = [f"<article>{shared}<p>The changed one {i}.</p></article>" for i in range(12)]
+    assert texts(spark, near) == ["\n".join([*(f"Paragraph {k} of the copied text, which is long." for k in range(4)), f"The changed one {i}."]) for i in range(12)]
+
+
+def test_a_small_article_element_is_not_the_article(spark):
+    page = "<body><div><article><p>A card.</p></article></div><div><p>The long text of the page, which stands outside of it.</p></div></body>"
+    assert extract(page, set()) == "A card.\nThe long text of the page, which stands outside of it."
+
+
+def brute_templates(pages):
+    """host, hash of what templates() is to find, counted page by page; for sites without near copies."""
+    by, sizes = {}, {}
+    for host, page in set(pages):
+        nodes = digest(parse(page))
+        sizes[host] = sizes.get(host, 0) + 1
+        for node, h, prose in removable(nodes, articles_of(nodes)).values():
+            by.setdefault((host, h, prose), {}).setdefault(page, []).append(node.parent.digest)
+    out = set()
+    for (host, h, prose), on in by.items():
+        n, total = len(on), sizes[host]
+        signed = [[x - (1 << 64) if x >> 63 else x for x in parents] for parents in on.values()]
+        apart = max(len({f(p) for p in signed}) for f in (min, max))
+        common = total >= 10 and 2 * n >= total
+        if apart >= 3 and n >= min(0.01 * total, 10) and (common or not prose):
+            out.add((host, h))
+    return out
+
+
+def test_templates_against_a_count_by_hand(spark):
+    host = lambda u: (u or "").split("/")[2] if "//" in (u or "") else ""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    pages = [(host(r.url), r.html) for r in rows]
+    got = {(r.host, r.hash) for r in templates(spark.createDataFrame(pages, "host string, html string").repartition(3)).collect()}
+    assert got and got == brute_templates(pages)
+
+
+def test_template_of_the_registered_pages(spark):
+    """Recurring subtrees are taken out of pages of the table before their article is looked for, and no word of the articles is lost."""
+    import re
+
+    from granary.llm.queries import op7_site_templates
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: r for r in op7_site_templates(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert sum(got[r.page_id].n_template > 0 for r in pages) > 0
+    for r in pages:
+        own = extract("".join(re.findall(r"<article>.*</article>", r.html, re.S)), set())
+        assert got[r.page_id].text == own
