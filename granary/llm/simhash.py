@@ -88,10 +88,14 @@ def near_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(_side(F.col("key"), F.col("fp"))).alias("n1"))
     meets = sizes.filter(F.when(_is_exact(F.col("key")), F.col("n") > 1).otherwise((F.col("n1") > 0) & (F.col("n1") < F.col("n"))))
     live = materialise(keyed.join(meets.select("key", (F.col("n") > hot).alias("hot")), "key"), "variants")
+    links = _meet(live.filter("not hot"), ["key"])
+    if not live.filter("hot").limit(1).count():
+        return links
     finer = _finer(live.filter("hot"))
     sizes = finer.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     finer = materialise(finer.join(sizes.select("key", "key2", (F.col("n") > hot).alias("crowded")), ["key", "key2"]), "finer")
-    return _meet(live.filter("not hot"), ["key"]).union(_meet(finer.filter("not crowded"), ["key", "key2"])).union(_ask(finer.filter("crowded")))
+    links = links.union(_meet(finer.filter("not crowded"), ["key", "key2"]))
+    return links.union(_ask(finer.filter("crowded"))) if finer.filter("crowded").limit(1).count() else links
 
 
 def _ask(rows: DataFrame) -> DataFrame:
