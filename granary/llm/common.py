@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import contextvars
+import logging
 import re
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Sequence
-from urllib.parse import quote
 
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, what separates words.
@@ -54,23 +55,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in path:
-        return pafs.LocalFileSystem(), path.removeprefix("file:")
-    return pafs.FileSystem.from_uri(quote(path, safe="/:@?&=%+,;~!*()'$"))
-
-
-def remove_folder(path: str) -> None:
-    fs, base = file_system(path)
-    if fs.get_file_info(base).type == pafs.FileType.Directory:
-        fs.delete_dir(base)
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system that Spark itself has for it. What cannot be deleted stays, with a line in the log: no result depends on it."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:
+        log.warning("could not delete %s", path, exc_info=True)
 
 
 def release(*tables: DataFrame | None) -> None:
     """Delete tables of materialise() that no later read needs: those made from them are written."""
     for t in tables:
         if t is not None and (path := _paths.pop(t, None)):
-            remove_folder(path)
+            remove_folder(t.sparkSession, path)
 
 
 def settled(name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -83,7 +81,7 @@ def settled(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         _made.reset(token)
     out = materialise(df, name)
     for path in made:
-        remove_folder(path)
+        remove_folder(out.sparkSession, path)
     return out
 
 

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, file_system, join_small, materialise, new_path, release, remove_folder, row_key
+from .common import KEY, join_small, materialise, new_path, release, remove_folder, row_key
 
 log = logging.getLogger(__name__)
 
@@ -34,6 +35,12 @@ VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 MAGIC = b"\x1f\x8b\x08"
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(quote(path, safe="/:@?&=%+,;~!*()'$"))
+
+
 def record(kind: str, rid: str, uri: str, date: str, payload: bytes, digest: str, refers_to: str | None = None) -> bytes:
     """One WARC record; a revisit's block is empty and names the record that has its payload."""
     block = b"" if kind == "revisit" else payload
@@ -334,7 +341,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     files = write_archives(pages, path, sums=sums)
     read = read_archives(spark, files)
     slim = materialise(read.select("file", "start", "end", "kind", "reason", "record_id", "type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sum")), "records")
-    remove_folder(path)
+    remove_folder(spark, path)
     release(files)
     gaps = slim.filter("kind = 'gap'").select("file", "start", "end", "reason")
     if n := gaps.count():
