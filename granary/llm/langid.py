@@ -13,16 +13,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import join_small, materialise, release
 
 #: Longest context in bytes.
 ORDER = 4
-#: Labelled documents a language that are learned from, at most: those with the least hash of their id.
-MAX_DOCS = 2000
+#: What is learned from, at most: the languages with the most labelled documents, of each the documents with the least hash of their id, up to so many and to so many bytes of text (one at least).
+MAX_LANGS, MAX_DOCS, MAX_BYTES = 256, 2000, 32 << 20
 #: Bytes that are scored at a time.
 CHUNK = 1 << 20
 
@@ -132,16 +132,45 @@ def fit_counts(counts: pd.DataFrame, order: int = ORDER) -> Model:
     return Model(langs, costs, escapes)
 
 
-def train(docs: DataFrame, learn: Column, order: int = ORDER, max_docs: int = MAX_DOCS) -> Model:
-    """Learn from rows of docs for which `learn` holds, with a text and a lang: of each language up to `max_docs` whole texts.
+def _chosen(known: DataFrame, max_docs: int, max_bytes: int, max_langs: int) -> DataFrame:
+    """Table of doc_id, lang: the sample. Rows are ranked by a hash of their id, but only those under a bound that a language's number of rows sets: the bound is
+    raised where it lets too few ids through, so the sample is the same as that of a ranking of all rows, and no task sees a language whole. The driver gets places and sizes of the ids under the bound (a few
+    times max_docs a language) and finds where each language's sample ends."""
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    spark = known.sparkSession
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    sized = known.select("lang", "doc_id", place.alias("place"), F.octet_length("text").cast("long").alias("bytes"))
+    bounds = {r["lang"]: min(1.0, 2 * max_docs / r["n"]) for r in counts}
+    while True:
+        table = spark.createDataFrame(list(bounds.items()), "lang string, bound double")
+        under = sized.join(F.broadcast(table), "lang").filter("place <= bound")
+        found = materialise(under.groupBy("lang", "doc_id", "place").agg(F.sum("bytes").alias("bytes")), "sample")
+        have = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [x for x, b in bounds.items() if b < 1.0 and have.get(x, 0) < max_docs]
+        if not short:
+            break
+        release(found)
+        bounds |= {x: min(1.0, 2 * bounds[x]) for x in short}
+    ranked = found.select("lang", "place", "doc_id", "bytes").toArrow().to_pandas().sort_values(["lang", "place", "doc_id"], kind="stable")
+    by = ranked.groupby("lang", sort=False)
+    ranked["end"] = by["bytes"].cumsum()
+    kept = ranked[(by.cumcount() < max_docs) & ((by.cumcount() == 0) | (ranked["end"] <= max_bytes))]
+    # a sample ends at the first document that does not fit
+    ends = kept.groupby("lang", sort=False)[["place", "doc_id"]].last().reset_index()
+    table = spark.createDataFrame(ends, found.select("lang", "place", "doc_id").schema).withColumnsRenamed({"place": "_place", "doc_id": "_doc_id"})
+    before = F.struct("place", "doc_id") <= F.struct("_place", "_doc_id")
+    chosen = materialise(found.join(F.broadcast(table), "lang").filter(before).select("doc_id", "lang"), "chosen")
+    release(found)
+    return chosen
+
+
+def train(docs: DataFrame, learn: Column, order: int = ORDER, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, max_langs: int = MAX_LANGS) -> Model:
+    """Learn from rows of docs for which `learn` holds, with a text and a lang: whole texts, within the bounds given.
 
     Rows are chosen by id and lang alone (rows without an id are not, rows that share both come together); grams of their texts are counted on the executors, and the driver gets the counts: their number is bounded by
-    the sample, whatever the size of docs."""
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("_r", rank).filter(F.col("_r") <= max_docs).select("doc_id", "lang").distinct()
-    chosen = materialise(chosen, "chosen")
-    sample = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    the sample, whatever the size of docs. Nothing to learn from gives a model that names no language. Other columns of docs are not read, whatever their names."""
+    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    sample = join_small(known, _chosen(known, max_docs, max_bytes, max_langs), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = b" " * order
