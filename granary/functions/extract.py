@@ -43,6 +43,7 @@ PROPER_NOUN = r"\b[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*\b"
 CITATION = r"(?i)\b(?:evidence|source|doc|item|ref)[-_ ]?([A-Za-z0-9_-]{1,32})\b"
 STARTERS = "The This That These Those There Here It They You Your We Our If When While Since Because However Therefore Given Based Prioritize Recommend Consider Note First Second Third Finally Both All".split()
 
+# Where a JSON value is looked for in an answer.
 _FENCED = re.compile(r"```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", re.S)
 _BARE = re.compile(r"(\{.*\}|\[.*\])", re.S)
 
