@@ -314,9 +314,11 @@ def cleaned(page: str, template: set[int]) -> tuple[str, int]:
     """The text of a page, its blocks one a line, and the number of subtrees that went as template before the article was looked for."""
     nodes = digest(parse(page))
     gone = _template(nodes, template) if template else set()
-    weigh(nodes, gone)
+    if template:
+        weigh(nodes, gone)
     articles = articles_of(nodes)
-    if articles and 2 * sum(_visible(node, True, gone) for node in articles) < _visible(nodes[0], False, gone):
+    # where they have half of all text, hidden or not, there is nothing to look at
+    if articles and 2 * sum(node.size for node in articles) < nodes[0].size and 2 * sum(_visible(node, True, gone) for node in articles) < _visible(nodes[0], False, gone):
         articles = []
     roots = {id(node) for node in articles}
     blocks, line = [], []
