@@ -1,27 +1,37 @@
 """Approximate nearest neighbours by inner product, with cross-polytope hashing.
 
-A fast pseudo-rotation (three rounds of random signs and a Hadamard transform) is followed by the nearest signed axis: that is a vector's bucket in a table. Queries
-look into the buckets of their `probes` nearest axes in each of `tables` tables; what they meet there is ranked by exact inner products. How many probes that takes is
-measured on a bounded sample of queries against all rows: few where vectors have near neighbours, many where they have no structure.
+A fast pseudo-rotation (three rounds of random signs and a Hadamard transform) is followed by the nearest signed axis: that is one function. A table's bucket is what several
+functions say together, and their number follows the number of vectors, so that buckets stay small. Queries look into the `probes` buckets of each of `tables` tables whose axes have the
+greatest sum of coordinates; what they meet there is ranked by exact inner products. How many probes that takes is measured on a bounded sample of queries against all rows: few where vectors
+have near neighbours, more where they have no structure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise
+from .common import KEY, join_small, materialise, release, row_key, settled
 
 #: Tables, and axes kept of a rotation.
 TABLES, AXES = 10, 64
-#: The number of probes is the least that finds this share of the true neighbours of SAMPLE queries (or all, if fewer), those with the least hash of their vector.
-TARGET, SAMPLE = 0.95, 200
+#: Vectors of a bucket that the number of functions aims at, at least.
+PER_BUCKET = 8
+#: The number of probes is the least that finds this share of the true neighbours of SAMPLE queries (or all, if fewer), those with the least hash of their vector. Where that would take more than MOST_PROBES
+#: buckets of a table, tables have one function less.
+TARGET, SAMPLE, MOST_PROBES = 0.95, 200, 2048
+#: Entries, but no more than one in eight, that every query is compared with for a bound on what can be among its k + 1 best.
+BOUND_SAMPLE = 8192
 #: Vectors and queries of a bucket that meet in one task at a time.
 BLOCK = 4096
+#: Answers (k + 1 ids and scores each) that are broadcast at most.
+BROADCAST_ANSWERS = 20_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -34,19 +44,50 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def rotate(x: np.ndarray, table: int, seed: int, axes: int) -> np.ndarray:
-    signs = np.random.default_rng([seed, table]).choice([-1.0, 1.0], (3, x.shape[1]))
+def rotate(x: np.ndarray, table: int, function: int, seed: int, axes: int) -> np.ndarray:
+    signs = np.random.default_rng([seed, table, function]).choice([-1.0, 1.0], (3, x.shape[1]))
     for s in signs:
         x = hadamard(x * s)
     return x[:, :axes]
 
 
-def nearest_axes(rotated: np.ndarray, probes: int) -> np.ndarray:
-    """Buckets 2 a (axis a) and 2 a + 1 (its negative), nearest first."""
-    signed = np.stack((rotated, -rotated), axis=2).reshape(len(rotated), -1)
-    if probes == 1:
-        return signed.argmax(axis=1)[:, None]
-    return np.argsort(-signed, axis=1, kind="stable")[:, :probes]
+def signed_axes(x: np.ndarray, table: int, function: int, seed: int, size: int) -> np.ndarray:
+    """How far each row lies along the first size / 2 axes of a rotation and their negatives: 2 a is axis a, 2 a + 1 its negative."""
+    r = rotate(x, table, function, seed, size // 2)
+    return np.stack((r, -r), axis=2).reshape(len(r), -1)
+
+
+def functions(n: int, dims: int, axes: int = AXES, per_bucket: float = PER_BUCKET) -> tuple[int, ...]:
+    """Signed axes that each function of a table tells apart, for n vectors padded to `dims` dimensions: all axes in every function but the last, and in that one as many as the rest of n calls for."""
+    full = 2 * min(axes, dims)
+    out, left = [full], n / per_bucket / full
+    while left >= 2:
+        out.append(min(full, 1 << int(math.log2(left))))
+        left /= out[-1]
+    return tuple(out)
+
+
+def codes(x: np.ndarray, sizes: Sequence[int], table: int, seed: int) -> np.ndarray:
+    """Each row's bucket in a table: the nearest signed axes of its functions as the digits of a number."""
+    out = np.zeros(len(x), np.int64)
+    for j, size in enumerate(sizes):
+        out = out * size + signed_axes(x, table, j, seed, size).argmax(axis=1)
+    return out
+
+
+def best_codes(x: np.ndarray, sizes: Sequence[int], table: int, seed: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `probes` buckets of each row with the greatest sums of coordinates, and the sums, greatest first. The best continuations of all prefixes are those of the best prefixes, so no more are kept
+    from function to function."""
+    total, code = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+    for j, size in enumerate(sizes):
+        along = signed_axes(x, table, j, seed, size)
+        total = (total[:, :, None] + along[:, None, :]).reshape(len(x), -1)
+        code = (code[:, :, None] * size + np.arange(size)).reshape(len(x), -1)
+        if total.shape[1] > probes:
+            top = np.argpartition(-total, probes - 1, axis=1)[:, :probes]
+            total, code = np.take_along_axis(total, top, 1), np.take_along_axis(code, top, 1)
+    order = np.argsort(-total, axis=1, kind="stable")
+    return np.take_along_axis(code, order, 1), np.take_along_axis(total, order, 1)
 
 
 def _lifted(x: np.ndarray, longest: float, even: bool, query: bool) -> np.ndarray:
@@ -68,43 +109,122 @@ def usable(vector: str) -> F.Column:
     return x.isNotNull() & F.coalesce(~bad, F.lit(False)) & F.exists(x, lambda v: v != 0)
 
 
-def tuned_probes(entries: DataFrame, k: int, tables: int, axes: int, seed: int, longest: float, even: bool) -> int:
-    """Compare SAMPLE queries with every entry, in blocks, and count by how many probes each true neighbour is met in its best table; the least number that meets TARGET of them."""
-    sample = entries.filter("q").orderBy("k1", "k2").select("e", "v").limit(SAMPLE).toPandas()
-    if not len(sample):
-        return 1
-    y, own = np.stack(sample["v"].to_numpy()), sample["e"].to_numpy()
-    lifted = _lifted(y, longest, even, True)
-    place = np.stack([np.argsort(nearest_axes(rotate(lifted, t, seed, axes), 2 * axes), axis=1) for t in range(tables)], axis=1).astype(np.int16)
-    shared = entries.sparkSession.sparkContext.broadcast((y, own, place))
+def true_neighbours(entries: DataFrame, sample: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Compare the queries of the sample with every entry, in blocks: q (place in the sample), v of its k nearest other entries. A bounded number of rows."""
+    shared = entries.sparkSession.sparkContext.broadcast((np.stack(sample["v"].to_numpy()).astype(float), sample["e"].to_numpy()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, own, place = shared.value
-        best = np.full((len(y), k), -np.inf)
-        need = np.zeros((len(y), k), np.int64)
+        y, own = shared.value
+        best, who = np.full((len(y), k), -np.inf), np.zeros((len(y), k), np.int64)
         for pdf in batches:
             for a in range(0, len(pdf), BLOCK):
-                x, e = np.stack(pdf["v"].to_numpy()[a : a + BLOCK]), pdf["e"].to_numpy()[a : a + BLOCK]
+                x, e = np.stack(pdf["v"].to_numpy()[a : a + BLOCK]).astype(float), pdf["e"].to_numpy()[a : a + BLOCK]
                 score = y @ x.T
                 score[own[:, None] == e[None, :]] = -np.inf
-                up = _lifted(x, longest, even, False)
-                met = np.full(score.shape, 2 * axes, np.int16)
-                for t in range(tables):
-                    np.minimum(met, place[:, t][:, nearest_axes(rotate(up, t, seed, axes), 1)[:, 0]], out=met)
-                score, met = np.concatenate((best, score), axis=1), np.concatenate((need, met), axis=1)
+                score, met = np.concatenate((best, score), axis=1), np.concatenate((who, np.tile(e, (len(y), 1))), axis=1)
                 top = np.argpartition(-score, k - 1, axis=1)[:, :k]
-                best, need = np.take_along_axis(score, top, 1), np.take_along_axis(met, top, 1)
-        yield pd.DataFrame({"q": np.repeat(np.arange(len(y)), k), "score": best.ravel(), "need": need.ravel()})
+                best, who = np.take_along_axis(score, top, 1), np.take_along_axis(met, top, 1)
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(y)), k), "e": who.ravel(), "score": best.ravel()})
+
+    near = entries.select("e", "v").mapInPandas(run, "q long, e long, score double").filter(F.col("score") > float("-inf"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "e"))
+    nearest = near.withColumn("r", rank).filter(F.col("r") <= k).select("q", "e")
+    return entries.select("e", "v").join(F.broadcast(nearest), "e").select("q", "v").toPandas()
+
+
+def tuned(entries: DataFrame, k: int, tables: int, sizes: tuple[int, ...], seed: int, longest: float, even: bool) -> tuple[tuple[int, ...], int]:
+    """The functions (or fewer of them) and the number of probes with which TARGET of the true neighbours of SAMPLE queries are met in one table at least."""
+    sample = entries.filter("q").orderBy(*KEY).select("e", "v").limit(SAMPLE).toPandas()
+    near = true_neighbours(entries, sample, k) if len(sample) else sample
+    if not len(near):
+        return sizes[:1], 1
+    y = _lifted(np.stack(sample["v"].to_numpy()).astype(float), longest, even, True)
+    x, q = _lifted(np.stack(near["v"].to_numpy()).astype(float), longest, even, False), near["q"].to_numpy()
+    while True:
+        most = min(MOST_PROBES, math.prod(sizes))
+        need = np.full(len(x), most)
+        for t in range(tables):
+            own = sum(along[q, signed_axes(x, t, j, seed, size).argmax(axis=1)] for j, size in enumerate(sizes) for along in [signed_axes(y, t, j, seed, size)])
+            for a in range(0, len(y), 16):
+                _, totals = best_codes(y[a : a + 16], sizes, t, seed, most)
+                at = np.flatnonzero((q >= a) & (q < a + 16))
+                need[at] = np.minimum(need[at], (totals[q[at] - a] > own[at, None] + 1e-12).sum(axis=1))
+        probes = int(np.sort(need)[math.ceil(TARGET * len(need)) - 1]) + 1
+        if probes <= most or len(sizes) == 1:
+            return sizes, min(probes, most)
+        sizes = sizes[:-1]
+
+
+def index_of(vectors: DataFrame, is_query: F.Column, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """Two frames: the usable rows (vec_id, v, q, k1, k2) and the table of distinct vectors: e (a number), k1, k2, v, ids (the k + 1 smallest), q (whether any is a query). None if nothing is usable."""
+    kind = vectors.schema["embedding"].dataType.elementType
+    v = F.col("embedding") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", v.alias("v"), is_query.alias("q")).filter(usable("v") & F.col("vec_id").isNotNull())
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    if not lengths:
+        return None
+    keyed = rows.filter(F.size("v") == lengths[0]["d"]).select("*", *row_key("v"))
+    few = keyed.select(*KEY, "vec_id", "v").withColumn("r", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    entries = few.groupBy(*KEY).agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("v").alias("v"))
+    asked = keyed.filter("q").groupBy(*KEY).agg(F.lit(True).alias("q"))
+    return keyed, materialise(entries.join(asked, KEY, "left").withColumn("e", F.monotonically_increasing_id()), "entries")
+
+
+def buckets(entries: DataFrame, k: int, tables: int = TABLES, probes: int | None = None, axes: int = AXES, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Two tables: every entry with its buckets (e, v, least, b: one c, f a table) and every entry that is asked for with the buckets it looks into (e, v, b: c and the array f, bound: no more than its (k + 1)-th best score). c numbers a table
+    and what all functions but the last say, f what the last one says."""
+    norm = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    n, dims, low, high = entries.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(norm), F.max(norm)).first()
+    even = high - low <= 1e-6 * high
+    sizes = functions(n, 1 << max(0, int(dims + (not even) - 1).bit_length()), axes)
+    if probes is None:
+        sizes, probes = tuned(entries, k, tables, sizes, seed, high, even)
+    last = sizes[-1] if len(sizes) > 1 else 1
+    each = math.prod(sizes) // last
+
+    @F.pandas_udf("array<long>")
+    def held(v: pd.Series) -> pd.Series:
+        x = _lifted(np.stack(v.to_numpy()).astype(float), high, even, False)
+        return pd.Series(list(np.stack([codes(x, sizes, t, seed) + t * each * last for t in range(tables)], axis=1)))
 
-    near = entries.select("e", "v").mapInPandas(run, "q long, score double, need long").filter(F.col("score") > float("-inf"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
-    counts = near.withColumn("r", rank).filter(F.col("r") <= k).groupBy("need").agg(F.count(F.lit(1)).alias("n")).orderBy("need").collect()
-    total, at = sum(r["n"] for r in counts), 0
-    for r in counts:
-        at += r["n"]
-        if at >= TARGET * total:
-            return r["need"] + 1
-    return 1
+    @F.pandas_udf("array<struct<c: long, f: array<int>>>")
+    def wanted(v: pd.Series) -> pd.Series:
+        x = _lifted(np.stack(v.to_numpy()).astype(float), high, even, True)
+        out = []
+        for a in range(0, len(x), 64):
+            own = np.concatenate([best_codes(x[a : a + 64], sizes, t, seed, probes)[0] + t * each * last for t in range(tables)], axis=1)
+            own.sort(axis=1)
+            for row in own:
+                c, first = np.unique(row - row % last, return_index=True)
+                out.append([{"c": int(b), "f": f} for b, f in zip(c, np.split((row % last).astype(np.int32), first[1:]), strict=True)])
+        return pd.Series(out)
+
+    few = min(BOUND_SAMPLE, n // 8)
+    bounds = F.lit(float("-inf"))
+    if few > k:
+        some = np.stack(entries.orderBy(*KEY).select("v").limit(few).toPandas()["v"].to_numpy()).astype(float)
+        shared = entries.sparkSession.sparkContext.broadcast(some)
+
+        @F.pandas_udf("double")
+        def bound(v: pd.Series) -> pd.Series:
+            y, out = np.stack(v.to_numpy()).astype(float), []
+            for a in range(0, len(y), 256):
+                near = y[a : a + 256] @ shared.value.T
+                out.append(np.partition(near, few - k - 1, axis=1)[:, few - k - 1])
+            return pd.Series(np.concatenate(out) - 1e-10 * high * np.sqrt((y * y).sum(axis=1)))
+
+        bounds = bound("v")
+    index = materialise(entries.select("e", "v", F.col("ids")[0].alias("least"), held("v").alias("b")), "codes")
+    index = index.withColumn("b", F.transform("b", lambda x: F.struct((x - x % last).alias("c"), (x % last).cast("int").alias("f"))))
+    probed = materialise(entries.filter("q").select("e", "v", wanted("v").alias("b"), bounds.alias("bound")), "probed")
+    return index, probed
+
+
+def scored(index: DataFrame, probed: DataFrame) -> int:
+    """Inner products that the probes call for, over all queries."""
+    own = index.select(F.explode("b").alias("b")).groupBy("b.c", "b.f").agg(F.count(F.lit(1)).alias("n"))
+    asked = probed.select(F.explode("b").alias("b")).select("b.c", F.explode("b.f").alias("f")).groupBy("c", "f").agg(F.count(F.lit(1)).alias("m"))
+    return own.join(asked, ["c", "f"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
 
 
 def search(vectors: DataFrame, is_query: F.Column, k: int = 20, tables: int = TABLES, probes: int | None = None, axes: int = AXES, seed: int = 7) -> DataFrame:
@@ -112,69 +232,87 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, tables: int = TA
     vec_id, score (in double precision), nearest first, ties to the smaller vec_id.
 
     Equal vectors are one entry with its k + 1 smallest ids, which is all that any answer can show of them; so copies cost nothing. Every entry is indexed. A bucket with
-    many entries or queries meets in blocks, each of which hands on its k + 1 best an entry. Vectors that are not usable(), or not of the
-    length that most have (of equally many the shorter), take no part; repeated rows of an id and vector count once; fewer candidates than k give fewer rows."""
+    many entries or queries meets in blocks, each of which hands on its k + 1 best an entry, ties to the entry of the smaller id; what is below the bound that a sample of the entries sets for a query is not handed
+    on, and queries of which that leaves fewer than k + 1 are asked again without it. Vectors that are not usable(), or not of the
+    length that most have (of equally many the shorter), take no part; repeated rows of an id and vector count once; fewer candidates than k give fewer rows; an empty table gives none. Other columns are not
+    read, whatever their names."""
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")).filter(usable("v") & F.col("vec_id").isNotNull())
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
+    found = index_of(vectors, is_query, k)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == lengths[0]["d"])
-    key = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")]
-    keyed = rows.select("*", *key)
-    first = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    few = keyed.select("k1", "k2", "vec_id", "v").withColumn("r", F.dense_rank().over(first)).filter(F.col("r") <= k + 1)
-    entries = few.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("v").alias("v"))
-    asked = keyed.filter("q").groupBy("k1", "k2").agg(F.lit(True).alias("q"))
-    entries = materialise(entries.join(asked, ["k1", "k2"], "left").withColumn("e", F.monotonically_increasing_id()), "entries")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    low, high = entries.agg(F.min(norm), F.max(norm)).first()
-    even = high - low <= 1e-6 * high
+    keyed, entries = found
+    answers = settled("answers", lambda: _answers(entries, k, tables, probes, axes, seed))
+    release(entries)
+    queries = keyed.filter("q").select(F.col("vec_id").alias("query_id"), *KEY).distinct()
+    queries = join_small(queries, answers, KEY, "inner", rows=BROADCAST_ANSWERS)
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    return queries.select("query_id", F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
-    if probes is None:
-        probes = tuned_probes(entries, k, tables, axes, seed, high, even)
-
-    def buckets(query: bool, n: int):
-        @F.pandas_udf("array<int>")
-        def of(v: pd.Series) -> pd.Series:
-            x = _lifted(np.stack(v.to_numpy()), high, even, query)
-            return pd.Series(list(np.concatenate([nearest_axes(rotate(x, t, seed, axes), n) + t * 2 * axes for t in range(tables)], axis=1).astype(np.int32)))
-
-        return of
-
-    index = materialise(entries.select("e", F.explode(buckets(False, 1)("v")).alias("b")), "index")
-    probed = materialise(entries.filter("q").select("e", F.explode(buckets(True, probes)("v")).alias("b")), "probed")
-    # at most tables * 2 * axes counts each
-    counts = index.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(probed.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "b")
-    blocks = F.broadcast(counts.select("b", F.ceil(F.col("n") / BLOCK).cast("int").alias("cn"), F.ceil(F.col("m") / BLOCK).cast("int").alias("qn")))
-    deal = lambda n: F.pmod(F.xxhash64("e"), F.col(n)).cast("int")
+
+def _answers(entries: DataFrame, k: int, tables: int, probes: int | None, axes: int, seed: int) -> DataFrame:
+    """k1, k2 of each entry that is asked for, near: r, vec_id, score of its k + 1 nearest ids, its own among them."""
+    index, probed = buckets(entries, k, tables, probes, axes, seed)
+    near = materialise(_near(entries, index, probed, k), "near")
+    whole = near.filter(F.size("near") > k)
+    short = materialise(probed.filter(F.col("bound") > float("-inf")).join(whole.select(F.col("q").alias("e")), "e", "left_anti").withColumn("bound", F.lit(float("-inf"))), "short")
+    if short.limit(1).count():
+        near = near.join(short.select(F.col("e").alias("q")), "q", "left_anti").union(_near(entries, index, short, k))
+    return entries.filter("q").select(*KEY, F.col("e").alias("q")).join(near, "q").drop("q")
+
+
+def _near(entries: DataFrame, index: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+    """q, near: of each entry that is asked for what _answers() says, from the buckets of both."""
+    left = index.select("e", "v", "least", F.explode("b").alias("b")).select("e", "v", "least", "b.c", "b.f")
+    right = probed.select("e", "v", "bound", F.explode("b").alias("b")).select(F.col("e").alias("asked"), F.col("v").alias("w"), "bound", F.col("b.c").alias("c"), F.col("b.f").alias("fs"))
+    counts = index.select(F.explode("b.c").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).join(probed.select(F.explode("b.c").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("m")), "c")
+    blocks = materialise(counts.select("c", F.ceil(F.col("n") / BLOCK).cast("int").alias("cn"), F.ceil(F.col("m") / BLOCK).cast("int").alias("qn")), "blocks")
+    deal = lambda e, n: F.pmod(F.xxhash64(e), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = entries.select("e", "v", F.col("ids")[0].alias("least"))
-    left = index.join(blocks, "b").withColumn("c", deal("cn")).withColumn("d", every("qn")).select("e", "b", "c", "d").join(held, "e")
-    right = probed.join(blocks, "b").withColumn("d", deal("qn")).withColumn("c", every("cn")).select("e", "b", "c", "d").join(held.select("e", F.col("v").alias("w")), "e")
-    right = right.select(F.col("e").alias("asked"), *[F.col(c).alias(f"{c}2") for c in ("b", "c", "d")], "w")
+    left = join_small(left, blocks, "c", "inner").withColumn("x", deal("e", "cn")).withColumn("y", every("qn")).drop("cn", "qn")
+    right = join_small(right, blocks, "c", "inner").withColumn("y", deal("asked", "qn")).withColumn("x", every("cn"))
+    right = right.select("asked", "w", "bound", "fs", *[F.col(c).alias(f"{c}2") for c in ("c", "x", "y")])
 
     def meet(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"q": [], "e": [], "score": []}).astype({"q": "int64", "e": "int64"})
         if not len(have) or not len(want):
-            return pd.DataFrame({"q": [], "e": [], "score": []}).astype({"q": "int64", "e": "int64"})
-        have = have.sort_values("least", kind="stable")
-        x, y, ids = np.stack(have["v"].to_numpy()), np.stack(want["w"].to_numpy()), have["e"].to_numpy()
-        out, n = [], min(k + 9, len(x))
-        for a in range(0, len(y), 256):
-            part = y[a : a + 256]
-            near = part @ x.T
-            top = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < len(x) else np.tile(np.arange(n), (len(part), 1))
-            top.sort(axis=1)
-            exact = (x[top] * part[:, None, :]).sum(axis=2)
-            best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-            out.append(pd.DataFrame({"q": np.repeat(want["asked"].to_numpy()[a : a + 256], best.shape[1]), "e": ids[np.take_along_axis(top, best, 1)].ravel(), "score": np.take_along_axis(exact, best, 1).ravel()}))
-        return pd.concat(out)
-
-    met = left.groupBy("b", "c", "d").cogroup(right.groupBy("b2", "c2", "d2")).applyInPandas(meet, "q long, e long, score double").groupBy("q", "e").agg(F.max("score").alias("score"))
+            return nothing
+        have = have.sort_values(["f", "least"], kind="stable")
+        x, y = np.stack(have["v"].to_numpy()).astype(float), np.stack(want["w"].to_numpy()).astype(float)
+        f, ids, least = have["f"].to_numpy(), have["e"].to_numpy(), have["least"].to_numpy()
+        room = 1e-10 * np.sqrt((x * x).sum(axis=1).max() * (y * y).sum(axis=1))
+        asks = np.concatenate(want["fs"].to_list())
+        who = np.repeat(np.arange(len(y)), want["fs"].map(len).to_numpy())
+        least_score = want["bound"].to_numpy()
+        order = np.argsort(asks, kind="stable")
+        asks, who = asks[order], who[order]
+        qs, xs, scores = [], [], []
+        for code in np.unique(f).tolist():
+            a, b = np.searchsorted(f, (code, code + 1)).tolist()
+            own = who[slice(*np.searchsorted(asks, (code, code + 1)))]
+            for at in range(0, len(own), 256):
+                some = own[at : at + 256]
+                near = y[some] @ x[a:b].T
+                bound = least_score[some]
+                if b - a > k + 1:
+                    # products of a matrix are rounded differently: what is as near as rounding to the last one kept is compared exactly below
+                    bound = np.maximum(bound, np.partition(near, b - a - k - 1, axis=1)[:, b - a - k - 1] - room[some])
+                r, c = np.nonzero(near >= bound[:, None])
+                qs.append(some[r])
+                xs.append(a + c)
+        if not sum(map(len, qs)):
+            return nothing
+        q, e = np.concatenate(qs), np.concatenate(xs)
+        for at in range(0, len(q), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            scores.append((x[e[part]] * y[q[part]]).sum(axis=1))
+        score = np.concatenate(scores)
+        order = np.lexsort((least[e], -score, q))
+        q, e, score = q[order], e[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        best = place <= k
+        return pd.DataFrame({"q": want["asked"].to_numpy()[q[best]], "e": ids[e[best]], "score": score[best]})
+
+    met = left.groupBy("c", "x", "y").cogroup(right.groupBy("c2", "x2", "y2")).applyInPandas(meet, "q long, e long, score double").groupBy("q", "e").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     named = met.join(entries.select("e", F.explode("ids").alias("vec_id")), "e").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
-    answers = named.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
-    answers = entries.filter("q").select("k1", "k2", F.col("e").alias("q")).join(answers, "q").drop("q")
-    queries = keyed.filter("q").select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct().join(answers, ["k1", "k2"])
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return queries.select("query_id", F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    return named.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))

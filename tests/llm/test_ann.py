@@ -1,7 +1,11 @@
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from granary.llm.ann import hadamard, nearest_axes, search
+from granary.llm import ann
+from granary.llm.ann import best_codes, buckets, codes, functions, hadamard, index_of, scored, search, signed_axes
 
 
 def brute(rows, k):
@@ -32,7 +36,25 @@ def ask(spark, rows, **options):
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 64))
     assert np.allclose((hadamard(x) ** 2).sum(axis=1), (x**2).sum(axis=1))
-    assert nearest_axes(np.array([[0.1, -3.0, 2.0]]), 2).tolist() == [[3, 4]]
+
+
+def test_functions_follow_the_number_of_vectors():
+    assert functions(500, 64) == (128,) and functions(10_000, 64) == (128, 8) and functions(51_282, 64) == (128, 32)
+    assert functions(10**9, 64) == (128, 128, 128, 32) and functions(10**4, 8) == (16, 16, 4)
+    for n in (10**3, 10**5, 10**8):
+        assert n / math.prod(functions(n, 64)) < 4 * ann.PER_BUCKET
+
+
+@pytest.mark.parametrize("sizes", [(16,), (16, 4), (16, 16, 8)])
+def test_best_codes_are_those_of_all_sums(sizes):
+    x = np.random.default_rng(5).normal(size=(7, 16))
+    along = [signed_axes(x, 2, j, 1, s) for j, s in enumerate(sizes)]
+    total = np.zeros((7, 1))
+    for a in along:
+        total = (total[:, :, None] + a[:, None, :]).reshape(7, -1)
+    got, sums = best_codes(x, sizes, 2, 1, 12)
+    assert np.allclose(sums, -np.sort(-total, axis=1)[:, :12]) and np.allclose(np.take_along_axis(total, got, 1), sums)
+    assert (got[:, 0] == codes(x, sizes, 2, 1)).all()
 
 
 def test_recall_without_structure(spark):
@@ -72,3 +94,55 @@ def test_few_and_none(spark):
     assert ask(spark, [(0, None)]) == {}
     assert ask(spark, [(0, [1.0, 0.0])]) == {}
     assert ask(spark, [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0])]) == {0: [(1, 1.0)]}
+
+
+def test_ties_beyond_any_number_go_to_the_smaller_id(spark):
+    """One-hot vectors: hundreds of distinct vectors of equal score; and where products differ by rounding only."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0 if j == i % 3 else 0.0 for j in range(3)] + [float(i), 0.0]) for i in range(300)]
+    rows = [(i, [*v[:3], 0.0, v[3] if i % 20 else 0.0]) for i, v in rows]
+    rng.shuffle(rows)
+    got, want = ask(spark, rows, tables=12, probes=64), brute(rows, 20)
+    assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_table(spark, sf):
+    from granary.llm.queries import op5_cross_polytope
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    want = brute(rows, 20)
+    got = {}
+    for r in op5_cross_polytope(spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys()
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_scored_share_falls(spark):
+    """Vectors with near neighbours: the share of them that a query is compared with falls as their number grows."""
+    share = []
+    for n in (2_000, 16_000):
+        rng = np.random.default_rng(9)
+        centres = rng.normal(size=(n // 40, 32))
+        x = centres[rng.integers(0, len(centres), n)] + 0.35 * rng.normal(size=(n, 32))
+        table = frame(spark, [(i, v) for i, v in enumerate(x.tolist())])
+        _, entries = index_of(table, F.col("vec_id") % 20 == 0, 20)
+        index, probed = buckets(entries, 20)
+        share.append(scored(index, probed) / probed.count() / n)
+    assert share[1] < 0.6 * share[0]
+
+
+def test_queries_short_of_answers_are_asked_again(spark, monkeypatch):
+    """A bound that is far too high leaves queries with too few answers: they get those that they would have had without it."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(600, 12)).tolist())]
+    plain = ask(spark, rows, probes=24)
+    real = ann.buckets
+
+    def high(*args, **options):
+        index, probed = real(*args, **options)
+        return index, probed.withColumn("bound", F.when(F.col("e") % 2 == 0, 1e9).otherwise(F.col("bound")))
+
+    monkeypatch.setattr(ann, "buckets", high)
+    assert ask(spark, rows, probes=24) == plain
