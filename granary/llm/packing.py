@@ -24,8 +24,8 @@ from .common import materialise
 CAPACITY = 2048
 #: How byte-level BPE cuts a text into pre-tokens (a fixed pattern of the vocabulary).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of which a worker remembers the ids, at most (about 100 MB).
-REMEMBERED = 400_000
+#: Words of which a worker remembers the ids, at most, by their place in a line (about 25 MB each).
+REMEMBERED = 100_000
 #: Lengths over this share of the capacity are large: they are grouped and put into configurations; the others fill what is left.
 LARGE = 1 / 3
 #: Numbers of groups that are tried.
