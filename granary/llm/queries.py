@@ -1,4 +1,4 @@
-"""Queries of the ten operators over whole tables, and the SQL of those that SQL can express."""
+"""Queries of the thirteen operators over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, langid, mixing, packing, quality, shard, simhash, substring, warc
+from . import ann, centroids, html_text, langid, mixing, packing, quality, shard, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_simhash_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_native_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_hilbert_shards, op2_linear_grouping, op3_source_mix, op4_warc_round_trip, op5_cross_polytope, op6_substring_doubling, op7_site_templates, op8_ppm_language, op9_host_rules, op10_simhash_deletion, pipeline]
+    own = [op1_hilbert_shards, op2_linear_grouping, op3_source_mix, op4_warc_round_trip, op5_cross_polytope, op6_substring_doubling, op7_site_templates, op8_ppm_language, op9_host_rules, op10_simhash_deletion, op13_native_centroids, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -141,5 +145,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 }
 
 
+def _centroid_sql(rounds: int = 10) -> str:
+    """The rounds of op13 as one table each: distances of all vectors to the eight centroids, the least of them, and floors of means."""
+    assigned = "SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT r, cluster, sum((q - c) * (q - c))::BIGINT AS d FROM v JOIN {} USING (i) GROUP BY r, cluster) GROUP BY r"
+    means = "SELECT cluster, i, sum(q)::BIGINT AS s, count(*) AS n FROM v JOIN {} USING (r) GROUP BY cluster, i"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({assigned.format(f'c{k}')})")
+        steps.append(f"m{k} AS MATERIALIZED ({means.format(f'a{k}')})")
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT cluster, i, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{k} LEFT JOIN m{k} USING (cluster, i))")
+    nl = ",\n"
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT r, i, q[i] AS q FROM k, range(1, 65) g(i)
+), c0 AS MATERIALIZED (
+  SELECT cluster, i, q[i] AS c FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS cluster, q FROM k QUALIFY cluster < 8), range(1, 65) g(i)
+),
+{nl.join(steps)},
+f AS MATERIALIZED ({assigned.format(f"c{rounds}")}),
+h AS (SELECT cluster, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM k JOIN f USING (r) JOIN h USING (cluster)
+"""
+
+
+SQL["op13_native_centroids"] = _centroid_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return SQL
