@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, html_text, langid, mixing, packing, quality, shard, simhash, substring, warc
+from . import ann, centroids, html_text, langid, mixing, packing, quality, shard, simhash, substring, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def tokenizer_files() -> dict[str, str]:
     return {"tokenizer": p.path("byte_bpe_50k.json"), "ranks": p.path("byte_bpe_50k.tiktoken")}
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers as p
+
+    return p.path("word_bpe_49k.json")
+
+
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     names = {"lang_cell": F.col("lang"), "source_cell": F.col("source")}
@@ -74,6 +80,10 @@ def op10_simhash_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), ids=False)
+
+
 def op13_native_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -85,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_hilbert_shards, op2_linear_grouping, op3_source_mix, op4_warc_round_trip, op5_cross_polytope, op6_substring_doubling, op7_site_templates, op8_ppm_language, op9_host_rules, op10_simhash_deletion, op13_native_centroids, pipeline]
+    own = [op1_hilbert_shards, op2_linear_grouping, op3_source_mix, op4_warc_round_trip, op5_cross_polytope, op6_substring_doubling, op7_site_templates, op8_ppm_language, op9_host_rules, op10_simhash_deletion, op11_open_windows, op13_native_centroids, pipeline]
     return {f.__name__: f for f in own}
 
 
