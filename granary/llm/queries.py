@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, html_text, langid, mixing, packing, quality, shard, simhash, substring, warc, windows
+from . import ann, centroids, html_text, langid, mixing, packing, quality, shard, simhash, spelling, substring, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op11_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), ids=False)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(spelling.count_words(_table(spark, sf_dir, "documents"), damage=199))
+
+
 def op13_native_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -95,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_hilbert_shards, op2_linear_grouping, op3_source_mix, op4_warc_round_trip, op5_cross_polytope, op6_substring_doubling, op7_site_templates, op8_ppm_language, op9_host_rules, op10_simhash_deletion, op11_open_windows, op13_native_centroids, pipeline]
+    own = [op1_hilbert_shards, op2_linear_grouping, op3_source_mix, op4_warc_round_trip, op5_cross_polytope, op6_substring_doubling, op7_site_templates, op8_ppm_language, op9_host_rules, op10_simhash_deletion, op11_open_windows, op12_spelling_variants, op13_native_centroids, pipeline]
     return {f.__name__: f for f in own}
 
 
