@@ -171,7 +171,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     axes = F.create_map(F.lit("domain"), F.lit("career"))
     row = F.struct(F.when(k % 11 == 0, F.lit("-")).otherwise(F.concat(F.lit("conv-"), k.cast("string"))).alias("id"), F.lit("1.1").alias("version"), F.lit("tool_routing").alias("task"), F.lit("career").alias("domain"), "messages", axes.alias("variation_axes"), F.when(k % 7 == 0, 1).alias("surplus"))
     line = F.to_json(row)
-    return bindings.conversations(spark, sf).select(F.lit("conversations").alias("file"), k.alias("at"), F.when(k % 13 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"))
+    return bindings.conversations(spark, sf).select(F.lit("conversations").alias("file"), k.alias("line"), F.when(k % 13 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"))
 
 
 _SHAPE = """WITH m AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS fa, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS fu FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -184,9 +184,9 @@ def s02_load_examples(spark: SparkSession, sf: str) -> DataFrame:
     return jsonl.judge_lines(_lines(spark, sf))[0].select("id")
 
 
-@query(_SHAPE + " SELECT conv_id AS at, errors AS n FROM j WHERE errors > 0")
+@query(_SHAPE + " SELECT conv_id AS line, errors AS n FROM j WHERE errors > 0")
 def s02_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    return jsonl.judge_lines(_lines(spark, sf))[1].select("at", F.size("errors").cast("long").alias("n"))
+    return jsonl.judge_lines(_lines(spark, sf))[1].select("line", F.size("errors").cast("long").alias("n"))
 
 
 @query(_SHAPE + " SELECT 'conv-' || conv_id AS id FROM j WHERE errors = 0 ORDER BY conv_id LIMIT 50")
@@ -284,7 +284,7 @@ def r04_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("example_id", B.verdict(F.col("d"), F.when(F.col("example_id") % 2 == 0, False)).alias("verdict"))
 
 
-@query("WITH p AS (SELECT p_partkey, (p_partkey % 201 - 100) / 1000.0 AS low, (p_partkey % 201 - 100) / 1000.0 + p_partkey % 37 / 1000.0 AS high FROM part) SELECT p_partkey, CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' WHEN low >= -0.02 AND high <= 0.02 THEN 'equivalent' ELSE 'inconclusive' END AS verdict FROM p")
+@query("WITH p AS (SELECT p_partkey, (p_partkey % 201 - 100) / 1000.0 AS low, (p_partkey % 201 - 100) / 1000.0 + p_partkey % 37 / 1000.0 AS high FROM part) SELECT p_partkey, CASE WHEN round(low, 4) > 0 THEN 'better' WHEN round(high, 4) < 0 THEN 'worse' WHEN round(low, 4) >= -0.02 AND round(high, 4) <= 0.02 THEN 'equivalent' ELSE 'inconclusive' END AS verdict FROM p")
 def r05_primary(spark: SparkSession, sf: str) -> DataFrame:
     low = (F.col("p_partkey") % 201 - 100) / 1000.0
     high = low + F.col("p_partkey") % 37 / 1000.0

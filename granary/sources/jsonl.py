@@ -13,19 +13,19 @@ from ..functions.conversations import ID_PATTERN, content_hash, shape_errors
 from ..operators.registry import dataset_hash
 from ..operators.validation import SOURCES, STATUSES, TASKS
 from . import schemas
+from .lines import numbered_lines
 
 
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file, at (order of the line within all files, by Spark's own numbering), value: lines that are not blank."""
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    return text.filter(~F.col("value").rlike(r"^\s*$"))
+    """file, line (number in its file, from 1; blank lines count), value: lines that are not blank."""
+    return numbered_lines(spark, paths).filter(~F.col("value").rlike(r"^\s*$")).drop("ended")
 
 
 def scan_json(spark: SparkSession, paths: str | Sequence[str], strict: bool = True) -> DataFrame:
-    """file, at, value, object (VARIANT, null if the line is not a JSON object). Strict: such a line fails the job and is named."""
+    """file, line, value, object (VARIANT, null if the line is not a JSON object). Strict: such a line fails the job and is named."""
     rows = scan_lines(spark, paths).withColumn("object", F.when(F.col("value").rlike(r"^\s*\{.*\}\s*$"), F.try_parse_json("value")))
     if strict:
-        bad = F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("file"), F.lit(": "), F.left("value", F.lit(80))))
+        bad = F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("file"), F.lit(", line "), F.col("line").cast("string"), F.lit(": "), F.left("value", F.lit(80))))
         rows = rows.withColumn("object", F.when(F.col("object").isNull(), bad.cast("variant")).otherwise(F.col("object")))
     return rows
 
@@ -62,14 +62,14 @@ def load_examples(spark: SparkSession, paths: str | Sequence[str], schema: str =
 
 
 def judge_lines(lines: DataFrame, schema: str = schemas.EXAMPLE) -> tuple[DataFrame, DataFrame]:
-    """lines: file, at, value. Good rows (typed) and rejects (file, at, id, errors). Keys that the schema does not have are errors; both come from one scan's expressions."""
+    """lines: file, line, value. Good rows (typed) and rejects (file, line, id, errors). Keys that the schema does not have are errors; both come from one scan's expressions."""
     fields = [f.name for f in T.StructType.fromDDL(schema).fields]
-    parsed = lines.select("file", "at", "value", F.from_json("value", schema).alias("x"), F.json_object_keys("value").alias("keys"))
-    flat = parsed.select("file", "at", "keys", "x.*").withColumn("not_json", F.col("keys").isNull())
+    parsed = lines.select("file", "line", "value", F.from_json("value", schema).alias("x"), F.json_object_keys("value").alias("keys"))
+    flat = parsed.select("file", "line", "keys", "x.*").withColumn("not_json", F.col("keys").isNull())
     extra = F.transform(F.array_except(F.coalesce("keys", F.array().cast("array<string>")), F.lit(fields)), lambda k: F.concat(F.lit("unknown_field:"), k))
     errors = F.when(F.col("not_json"), F.array(F.lit("not_json"))).otherwise(F.concat(extra, example_errors()))
     judged = flat.withColumn("errors", errors)
-    return judged.filter(F.size("errors") == 0).select("file", "at", *fields), judged.filter(F.size("errors") > 0).select("file", "at", "id", "errors")
+    return judged.filter(F.size("errors") == 0).select("file", "line", *fields), judged.filter(F.size("errors") > 0).select("file", "line", "id", "errors")
 
 
 def load_strict(spark: SparkSession, paths: str | Sequence[str], schema: str = schemas.EXAMPLE) -> DataFrame:
@@ -81,7 +81,7 @@ def load_strict(spark: SparkSession, paths: str | Sequence[str], schema: str = s
 
 def head(rows: DataFrame, n: int) -> DataFrame:
     """The first n rows in file order."""
-    return rows.orderBy("file", "at").limit(n)
+    return rows.orderBy("file", "line").limit(n)
 
 
 def load_bundle(spark: SparkSession, paths: Mapping[str, str], required: Sequence[str] = ("train",)) -> DataFrame:
@@ -140,21 +140,6 @@ def last_records(records: DataFrame) -> DataFrame:
     return records.groupBy("seed", "example_id").agg(F.max_by(F.struct(*[c for c in records.columns if c not in ("seed", "example_id", "at")]), "at").alias("g")).select("seed", "example_id", "g.*")
 
 
-def read_partial_log(spark: SparkSession, path: str, identity: str) -> DataFrame:
-    """Recorded generations of a log: its first line names the identity (identity_sha256), which must be the one given; a torn last line is dropped, a damaged one before it raises; of repeated
-    (seed, example_id) the last record wins. Lines are ordered by where their part of the file starts, and within it as they are read, so a file may be read in any number of parts."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("at"), "value").filter(~F.col("value").rlike(r"^\s*$"))
-    rows = lines.withColumn("ok", F.col("value").rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json("value").isNotNull())
-    ends = rows.groupBy("file").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    work = rows.join(F.broadcast(ends), "file")
-    bad = work.agg(F.count_if((F.col("at") == F.col("first")) & (F.coalesce(F.get_json_object("value", "$.identity_sha256"), F.lit("")) != identity)).alias("other"), F.count_if(~F.col("ok") & (F.col("at") < F.col("last"))).alias("damaged")).first()
-    if bad.other:
-        raise ValueError("the log belongs to another run")
-    if bad.damaged:
-        raise ValueError("the log is damaged before its last line")
-    return last_records(work.filter("ok and at > first").select("at", F.from_json("value", schemas.GENERATION).alias("g")).select("at", "g.*"))
-
-
 SPLIT_NAMES = {"train": ("train", "training"), "validation": ("validation", "valid", "val", "dev"), "test": ("test", "eval", "evaluation")}
 
 
@@ -170,7 +155,7 @@ def prepare(spark: SparkSession, source: str, target: str, version: str) -> Data
     """Write the good rows of a raw dataset to a new versioned folder (an existing one raises): rows as JSON lines under data, rejects under rejects, and the manifest, which is returned: version, example_count, rejected,
     task_distribution, domain_distribution, content_hash."""
     good, rejects = load_examples(spark, source)
-    write_jsonl(good.drop("file", "at"), f"{target}/data")
+    write_jsonl(good.drop("file", "line"), f"{target}/data")
     rejects.write.mode("errorifexists").json(f"{target}/rejects")
     kept = spark.read.schema(schemas.EXAMPLE).json(f"{target}/data")
     spread = lambda c: kept.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(c, F.lit("")), "n")))).alias(f"{c}_distribution"))

@@ -159,25 +159,6 @@ def test_prepare_dataset_and_splits(spark, tmp_path):
     assert len(events) == 2 and all(e.ts > 0 and e.iso_time and e.event == "step" for e in events)
 
 
-def test_partial_log_in_parts(spark, tmp_path):
-    """The last record of a key wins however many parts the file is read in; another run's log, and damage before the end, raise."""
-    head = json.dumps({"kind": "partial", "identity_sha256": "me"})
-    lines = [json.dumps({"seed": 1, "example_id": f"e{i % 5}", "text": f"t{i}"}) for i in range(400)]
-    log = tmp_path / "log.jsonl"
-    log.write_text("\n".join([head, *lines, '{"seed": 1, "exam']))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
-    try:
-        got = {r.example_id: r.text for r in jsonl.read_partial_log(spark, str(log), "me").collect()}
-        assert got == {f"e{i}": f"t{395 + i}" for i in range(5)}
-        with pytest.raises(ValueError, match="another run"):
-            jsonl.read_partial_log(spark, str(log), "you")
-        log.write_text("\n".join([head, "torn", *lines]))
-        with pytest.raises(ValueError, match="damaged"):
-            jsonl.read_partial_log(spark, str(log), "me")
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-
-
 def test_large_files_are_named(spark, tmp_path):
     from granary.sources import files
 
