@@ -7,6 +7,7 @@ is left of each task, less than one window, is joined over all tasks.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -23,14 +24,18 @@ CAPACITY = 4096
 END = 2
 #: Windows that a task keeps open.
 OPEN = 16
-#: Words of which a worker remembers the ids, at most, and their longest in characters.
+#: Words of which a worker remembers the ids, at most twice as many, and their longest in characters.
 REMEMBERED, LONGEST = 200_000, 40
+#: What the vocabulary's pattern says of texts up to U+00FF (fixed values of the vocabulary): endings, letters, digits, white space; all else runs together.
+ENDINGS, LETTERS, DIGITS, SPACES = "'s|'t|'re|'ve|'m|'ll|'d", "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+WORDS = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
 
 
 class WordEncoder:
     """Ids under a BPE vocabulary that drops white space, as little-endian unsigned 32-bit bytes.
 
-    Spaces and line ends are never part of a token and nothing is composed across them, so what lies between them can be encoded by itself and remembered; other white space is left to the tokenizer."""
+    Texts up to U+00FF are cut into words here: their lower case is that of each character and nothing in them is composed. A word's ids depend on the word alone, so they are remembered: up to REMEMBERED new
+    ones, and those before them until as many are new again. Other texts, and those that may name a special token, go to the tokenizer as they are."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -40,23 +45,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
         try:
-            return b"".join([self.known[w] for w in words])
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return np.array(self._whole(text), "<u4").tobytes()
+        if "<|" in text:
+            return np.array(self._whole(text), "<u4").tobytes()
+        words = WORDS.findall(text.lower())
+        known = self.known
+        try:
+            return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        new = list({w for w in words if w not in self.known})
-        ids = dict(zip(new, self._batch(new), strict=True))
-        out = b"".join([self.known[w] if w in self.known else ids[w] for w in words])
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.known.update((w, x) for w, x in list(ids.items())[:REMEMBERED] if len(w) <= LONGEST)
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        found = {w: self.before[w] for w in new if w in self.before}
+        found.update(self._learn([w for w in new if w not in found]))
+        out = b"".join([known[w] if w in known else found[w] for w in words])
+        if len(known) + len(found) > REMEMBERED:
+            self.before, self.known = known, {}
+        self.known.update((w, x) for w, x in list(found.items())[:REMEMBERED] if len(w) <= LONGEST)
         return out
 
-    def _batch(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, all encoded as one text with spaces between them."""
+        if not words:
+            return {}
+        whole = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        of = np.array(whole.word_ids)
+        edges = np.flatnonzero(np.diff(of, prepend=-1))
+        if len(edges) != len(words):
+            raise RuntimeError("the tokenizer cuts words in another way than this encoder")
+        data, bounds = np.array(whole.ids, "<u4").tobytes(), [*(4 * edges).tolist(), 4 * len(of)]
+        return {w: data[a:b] for w, a, b in zip(words, bounds[:-1], bounds[1:], strict=True)}
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -18,6 +18,17 @@ def ids(text):
     return ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\t\x0b\x1c\x1f\x85\xa0'sredmlvtª¹²×÷ßÿÀÞµaB1.,<|>"), st.characters(max_codepoint=255)), max_size=60))
+def test_words_of_western_texts(text):
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
+
+
+def test_every_character_of_western_texts():
+    for text in ("".join(map(chr, range(256))), " ".join(map(chr, range(256))), "a".join(map(chr, range(256))), "1".join(map(chr, range(256)))):
+        assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids(text)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x85\xa0 ́ab'sÉİΣſ1.  <|>"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_words_give_the_ids_of_the_whole(text):
