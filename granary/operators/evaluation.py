@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import guarded_ratio
+from .orderstats import order_statistics
 
 #: Change that counts as one, in score and in relative score.
 STEP = 0.01
@@ -137,15 +138,10 @@ def nearest_rank(values: Column, fraction: float) -> Column:
 
 
 def distribution(rows: DataFrame, value: str, by: Sequence[str] = (), fractions: dict[str, float] | None = None) -> DataFrame:
-    """n, mean, percentiles by nearest rank, max. Places are found on counts of distinct values, so that no group's values are gathered in one row."""
+    """n, mean, percentiles by nearest rank, max; a group's values are dealt into ranges (order_statistics)."""
     fractions = fractions or {"p50": 0.5, "p95": 0.95}
-    by = list(by)
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    work = counts.withColumn("_n", F.sum("_c").over(every)).withColumn("_upto", F.sum("_c").over(every.orderBy(value)))
-    place = lambda f: F.greatest(F.lit(1), F.least(F.col("_n"), F.bround(F.col("_n") * F.lit(f) + 0.5).cast("long")))
-    picks = [F.min(F.when(F.col("_upto") >= place(f), F.col(value))).alias(name) for name, f in fractions.items()]
-    return work.groupBy(*by).agg(F.max("_n").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.max("_n")).alias("mean"), *picks, F.max(value).alias("max"))
+    place = lambda f: lambda n: F.greatest(F.lit(1), F.least(n, F.bround(n * F.lit(f) + 0.5).cast("long")))
+    return order_statistics(rows, value, by, {name: place(f) for name, f in fractions.items()}).select(*by, "n", "mean", *fractions, "max")
 
 
 def faithfulness_report(records: DataFrame) -> DataFrame:

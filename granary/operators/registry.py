@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orderstats import tree_hash
 
 def annotate(records: DataFrame, benchmark: DataFrame, strict: bool = True) -> DataFrame:
     """Records with group_id and subset of their benchmark row. Strict: a record without one, or of another task, raises."""
@@ -53,22 +54,13 @@ def identity_hash(fields: Column) -> Column:
 
 
 def targets_fingerprint(records: DataFrame) -> DataFrame:
-    """SHA-256 of the sorted distinct (id, task, reference_decision) as JSON lists; a null decision is the string None. Rows are hashed by a prefix of their id first and those hashes in order, so
-    no list of all rows is built in one place."""
-    rows = records.select(F.to_json(F.array(F.col("example_id").cast("string"), F.col("task"), F.coalesce("reference_decision", F.lit("None")))).alias("row"), F.substring(F.sha2(F.col("example_id").cast("string"), 256), 1, 3).alias("part")).distinct()
-    return _hash_of_parts(rows, "row")
+    """One row, sha256 of the distinct (id, task, reference_decision) as JSON lists (tree_hash); a null decision is the string None."""
+    return tree_hash(records.select(F.to_json(F.array(F.col("example_id").cast("string"), F.col("task"), F.coalesce("reference_decision", F.lit("None")))).alias("row")).distinct(), "row")
 
 
 def dataset_hash(rows: DataFrame, content: Column, split: str = "split", row_id: str = "id") -> DataFrame:
-    """SHA-256 over all rows' split, id and content hash, in that order within parts, and over the parts."""
-    lines = rows.select(F.concat_ws(":", F.col(split), F.col(row_id).cast("string"), content).alias("row"), F.substring(F.sha2(F.col(row_id).cast("string"), 256), 1, 3).alias("part"))
-    return _hash_of_parts(lines, "row")
-
-
-def _hash_of_parts(rows: DataFrame, row: str) -> DataFrame:
-    """Parts are 4096 at most; each row enters as its own hash, so a part's list is 64 bytes a row."""
-    parts = rows.groupBy("part").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2(row, 256))), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.coalesce(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), F.lit("")), 256).alias("sha256"))
+    """One row, sha256 of all rows' split, id and content hash (tree_hash), in any order."""
+    return tree_hash(rows.select(F.concat_ws(":", F.col(split), F.col(row_id).cast("string"), content).alias("row")), "row")
 
 
 def latest_status(events: DataFrame) -> DataFrame:

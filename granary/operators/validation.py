@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FACT_HINTS, PLACEHOLDERS, any_of, approximate_token_count, sensitive_content
+from .orderstats import least
 
 # Registered names.
 VERSIONS = ("1.0", "1.1")
@@ -50,12 +51,11 @@ def row_findings(rows: DataFrame, max_tokens: int | None = None, require_reviewe
 def validate(rows: DataFrame, max_tokens: int | None = None, require_reviewed: bool = False, scan_content: bool = True) -> DataFrame:
     """All findings: those of single rows gathered by code and subject, and those of the whole (empty, repeated ids, mixed versions, constant axes).
 
-    Counts are complete; ids listed are the LISTED least, kept small by a window before they are collected."""
+    Counts are complete; ids listed are the LISTED least, found in salted rounds, so that a code which nearly every row has is not ranked in one task."""
     per_row = row_findings(rows, max_tokens, require_reviewed, scan_content).repartition("id")  # one exchange, so that texts are scanned once for counts and ids
     by = ("severity", "code", "subject")
     counts = per_row.groupBy(*by).agg(F.count(F.lit(1)).alias("n_affected"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
-    ids = per_row.withColumn("_r", rank).filter(F.col("_r") <= LISTED).groupBy(*by).agg(F.sort_array(F.collect_list("id")).alias("example_ids"))
+    ids = least(per_row, by, ["id"], LISTED).groupBy(*by).agg(F.sort_array(F.collect_list("id")).alias("example_ids"))
     out = counts.join(ids, list(by))
     return out.unionByName(whole_findings(rows))
 

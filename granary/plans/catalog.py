@@ -14,6 +14,7 @@ from ..operators import bootstrap as B
 from ..operators import coverage as V
 from ..operators import evaluation as E
 from ..operators import leakage as L
+from ..operators import orderstats
 from ..operators import registry as R
 from ..operators import splits as S
 from ..operators import validation as Q
@@ -394,6 +395,26 @@ def a06_joint_cells(spark: SparkSession, sf: str) -> DataFrame:
     return V.joint_cells(table(spark, sf, "documents").withColumn("size", size), ["lang", "source", "size"])
 
 
+@query(
+    "WITH a AS (SELECT count(DISTINCT l_partkey)::DECIMAL(38,0) AS p, count(DISTINCT l_suppkey)::DECIMAL(38,0) AS s, count(DISTINCT l_returnflag)::DECIMAL(38,0) AS m, count(DISTINCT l_shipdate)::DECIMAL(38,0) AS d FROM lineitem), c AS (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey, l_returnflag, l_shipdate) "
+    "SELECT CAST(p * s * m * d AS VARCHAR) AS possible, (SELECT count(*) FROM c) AS observed, (SELECT count(*) FILTER (n < 3) FROM c) AS thin, (SELECT count(*) FILTER (n >= 3) FROM c) AS covered, CAST(p * s * m * d - (SELECT count(*) FROM c) AS VARCHAR) AS empty FROM a"
+)
+def a06_cell_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of four axes of lineitem, billions of them at larger factors."""
+    out = V.cell_summary(table(spark, sf, "lineitem"), ["l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"])
+    return out.select(F.col("possible").cast("string").alias("possible"), "observed", "thin", "covered", F.col("empty").cast("string").alias("empty"))
+
+
+@query(
+    """WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+SELECT l_returnflag, max(n) AS n, round(avg(v), 4) AS mean, max(CASE WHEN i = greatest(1, least(n, round_even(n * 0.01::DOUBLE + 0.5, 0))) THEN v END) AS p01, max(CASE WHEN i = greatest(1, least(n, round_even(n * 0.999::DOUBLE + 0.5, 0))) THEN v END) AS p999, max(v) AS max FROM r GROUP BY l_returnflag"""
+)
+def a14_price_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of prices, nearly all of them different, by return flag."""
+    found = E.distribution(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], {"p01": 0.01, "p999": 0.999})
+    return found.select("l_returnflag", "n", F.round("mean", 4).alias("mean"), "p01", "p999", "max")
+
+
 _EVENTS = "ev AS (SELECT CAST(user_id AS VARCHAR) AS g, event_type AS d, event_id AS o, 'h' || hour(ts) AS k FROM events), ct AS (SELECT g, d, count(*) AS c, min(o) AS f FROM ev GROUP BY g, d), mj AS (SELECT g, arg_max(d, (c, -f)) AS majority, sum(c)::BIGINT AS n, max(c) AS m, count(*) AS dd FROM ct GROUP BY g)"
 
 
@@ -453,19 +474,31 @@ def a14_generation_stats(spark: SparkSession, sf: str) -> DataFrame:
     return E.distribution(table(spark, sf, "events"), "value", ["event_type"]).select("event_type", "n", *six("mean"), "p50", "p95", "max")
 
 
-_PARTS = "p AS (SELECT part, sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT part, sha256(r) AS h FROM l) GROUP BY part) SELECT sha256(string_agg(h, '' ORDER BY part)) AS sha256 FROM p"
+#: The hash tree over rows r of l: lists by as many digits as the number of rows asks for (up to four here), then sixteen at a time.
+_TREE = (
+    "e AS (SELECT sha256(h || ':' || n) AS h FROM (SELECT sha256(r) AS h, count(*) AS n FROM l GROUP BY 1)), k AS (SELECT CASE WHEN count(*) <= 1024 THEN 0 WHEN count(*) <= 16384 THEN 1 WHEN count(*) <= 262144 THEN 2 WHEN count(*) <= 4194304 THEN 3 ELSE 4 END AS d FROM e), "
+    "t4 AS (SELECT left(h, d) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM e, k GROUP BY ALL), "
+    + ", ".join(f"t{i} AS (SELECT left(p, {i}) AS p, CASE WHEN max(len(p)) > {i} THEN sha256(string_agg(p || ':' || h, '' ORDER BY p)) ELSE max(h) END AS h FROM t{i + 1} GROUP BY 1)" for i in (3, 2, 1, 0))
+    + " SELECT h AS sha256 FROM t0"
+)
 
 
-@query(f"""WITH l AS (SELECT DISTINCT '["' || doc_id || '","' || lang || '","' || source || '"]' AS r, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) AS part FROM documents), {_PARTS}""")
+@query(f"""WITH l AS (SELECT DISTINCT '["' || doc_id || '","' || lang || '","' || source || '"]' AS r FROM documents), {_TREE}""")
 def a15_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return R.targets_fingerprint(table(spark, sf, "documents").select(F.col("doc_id").alias("example_id"), F.col("lang").alias("task"), F.col("source").alias("reference_decision")))
 
 
-@query(f"WITH l AS (SELECT lang || ':' || doc_id || ':' || sha256(text) AS r, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) AS part FROM documents), {_PARTS}")
+@query(f"WITH l AS (SELECT lang || ':' || doc_id || ':' || sha256(text) AS r FROM documents), {_TREE}")
 def a16_dataset_hash(spark: SparkSession, sf: str) -> DataFrame:
     return R.dataset_hash(table(spark, sf, "documents"), F.sha2("text", 256), "lang", "doc_id")
 
 
+@query(f"WITH l AS (SELECT l_orderkey % 9 || ':' || l_partkey AS r FROM lineitem), {_TREE}")
+def a16_repeated_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The hash of a table with repeated rows, as a tree of more than one level."""
+    return orderstats.tree_hash(table(spark, sf, "lineitem").select(F.concat_ws(":", F.col("l_orderkey") % 9, "l_partkey").alias("row")), "row")
+
+
 @query("SELECT o_orderstatus AS status, o_orderpriority AS model_family, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 def a20_run_counts(spark: SparkSession, sf: str) -> DataFrame:
     return R.run_counts(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("model_family")))
