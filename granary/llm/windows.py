@@ -24,8 +24,8 @@ CAPACITY = 4096
 END = 2
 #: Windows that a task keeps open.
 OPEN = 16
-#: Words of which a worker remembers the ids, at most twice as many, and their longest in characters.
-REMEMBERED, LONGEST = 200_000, 40
+#: Words of which a worker remembers the ids, at most twice as many and those of one text, and their longest in characters.
+REMEMBERED, LONGEST = 300_000, 40
 #: What the vocabulary's pattern says of texts up to U+00FF (fixed values of the vocabulary): endings, letters, digits, white space; all else runs together.
 ENDINGS, LETTERS, DIGITS, SPACES = "'s|'t|'re|'ve|'m|'ll|'d", "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 WORDS = re.compile(f"{ENDINGS}|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
@@ -58,18 +58,16 @@ class WordEncoder:
         if "<|" in text:
             return np.array(self._whole(text), "<u4").tobytes()
         words = WORDS.findall(text.lower())
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        found = {w: self.before[w] for w in new if w in self.before}
-        found.update(self._learn([w for w in new if w not in found]))
-        out = b"".join([known[w] if w in known else found[w] for w in words])
-        if len(known) + len(found) > REMEMBERED:
-            self.before, self.known = known, {}
-        self.known.update((w, x) for w, x in list(found.items())[:REMEMBERED] if len(w) <= LONGEST)
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        if new := set(words).difference(known):
+            known.update((w, before[w]) for w in new if w in before)
+            known.update(self._learn([w for w in new if w not in known]))
+        out = b"".join([known[w] for w in words])
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
         return out
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
