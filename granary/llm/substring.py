@@ -136,36 +136,44 @@ def _chosen(texts: list[bytes], dead: list, length: int, width: int) -> tuple[np
     return text, hashes[place[first]].view(np.int64), second.view(np.int64), first - base, last - base, np.bincount(text, minlength=len(texts))[text]
 
 
-def _level(docs: DataFrame, length: int, width: int) -> DataFrame:
-    """docs: k1, k2, dead (array of long or null), text. Rows of k1, k2, h, h2, lo, hi, of."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("of", pa.int32())])
+def _level(docs: DataFrame, key: list[str], length: int, width: int) -> DataFrame:
+    """docs: the key (one or two longs), dead (array of long or null), text. Rows of the key, h, h2, lo, hi, of."""
+    schema = pa.schema([*[(k, pa.int64()) for k in key], ("h", pa.int64()), ("h2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("of", pa.int32())])
+    dead_at, text_at = len(key), len(key) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(key))]
             at = 0
             while at < batch.num_rows:
                 start, texts, size = at, [], 0
                 while at < batch.num_rows and (not texts or size < CHUNK):
-                    texts.append((batch.column(3)[at].as_py() or "").encode("utf-8", "surrogatepass"))
+                    texts.append((batch.column(text_at)[at].as_py() or "").encode("utf-8", "surrogatepass"))
                     size += len(texts[-1])
                     at += 1
-                dead = [None if not d.is_valid else d.values.to_numpy() for d in batch.column(2)[start:at]]
+                dead = [None if not d.is_valid else d.values.to_numpy() for d in batch.column(dead_at)[start:at]]
                 text, *found = _chosen(texts, dead, length, width)
                 for a in range(0, len(text), 1 << 16):
                     part = slice(a, a + (1 << 16))
                     columns = [k[start + text[part]] for k in keys] + [x[part] for x in found]
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.type.to_pandas_dtype())) for c, t in zip(columns, schema, strict=True)], schema.names)
 
-    return docs.select(*KEY, "dead", "text").mapInArrow(run, "k1 long, k2 long, h long, h2 long, lo int, hi int, of int")
+    kinds = ", ".join(f"{k} long" for k in key)
+    return docs.select(*key, "dead", "text").mapInArrow(run, f"{kinds}, h long, h2 long, lo int, hi int, of int")
 
 
 def _small(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def dead_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """docs: k1, k2, text. Two tables in the shared folder: k1, k2, dead (the ranges of windows that are not repeated) and k1, k2 of texts without a repeated window.
+def short_key(docs: DataFrame) -> list[str]:
+    """KEY, or its first half alone where that tells the rows of docs apart as well: a row of every level carries the key, and half of it is half of what is shuffled for it."""
+    meets = docs.groupBy("k1").agg((F.min("k2") != F.max("k2")).alias("meets")).filter("meets").limit(1).count()
+    return KEY if meets else KEY[:1]
+
+
+def dead_windows(docs: DataFrame, key: list[str], width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """docs: the key, text. Two tables in the shared folder: the key and dead (the ranges of windows that are not repeated), and the key of texts without a repeated window.
 
     A level reads texts that have windows left, with their dead ranges. A sequence found once gives its text and range by minima over its only row, so counting is one aggregation with partial sums, without a
     join back, and no hot sequence is gathered anywhere. A level's tables are deleted when the next one's are written."""
@@ -175,18 +183,18 @@ def dead_windows(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
         if dead is None:
             work = docs.withColumn("dead", no_dead)
         else:
-            left = docs.join(F.broadcast(done), KEY, "left_anti") if _small(done) else docs.join(done, KEY, "left_anti")
-            work = left.join(dead, KEY, "left")
-        rows = _level(work, length, width)
+            left = docs.join(F.broadcast(done), key, "left_anti") if _small(done) else docs.join(done, key, "left_anti")
+            work = left.join(dead, key, "left")
+        rows = _level(work, key, length, width)
         same = ["h", "h2"] if length == width else ["h"]
-        once = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in (*KEY, "lo", "hi", "of")]).filter("n = 1")
+        once = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in (*key, "lo", "hi", "of")]).filter("n = 1")
         packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
-        new = once.groupBy(*KEY).agg(F.collect_list(packed).alias("dead"), (F.count(F.lit(1)) == F.first("of")).alias("done"))
+        new = once.groupBy(*key).agg(F.collect_list(packed).alias("dead"), (F.count(F.lit(1)) == F.first("of")).alias("done"))
         new = materialise(new, f"dead{length}")
-        gone = new.filter("done").select(*KEY)
-        ranges = new.filter("not done").select(*KEY, "dead")
+        gone = new.filter("done").select(*key)
+        ranges = new.filter("not done").select(*key, "dead")
         if dead is not None:
-            ranges = dead.union(ranges).groupBy(*KEY).agg(F.flatten(F.collect_list("dead")).alias("dead"))
+            ranges = dead.union(ranges).groupBy(*key).agg(F.flatten(F.collect_list("dead")).alias("dead"))
             gone = done.union(gone)
         before = (new, dead, done)
         dead, done = materialise(ranges, "ranges"), materialise(gone, "done")
@@ -236,14 +244,15 @@ def _apply(docs: DataFrame, columns: list[str], width: int) -> DataFrame:
 
 def _judged(docs: DataFrame, columns: list[str], width: int) -> DataFrame:
     """docs: the columns, k1, k2, text. What _apply() returns for every row."""
-    dead, done = dead_windows(docs.select(*KEY, "text"), width)
+    key = short_key(docs)
+    dead, done = dead_windows(docs.select(*key, "text"), key, width)
     done = done.withColumn("done", F.lit(True))
     if _small(done):
-        flagged = docs.join(F.broadcast(done), KEY, "left")
+        flagged = docs.join(F.broadcast(done), key, "left")
         clean = flagged.filter("done").withColumn("dead", F.lit(None).cast("array<long>"))
-        rest = flagged.filter("done is null").join(dead, KEY, "left")
+        rest = flagged.filter("done is null").join(dead, key, "left")
         return _apply(clean, columns, width).unionByName(_apply(rest, columns, width))
-    return _apply(docs.join(done, KEY, "left").join(dead, KEY, "left"), columns, width)
+    return _apply(docs.join(done, key, "left").join(dead, key, "left"), columns, width)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
