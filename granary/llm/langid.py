@@ -21,8 +21,11 @@ from .common import join_small, materialise, release
 
 #: Longest context in bytes.
 ORDER = 4
-#: What is learned from, at most: the languages with the most labelled documents, of each the documents with the least hash of their id, up to so many and to so many bytes of text (one at least).
-MAX_LANGS, MAX_DOCS, MAX_BYTES = 256, 2000, 32 << 20
+#: What is learned from, at most: of each language the documents with the least hash of their id, up to so many and to so many bytes of text; and so many bytes of all languages, of which each has an equal share. One
+#: document of each language is always learned from.
+MAX_DOCS, MAX_BYTES, MAX_TOTAL = 2000, 32 << 20, 128 << 20
+#: Languages whose statistics share a table: a gram that one of them has seen has a place for each, so tables of many languages would be mostly empty.
+TOGETHER = 8
 #: Bytes that are scored at a time.
 CHUNK = 1 << 20
 
@@ -60,8 +63,8 @@ class Table:
 
 
 @dataclass
-class Model:
-    """langs in code point order; costs[k]: bits of a byte after k bytes of context, a column a language, for every such gram that any language has seen;
+class Block:
+    """Statistics of a few languages. langs in code point order; costs[k]: bits of a byte after k bytes of context, a column a language, for every such gram that any language has seen;
     escapes[k]: bits of the escape from a context of k bytes."""
 
     langs: list[str]
@@ -106,11 +109,8 @@ def _grams(data: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def fit_counts(counts: pd.DataFrame, order: int = ORDER) -> Model:
-    """counts: lang, gram (order + 1 bytes), n; one row a pair."""
+def _fit_block(counts: pd.DataFrame, order: int) -> Block:
     langs = sorted(counts["lang"].unique().tolist(), key=lambda x: [ord(c) for c in x])
-    if not langs:
-        return Model([], [], [])
     lower: Table | None = None
     costs, escapes = [], []
     for k in range(order + 1):
@@ -129,14 +129,30 @@ def fit_counts(counts: pd.DataFrame, order: int = ORDER) -> Model:
         lower = Table(keys, np.where(n > 0, direct, escape[inverse] + back).astype(np.float32))
         costs.append(lower)
         escapes.append(Table(contexts, escape.astype(np.float32)))
-    return Model(langs, costs, escapes)
+    return Block(langs, costs, escapes)
+
+
+@dataclass
+class Model:
+    """All languages in code point order, in blocks. A language's costs are its own, whatever block it is in."""
+
+    langs: list[str]
+    blocks: list[Block]
+
+
+def fit_counts(counts: pd.DataFrame, order: int = ORDER) -> Model:
+    """counts: lang, gram (order + 1 bytes), n; one row a pair."""
+    langs = sorted(counts["lang"].unique().tolist(), key=lambda x: [ord(c) for c in x])
+    own = dict(tuple(counts.groupby("lang", sort=False)))
+    return Model(langs, [_fit_block(pd.concat([own[x] for x in langs[a : a + TOGETHER]]), order) for a in range(0, len(langs), TOGETHER)])
 
 
-def _chosen(known: DataFrame, max_docs: int, max_bytes: int, max_langs: int) -> DataFrame:
+def _chosen(known: DataFrame, max_docs: int, max_bytes: int, max_total: int) -> DataFrame:
     """Table of doc_id, lang: the sample. Rows are ranked by a hash of their id, but only those under a bound that a language's number of rows sets: the bound is
     raised where it lets too few ids through, so the sample is the same as that of a ranking of all rows, and no task sees a language whole. The driver gets places and sizes of the ids under the bound (a few
     times max_docs a language) and finds where each language's sample ends."""
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a number a language
+    max_bytes = min(max_bytes, max_total // max(1, len(counts)))
     spark = known.sparkSession
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     sized = known.select("lang", "doc_id", place.alias("place"), F.octet_length("text").cast("long").alias("bytes"))
@@ -164,13 +180,13 @@ def _chosen(known: DataFrame, max_docs: int, max_bytes: int, max_langs: int) ->
     return chosen
 
 
-def train(docs: DataFrame, learn: Column, order: int = ORDER, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, max_langs: int = MAX_LANGS) -> Model:
+def train(docs: DataFrame, learn: Column, order: int = ORDER, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, max_total: int = MAX_TOTAL) -> Model:
     """Learn from rows of docs for which `learn` holds, with a text and a lang: whole texts, within the bounds given.
 
     Rows are chosen by id and lang alone (rows without an id are not, rows that share both come together); grams of their texts are counted on the executors, and the driver gets the counts: their number is bounded by
     the sample, whatever the size of docs. Nothing to learn from gives a model that names no language. Other columns of docs are not read, whatever their names."""
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    sample = join_small(known, _chosen(known, max_docs, max_bytes, max_langs), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    sample = join_small(known, _chosen(known, max_docs, max_bytes, max_total), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = b" " * order
@@ -225,12 +241,16 @@ def code_lengths(model: Model, texts: list[bytes], order: int = ORDER) -> np.nda
     out = np.zeros((len(texts), len(model.langs)))
     for a in range(0, len(data) - order, CHUNK):
         b = min(a + CHUNK, len(data) - order)
-        bits = model.bits(_grams(data[a : b + order], order))
+        grams = _grams(data[a : b + order], order)
         # grams at g (from a to b) end at byte g + order of data: text k holds those from ends[k-1] to ends[k] - order
         first, last = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right"))
-        for k in range(first, min(last, len(texts) - 1) + 1):
-            lo = max(a, int(ends[k]) - len(texts[k]) - order)
-            hi = min(b, int(ends[k]) - order)
-            if hi > lo:
-                out[k] += bits[lo - a : hi - a].sum(axis=0, dtype=np.float64)
+        at = 0
+        for block in model.blocks:
+            bits, own = block.bits(grams), slice(at, at + len(block.langs))
+            at = own.stop
+            for k in range(first, min(last, len(texts) - 1) + 1):
+                lo = max(a, int(ends[k]) - len(texts[k]) - order)
+                hi = min(b, int(ends[k]) - order)
+                if hi > lo:
+                    out[k, own] += bits[lo - a : hi - a].sum(axis=0, dtype=np.float64)
     return out

@@ -101,6 +101,24 @@ def test_sample_is_bounded_and_nothing_learned(rows):
     assert predict(rows.filter("false"), few, order=ORDER).collect() == []
 
 
+def test_three_hundred_languages(spark):
+    """Languages have no bound; each has its share of the bytes that are learned from, and one document at least."""
+    import random
+
+    rng = random.Random(4)
+
+    def text(k, n):
+        own = random.Random(k)
+        words = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(own.randint(3, 7))) for _ in range(30)]
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    docs = spark.createDataFrame([(10 * k + j, text(k, 60), f"l{k:03}") for k in range(300) for j in range(3)], "doc_id long, text string, lang string")
+    model = train(docs, F.col("doc_id") % 10 < 2, ORDER, max_total=300 * 400)
+    assert model.langs == [f"l{k:03}" for k in range(300)] and {len(b.langs) for b in model.blocks} == {8, 4}
+    held = predict(docs.filter("doc_id % 10 = 2"), model, ("doc_id", "lang"), ORDER).collect()
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and [r.lang_pred for r in held if r.doc_id == 2992] == ["l299"]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in op8_ppm_language(spark, sf).collect()}
