@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -155,15 +156,16 @@ def tuned(entries: DataFrame, k: int, tables: int, sizes: tuple[int, ...], seed:
         sizes = sizes[:-1]
 
 
-def index_of(vectors: DataFrame, is_query: F.Column, k: int) -> tuple[DataFrame, DataFrame] | None:
-    """Two frames: the usable rows (vec_id, v, q, k1, k2) and the table of distinct vectors: e (a number), k1, k2, v, ids (the k + 1 smallest), q (whether any is a query). None if nothing is usable."""
+def usable_rows(vectors: DataFrame, is_query: F.Column) -> DataFrame:
+    """vec_id, v, q (whether the row is a query) of the rows that take part."""
     kind = vectors.schema["embedding"].dataType.elementType
     v = F.col("embedding") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("embedding").cast("array<double>")
-    rows = vectors.select("vec_id", v.alias("v"), is_query.alias("q")).filter(usable("v") & F.col("vec_id").isNotNull())
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
-        return None
-    keyed = rows.filter(F.size("v") == lengths[0]["d"]).select("*", *row_key("v"))
+    return vectors.select("vec_id", v.alias("v"), is_query.alias("q")).filter(usable("v") & F.col("vec_id").isNotNull())
+
+
+def index_of(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """rows: usable_rows() of one length. Two frames: the rows with k1 and k2, and the table of distinct vectors: e (a number), k1, k2, v, ids (the k + 1 smallest), q (whether any is a query)."""
+    keyed = rows.select("*", *row_key("v"))
     few = keyed.select(*KEY, "vec_id", "v").withColumn("r", F.dense_rank().over(Window.partitionBy(*KEY).orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     entries = few.groupBy(*KEY).agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("v").alias("v"))
     asked = keyed.filter("q").groupBy(*KEY).agg(F.lit(True).alias("q"))
@@ -233,14 +235,19 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, tables: int = TA
 
     Equal vectors are one entry with its k + 1 smallest ids, which is all that any answer can show of them; so copies cost nothing. Every entry is indexed. A bucket with
     many entries or queries meets in blocks, each of which hands on its k + 1 best an entry, ties to the entry of the smaller id; what is below the bound that a sample of the entries sets for a query is not handed
-    on, and queries of which that leaves fewer than k + 1 are asked again without it. Vectors that are not usable(), or not of the
-    length that most have (of equally many the shorter), take no part; repeated rows of an id and vector count once; fewer candidates than k give fewer rows; an empty table gives none. Other columns are not
+    on, and queries of which that leaves fewer than k + 1 are asked again without it. Vectors of different lengths have no inner product: each
+    length is searched among its own. Vectors that are not usable() take no part; repeated rows of an id and vector count once; fewer candidates than k give fewer rows; an empty table gives none. Other columns are not
     read, whatever their names."""
     spark = vectors.sparkSession
-    found = index_of(vectors, is_query, k)
-    if found is None:
+    rows = usable_rows(vectors, is_query)
+    lengths = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    keyed, entries = found
+    return reduce(DataFrame.union, [_search(rows.filter(F.size("v") == d), k, tables, probes, axes, seed) for d in lengths])
+
+
+def _search(rows: DataFrame, k: int, tables: int, probes: int | None, axes: int, seed: int) -> DataFrame:
+    keyed, entries = index_of(rows, k)
     answers = settled("answers", lambda: _answers(entries, k, tables, probes, axes, seed))
     release(entries)
     queries = keyed.filter("q").select(F.col("vec_id").alias("query_id"), *KEY).distinct()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import ann
-from granary.llm.ann import best_codes, buckets, codes, functions, hadamard, index_of, scored, search, signed_axes
+from granary.llm.ann import best_codes, buckets, codes, functions, hadamard, index_of, scored, search, signed_axes, usable_rows
 
 
 def brute(rows, k):
@@ -82,13 +82,24 @@ def test_copies_ties_and_unusable(spark):
     rng = np.random.default_rng(3)
     hot = rng.normal(size=8).astype(np.float32).tolist()
     rows = [(i, hot) for i in range(200)] + [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(200, 260)]
-    bad = [(300, None), (320, [0.0] * 8), (340, [None] + [1.0] * 7), (360, [float("nan")] * 8), (380, [float("inf")] + [0.0] * 7), (400, [1.0, 2.0])]
+    bad = [(300, None), (320, [0.0] * 8), (340, [None] + [1.0] * 7), (360, [float("nan")] * 8), (380, [float("inf")] + [0.0] * 7)]
     got, want = ask(spark, rows + bad, tables=20, probes=16), brute(rows, 20)
     assert got.keys() == want.keys()
     for q in range(0, 200, 20):
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]] == [i for i in range(22) if i != q][:20]
 
 
+def test_each_length_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=(3, 5, 8)[i % 3]).tolist()) for i in range(240)]
+    got = ask(spark, rows, tables=20, probes=64)
+    want = {}
+    for d in range(3):
+        want |= brute([r for r in rows if r[0] % 3 == d], 20)
+    assert got.keys() == want.keys() == set(range(0, 240, 20))
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
+
+
 def test_few_and_none(spark):
     assert ask(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], probes=4) == {0: [(2, 1.0), (1, 0.0)]}
     assert ask(spark, [(0, None)]) == {}
@@ -127,7 +138,7 @@ def test_scored_share_falls(spark):
         centres = rng.normal(size=(n // 40, 32))
         x = centres[rng.integers(0, len(centres), n)] + 0.35 * rng.normal(size=(n, 32))
         table = frame(spark, [(i, v) for i, v in enumerate(x.tolist())])
-        _, entries = index_of(table, F.col("vec_id") % 20 == 0, 20)
+        _, entries = index_of(usable_rows(table, F.col("vec_id") % 20 == 0), 20)
         index, probed = buckets(entries, 20)
         share.append(scored(index, probed) / probed.count() / n)
     assert share[1] < 0.6 * share[0]
