@@ -1,7 +1,7 @@
 """Main text of web pages by removing what a site repeats.
 
 Every page is parsed into its elements; the hashes of element subtrees are counted per host in Spark, and subtrees that recur across many distinct pages of a host in
-different surroundings are its template, unless the pages are near copies of each other. A last pass takes the template out of each page first. Among what is left, elements that by name never hold an
+different surroundings are its template, unless the pages are near copies of each other; so are places in a host's layout beside its articles, whatever they hold. A last pass takes the template out of each page first. Among what is left, elements that by name never hold an
 article's text go, and where article or main elements hold at least half of the rest they are the article; its blocks are the text.
 """
 
@@ -156,18 +156,30 @@ def digest(root: Node) -> list[Node]:
 
 def weigh(nodes: list[Node], gone: frozenset[int] | set[int]) -> None:
     """Give every element the length of its text without the elements that are gone, and mark forms and hinted elements with most of the text of the page, or of an article or main around them,
-    that is not in elements dropped by their tags: what their names say is not taken for their kind. Boxes of readers' remarks are not marked."""
+    that is not in elements dropped by their tags: what their names say is not taken for their kind. Boxes of readers' remarks are not marked, and where an article or main stands in no element whose name or kind speaks
+    against it a box beside it, neither around nor in it, is not marked: it is what it says, however short the article."""
     shown: dict[int, int] = {}
+    holds: set[int] = set()
     for node in reversed(nodes):
         own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
         below = [x for x in node.items if isinstance(x, Node)]
         node.size = 0 if id(node) in gone else own + sum(x.size for x in below)
         shown[id(node)] = 0 if id(node) in gone or (node.tag in DROPPED and node.tag != "form") else own + sum(shown[id(x)] for x in below)
-    around = {id(nodes[0]): shown[id(nodes[0])]}
+        if node.size and node.tag in ("article", "main") or any(id(x) in holds for x in below):
+            holds.add(id(node))
+    clear, sure = {id(nodes[0])}, set()
     for node in nodes[1:]:
+        if id(node.parent) in clear and node.tag not in DROPPED and id(node) not in gone and (node.tag in ("html", "body", "main") or HINTS.isdisjoint(SPLIT.split(node.hint))):
+            clear.add(id(node))
+            if node.size and node.tag in ("article", "main"):
+                sure.add(node.tag)
+    around, text, inside = {id(nodes[0]): shown[id(nodes[0])]}, "article" if "article" in sure else "main", set()
+    for node in nodes[1:]:
+        if node.tag == text or id(node.parent) in inside:
+            inside.add(id(node))
         within = around[id(node.parent)]
         size = shown[id(node)]
-        node.spared = 2 * size > within and (node.tag == "form" or node.hint != "") and REMARKS.isdisjoint(SPLIT.split(node.hint))
+        node.spared = 2 * size > within and (node.tag == "form" or node.hint != "") and REMARKS.isdisjoint(SPLIT.split(node.hint)) and (not sure or id(node) in holds or id(node) in inside)
         around[id(node)] = size if node.tag in ("article", "main") and size else within
 
 
@@ -253,10 +265,41 @@ def removable(nodes: list[Node], articles: list[Node]) -> dict[int, tuple[Node,
     return out
 
 
-def subtrees(page: str) -> list[tuple[int, int, bool]]:
-    """Hash of each element that may be template, that of its parent, and whether it is prose inside of an article."""
+#: Told apart by this: the hash of a place in the layout.
+AS_PLACE = 0xC2B2AE3D27D4EB4F
+
+
+def places(nodes: list[Node], articles: list[Node]) -> dict[int, int]:
+    """Hashes of the places of the outermost blocks with text that neither hold an article nor lie in one, by their Python id: names and classes from the root down, whatever the blocks hold. None on a page without articles."""
+    roots = {id(node) for node in articles}
+    above: set[int] = set()
+    for node in articles:
+        while node:
+            above.add(id(node))
+            node = node.parent
+    out, path, stack = {}, {}, [nodes[0]] if articles else []
+    while stack:
+        node = stack.pop()
+        path[id(node)] = xxhash.xxh64_intdigest(f"{path[id(node.parent)] if node.parent else 0}|{node.tag}|{node.hint}".encode("utf-8", "surrogatepass"))
+        if id(node) in roots:
+            continue
+        if id(node) in above:
+            stack.extend(x for x in node.items if isinstance(x, Node))
+        elif node.size and node.tag in BLOCKS and node.tag not in DROPPED:
+            out[id(node)] = _signed(path[id(node)] ^ AS_PLACE)
+    return out
+
+
+def subtrees(page: str, evidence: bool = False) -> list[tuple[int, int, bool]]:
+    """Hash of each element that may be template, that of its parent, and whether it takes half of a host's pages to make it template: prose inside of an article, and places in the layout. As evidence places count
+    only on pages of which the articles have at least half, with what they hold in the parent's stead: a place that always holds the same is not one."""
     nodes = digest(parse(page))
-    return sorted({(h, _signed(node.parent.digest), prose) for node, h, prose in removable(nodes, articles_of(nodes)).values()})
+    articles = articles_of(nodes)
+    out = {(h, _signed(node.parent.digest), prose) for node, h, prose in removable(nodes, articles).values()}
+    if not evidence or 2 * sum(node.size for node in articles) >= nodes[0].size:
+        by = {id(node): node for node in nodes}
+        out |= {(h, _signed(by[k].digest), True) for k, h in places(nodes, articles).items()}
+    return sorted(out)
 
 
 def near_copy(page: str, repeated: set[int]) -> bool:
@@ -282,11 +325,14 @@ def near_copy(page: str, repeated: set[int]) -> bool:
 def _template(nodes: list[Node], template: set[int]) -> set[int]:
     """Python ids of the outermost elements of the page that are template. Prose inside of the articles stays if it would take more than half of their text: then the pages are copies of a text."""
     articles = articles_of(nodes)
-    may = removable(nodes, articles)
+    may, place = removable(nodes, articles), places(nodes, articles)
     out, under, prose = set(), set(), []
     for node in nodes:
         if node.parent is not None and id(node.parent) in under:
             under.add(id(node))
+        elif place.get(id(node)) in template:
+            under.add(id(node))
+            out.add(id(node))
         elif id(node) in may and may[id(node)][1] in template:
             under.add(id(node))
             out.add(id(node))
@@ -372,7 +418,7 @@ def templates(pages: DataFrame, min_surroundings: int = MIN_SURROUNDINGS, min_sh
             hosts, found, owners = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 html = page.as_py() or ""
-                own = subtrees(html)
+                own = subtrees(html, evidence=True)
                 found += own
                 hosts += [host] * len(own)
                 owners += [_page(html)] * len(own)

@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 
 from granary.llm import html_text
-from granary.llm.html_text import digest, articles_of, extract, main_text, parse, removable, subtrees, templates
+from granary.llm.html_text import digest, articles_of, extract, main_text, parse, places, removable, subtrees, templates
 
 NAV = '<nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav>'
 
@@ -157,6 +157,11 @@ def brute_templates(pages):
         sizes[host] = sizes.get(host, 0) + 1
         for node, h, prose in removable(nodes, articles_of(nodes)).values():
             by.setdefault((host, h, prose), {}).setdefault(page, []).append(node.parent.digest)
+        articles = articles_of(nodes)
+        if 2 * sum(x.size for x in articles) >= nodes[0].size:
+            ids = {id(x): x for x in nodes}
+            for k, h in places(nodes, articles).items():
+                by.setdefault((host, h, True), {}).setdefault(page, []).append(ids[k].digest)
     out = set()
     for (host, h, prose), on in by.items():
         n, total = len(on), sizes[host]
@@ -189,3 +194,37 @@ def test_template_of_the_registered_pages(spark):
     for r in pages:
         own = extract("".join(re.findall(r"<article>.*</article>", r.html, re.S)), set())
         assert got[r.page_id].text == own
+
+
+def test_a_longer_advert_beside_a_short_article():
+    page = "<body><div class='ad'>" + "buy this now " * 20 + "</div><article><h1>Short</h1><p>Few words.</p></article></body>"
+    assert extract(page, set()) == "Short\nFew words."
+    around = "<body><div class='has-sidebar'><article><p>" + "words of it " * 20 + "</p></article></div></body>"
+    assert extract(around, set()).startswith("words of it")
+    remark = "<body><div class='promo'>" + "the page itself " * 20 + "</div><div class='comments'><article>first!</article></div></body>"
+    assert extract(remark, set()).startswith("the page itself")
+
+
+def test_places_beside_articles_are_template_whatever_they_hold(spark):
+    """Boxes without telling names, never twice the same, are told by their place in the layout of a host; where articles are only the heads of pages what stands beside them stays."""
+    words = lambda k, n: " ".join(f"w{(k * 7919 + i * 104729) % 997}" for i in range(n))
+    page = lambda k, n: f"<body><div class='x1'>{words(k, 12)}</div><article><h1>t{k}</h1><p>{words(k + 500, n)}</p></article></body>"
+    rows = [(k, f"https://a.example/{k}", page(k, 4 if k == 3 else 60)) for k in range(20)]
+    head = lambda k: f"<body><article><h1>t{k}</h1></article><div class='x1'>{words(k, 60)}</div></body>"
+    rows += [(100 + k, f"https://b.example/{k}", head(k)) for k in range(20)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"t{k}\n{words(k + 500, 4 if k == 3 else 60)}" for k in range(20))
+    assert all(words(k, 60) in got[100 + k] for k in range(20))
+
+
+def test_no_page_holds_its_advert(spark):
+    import re
+
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in main_text(pages).collect()}
+    adverts = {r.page_id: re.findall(r'<div class="ad">(.*?)</div>', r.html or "", re.S) for r in pages.collect()}
+    plain = lambda t: " ".join(t.split())
+    heads = {r.page_id: {plain(h) for h in re.findall("<h1>(.*?)</h1>", r.html or "", re.S)} for r in pages.collect()}  # a few articles have the advert's words for their heading
+    held = [i for i, own in adverts.items() for a in own if plain(a) and plain(a) not in heads[i] and plain(got[i]).startswith(plain(a))]
+    assert sum(map(len, adverts.values())) > 100 and held == []
