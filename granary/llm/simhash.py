@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, boxed, join_small, materialise, quoted, release, row_key, settled
+from .common import BROADCAST_ROWS, KEY, boxed, join_small, materialise, quoted, release, row_key, settled
 from .components import components
 
 #: Words of a shingle and seed of its hash.
@@ -87,7 +87,10 @@ def near_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     keyed = fps.select("fp").repartition(tasks, "fp").select("fp", F.explode(F.concat(F.array(*exact), *wild)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(_side(F.col("key"), F.col("fp"))).alias("n1"))
     meets = sizes.filter(F.when(_is_exact(F.col("key")), F.col("n") > 1).otherwise((F.col("n1") > 0) & (F.col("n1") < F.col("n"))))
-    live = materialise(keyed.join(meets.select("key", (F.col("n") > hot).alias("hot")), "key"), "variants")
+    meets = materialise(meets.select("key", (F.col("n") > hot).alias("hot")), "meets")
+    # most variants are of one fingerprint alone: a short list of the others spares all of them a second shuffle
+    few = meets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    live = materialise(keyed.join(F.broadcast(meets) if few else meets, "key"), "variants")
     links = _meet(live.filter("not hot"), ["key"])
     if not live.filter("hot").limit(1).count():
         return links
