@@ -99,12 +99,3 @@ def select_suite(examples: DataFrame, per_task: int = 1, abstaining: int = 2) ->
 def gold_floor(gold: DataFrame, benchmark: DataFrame, flagged: Column) -> DataFrame:
     """How many reference answers a heuristic flags: n, flagged."""
     return gold.join(benchmark, "example_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(flagged).alias("flagged"))
-
-
-def build_benchmark(examples: DataFrame, grader: str) -> DataFrame:
-    """Evaluation rows from training rows: the last turn is the reference (JSON), the turns before are the prompt; options are all labels of all rows."""
-    last = F.element_at("messages", -1)["content"]
-    rows = examples.select("id", "task", F.slice("messages", F.lit(1), F.greatest(F.size("messages") - 1, F.lit(0))).alias("messages"), F.from_json(last, "ranking array<string>, label string, confident boolean, next_step string, reasons array<string>").alias("r"))
-    labels = rows.select("r.label").filter("label is not null").distinct().agg(F.sort_array(F.collect_list("label")).alias("options"))
-    out = rows.crossJoin(F.broadcast(labels))
-    return out.select("id", "task", "messages", F.col("r").withField("options", F.col("options")).alias("reference"), F.lit(grader).alias("grader"))

@@ -1,13 +1,17 @@
-"""Queries of numbered lines, partial logs and streams over what is written from the driver's tables, with their SQL."""
+"""Queries of numbered lines, partial logs, streams, bundles, benchmarks and batches over what is made of the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import batching, benchmarks
 from ..sources import jsonl, partial
 from ..sources.scratch import shared_path
 from ..streaming import alarms, resume
+from . import bindings
 from .bindings import table
 from .catalog import query
 from .results import _SHAPE, _lines
@@ -124,3 +128,62 @@ def t03_stream_alarm(spark: SparkSession, sf: str) -> DataFrame:
         found = alarms.memory_alarms(spark.readStream.schema(schema).parquet(came), 150.0)
         found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("experiment_id string, step long, peak double").parquet(out)
+
+
+# datasets, benchmarks and batches
+
+
+@query(_SHAPE + " SELECT CASE conv_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split, count(*) FILTER (errors = 0) AS n, count(*) FILTER (errors > 0) AS rejected FROM j GROUP BY 1")
+def s06_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as three split files, loaded as a bundle; good rows and rejects of each split."""
+    lines = _lines(spark, sf).withColumn("split", F.when(F.col("line") % 4 == 0, "test").when(F.col("line") % 4 == 1, "validation").otherwise("train"))
+    paths = {s: shared_path(spark, s) for s in jsonl.SPLITS}
+    for s, path in paths.items():
+        lines.filter(F.col("split") == s).select("value").write.text(path)
+    b = jsonl.load_bundle(spark, paths, strict=False, filters=jsonl.Filters(tasks=["tool_routing"], allow_unreviewed=True))
+    both = b.rows.select("split", F.lit(1).alias("n"), F.lit(0).alias("rejected")).union(b.rejects.select("split", F.lit(0), F.lit(1)))
+    return both.groupBy("split").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected"))
+
+
+def _answered(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations that end with an answer as JSON; every eleventh is torn, every thirteenth has no ranking."""
+    k = F.col("conv_id")
+    text = F.concat(
+        F.lit('{"ranking":['), k % 7, F.lit(',"b'), k % 3, F.lit('"],"'), F.when(k % 5 == 0, "label").otherwise("deciding_factor"), F.lit('":"f'), k % 4, F.lit('","confident":'), F.when(k % 3 == 0, "true").when(k % 3 == 1, '"yes"').otherwise("false"),
+        F.lit(',"next_step":'), F.when(k % 2 == 0, '"go"').otherwise("5"), F.lit(',"mood":'), k, F.lit("}"),
+    )
+    said = F.when(k % 11 == 0, '{"ranking": [').when(k % 13 == 0, '{"label": "x"}').otherwise(text)
+    nothing = F.lit(None).cast("string")
+    last = F.struct(F.lit("assistant").alias("role"), said.alias("content"), nothing.alias("name"), nothing.alias("reasoning"))
+    return bindings.conversations(spark, sf).select(k.alias("id"), F.lit("tool_routing").alias("task"), F.concat("messages", F.array(last)).alias("messages"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS id, count(*) AS prompt FROM conversations GROUP BY conv_id HAVING conv_id % 11 <> 0 AND conv_id % 13 <> 0)
+SELECT id, prompt, (id % 7) || ',b' || (id % 3) AS ranking, 'f' || (id % 4) AS label, CASE id % 3 WHEN 0 THEN true WHEN 2 THEN false END AS confident, CASE WHEN id % 2 = 0 THEN 'go' END AS next_step, (SELECT string_agg(DISTINCT 'f' || (id % 4), ',' ORDER BY 'f' || (id % 4)) FROM c) AS options, id AS mood FROM c"""
+)
+def s26_benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    """References read out of answers: kinds are not converted, keys that are not known are kept."""
+    rows = benchmarks.build(_answered(spark, sf), "policy")[0]
+    r = lambda c: F.col(f"reference.{c}")
+    joined = lambda c: F.array_join(r(c), ",").alias(c)
+    return rows.select("id", F.size("messages").cast("long").alias("prompt"), joined("ranking"), r("label").alias("label"), r("confident").alias("confident"), r("next_step").alias("next_step"), joined("options"), F.variant_get(r("answer"), "$.mood", "long").alias("mood"))
+
+
+@query("SELECT DISTINCT conv_id AS id, CASE WHEN conv_id % 11 = 0 THEN 'not_json' ELSE 'no_ranking' END AS problem FROM conversations WHERE conv_id % 11 = 0 OR conv_id % 13 = 0")
+def s26_without_reference(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmarks.build(_answered(spark, sf), "policy")[1]
+
+
+def _added_up(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A backend that says the sum of the ids that the mask shows, their number, and the least and greatest length of its batch."""
+    ids, mask = (np.stack([x.values.to_numpy() for x in batch.column(c)]) for c in ("ids", "attention_mask"))
+    n = len(ids)
+    return pa.RecordBatch.from_arrays([pa.array((ids.astype(np.int64) * mask).sum(axis=1)), pa.array(mask.sum(axis=1, dtype=np.int64)), pa.array([ids.shape[1]] * n, pa.int64())], ["total", "n", "width"])
+
+
+@query("SELECT l_orderkey AS example_id, sum(l_partkey)::BIGINT AS total, count(*) AS n, (8 * ceil(count(*) / 8))::BIGINT AS width, (8 * ceil(count(*) / 8))::INT AS padded FROM lineitem GROUP BY l_orderkey")
+def x02_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as requests whose ids are their parts, handed to a backend in batches of one padded length."""
+    requests = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("example_id")).agg(F.collect_list(F.col("l_partkey").cast("int")).alias("ids"))
+    return batching.generate_batches(requests, _added_up, "total long, n long, width long", ["example_id"])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,17 +87,83 @@ def head(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy("file", "line").limit(n)
 
 
-def load_bundle(spark: SparkSession, paths: Mapping[str, str], required: Sequence[str] = ("train",)) -> DataFrame:
-    """Splits by name as one table with a column split; a required split that is missing or empty, and an id that occurs twice, raise."""
+SPLITS = ("train", "validation", "test")
+
+
+@dataclass(frozen=True)
+class Filters:
+    """What rows of a bundle have to be; empty lists ask for nothing. max_examples counts rows of train, in the order of the file."""
+
+    tasks: Sequence[str] = ()
+    domains: Sequence[str] = ()
+    statuses: Sequence[str] = ("reviewed",)
+    excluded_sources: Sequence[str] = ()
+    min_messages: int = 2
+    allow_unreviewed: bool = False
+    max_examples: int | None = None
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """rows: as load_examples() gives them, with split. Defaults stand in for metadata that is not there."""
+        out = rows.filter(F.size("messages") >= self.min_messages)
+        status, source = F.coalesce("metadata.quality_status", F.lit("draft")), F.coalesce("metadata.source", F.lit("synthetic"))
+        for value, allowed in ((F.col("task"), self.tasks), (F.col("variation_axes")["domain"], self.domains), (status, () if self.allow_unreviewed else self.statuses)):
+            if allowed:
+                out = out.filter(value.isin(*allowed))
+        if self.excluded_sources:
+            out = out.filter(~source.isin(*self.excluded_sources))
+        if self.max_examples is not None:
+            out = out.filter("split <> 'train'").unionByName(head(out.filter("split = 'train'"), self.max_examples))
+        return out
+
+
+@dataclass(frozen=True)
+class Bundle:
+    """rows: good rows of all splits that pass the filters, with split, file and line. rejects: split, file, line, id, errors. manifest: that of the folder, or None. counts: rows a split."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    manifest: Row | None
+    counts: Mapping[str, int]
+
+
+def load_manifest(spark: SparkSession, folder: str, name: str = "manifest.json") -> Row | None:
+    """The manifest of a dataset folder, a JSON object in a file; None if there is none."""
+    try:
+        found = spark.read.option("multiLine", True).schema(schemas.MANIFEST).json(f"{folder.rstrip('/')}/{name}").limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return found[0] if found else None
+
+
+def load_bundle(spark: SparkSession, paths: Mapping[str, str] | str, required: Sequence[str] = ("train",), strict: bool = True, filters: Filters | None = None, require_manifest: bool = False) -> Bundle:
+    """A dataset: its splits by name, or a folder whose splits are found by their names and whose manifest is read.
+
+    Raises: a required split that is not there, or empty after the filters; a manifest that is asked for and not there; a bad line if strict (else it is among the rejects); an id that two rows share, of one split or of several.
+    Warns of a manifest that says that the data are private. The filters are columns of one scan; counts and repeated ids take an aggregation each, whatever the number of splits."""
+    manifest = None
+    if isinstance(paths, str):
+        manifest, paths = load_manifest(spark, paths), discover_splits(spark, paths)
+    if require_manifest and manifest is None:
+        raise ValueError("no manifest")
+    if manifest is not None and manifest.contains_private_data:
+        warnings.warn(f"dataset {manifest.version} holds private data: copy it to no public place, and publish it with nothing trained on it", stacklevel=2)
     if missing := [s for s in required if s not in paths]:
         raise ValueError(f"missing splits: {missing}")
-    out = reduce(DataFrame.unionByName, [load_strict(spark, p).withColumn("split", F.lit(s)) for s, p in paths.items()])
-    have = {r.split for r in out.select("split").distinct().collect()}
-    if empty := [s for s in required if s not in have]:
+    good, rejects = zip(*[load_examples(spark, p) for p in paths.values()], strict=True)
+    named = lambda frames: reduce(DataFrame.unionByName, [f.withColumn("split", F.lit(s)) for s, f in zip(paths, frames, strict=True)])
+    rows, rejects = named(good), named(rejects)
+    if strict and (first := rejects.orderBy("split", "file", "line").limit(1).collect()):
+        raise ValueError(f"invalid row: {first[0].asDict()}")
+    rows = filters.apply(rows) if filters else rows
+    counts = {s: 0 for s in paths} | {r.split: r["count"] for r in rows.groupBy("split").count().collect()}
+    if empty := [s for s in required if not counts[s]]:
         raise ValueError(f"empty splits: {empty}")
-    if out.groupBy("id").count().filter("count > 1").limit(1).count():
-        raise ValueError("an id occurs twice")
-    return out
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("split")).alias("splits")).filter("n > 1")
+    if again := twice.orderBy("id").limit(10).collect():
+        raise ValueError(f"ids that occur twice: {[(r.id, r.splits) for r in again]}")
+    return Bundle(rows, rejects, manifest, counts)
 
 
 def json_line(schema: T.StructType, drop: Sequence[str] = ()) -> Column:
