@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -23,8 +23,11 @@ SENSITIVE = {
     "supabase_url": r"https://[a-z0-9]{20}\.supabase\.co",
     "private_key_block": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
 }
+#: What a text has to hold for a pattern to be found in it: looking for a plain string first spares most texts the pattern.
+HOLDS = {"email_address": "@", "bearer_token": "Bearer", "jwt": "eyJ", "openai_key": "sk-", "hf_token": "hf_", "aws_access_key": "AKIA", "supabase_url": ".supabase.co", "private_key_block": "PRIVATE KEY-----"}
 # Placeholders that must not be in a finished answer.
 PLACEHOLDERS = (r"\bTODO\b", r"\bFIXME\b", r"(?i)\blorem ipsum\b", r"(?m)^\s*\.\.\.\s*$")
+PLACEHOLDERS_HOLD = {PLACEHOLDERS[0]: "TODO", PLACEHOLDERS[1]: "FIXME", PLACEHOLDERS[3]: "..."}
 # Phrases that state a private fact.
 FACT_HINTS = (r"\bbecause (?:he|she|they|I) (?:work|works|worked) at\b", r"\byour (?:resume|CV) (?:says|states|lists)\b", r"\bas we discussed (?:last|on) \w+\b")
 
@@ -110,17 +113,22 @@ def approximate_token_count(text: Column) -> Column:
     return (F.floor(word_count(text) * F.lit(1.3)) + 1).cast("int")
 
 
-def matching(text: Column, patterns: dict[str, str]) -> Column:
+def found(text: Column, pattern: str, holds: str | None = None) -> Column:
+    """Whether a pattern is found, by a look for the string that it cannot do without first."""
+    return text.rlike(pattern) if holds is None else text.contains(holds) & text.rlike(pattern)
+
+
+def matching(text: Column, patterns: dict[str, str], holds: Mapping[str, str] = {}) -> Column:
     """Names of the patterns found in a text."""
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(found(text, p, holds.get(n)), F.lit(n)) for n, p in patterns.items()]), lambda x: x.isNotNull())
 
 
 def sensitive_content(text: Column) -> Column:
-    return matching(text, {n: "(?U)" + p for n, p in SENSITIVE.items()})
+    return matching(text, {n: "(?U)" + p for n, p in SENSITIVE.items()}, HOLDS)
 
 
-def any_of(text: Column, patterns: Sequence[str], flags: str = "") -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(flags + p) for p in patterns])
+def any_of(text: Column, patterns: Sequence[str], flags: str = "", holds: Mapping[str, str] = {}) -> Column:
+    return reduce(lambda a, b: a | b, [found(text, flags + p, holds.get(p)) for p in patterns])
 
 
 def strip_reasoning(text: Column) -> Column:

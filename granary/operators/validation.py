@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FACT_HINTS, PLACEHOLDERS, any_of, approximate_token_count, sensitive_content
+from ..functions.text import FACT_HINTS, PLACEHOLDERS, PLACEHOLDERS_HOLD, any_of, approximate_token_count, sensitive_content
 from .orderstats import least
 
 # Registered names.
@@ -30,14 +30,14 @@ def _finding(severity: str | Column, code: str, subject: Column | None = None) -
 def row_findings(rows: DataFrame, max_tokens: int | None = None, require_reviewed: bool = False, scan_content: bool = True) -> DataFrame:
     """id, severity, code, subject: everything that one row is guilty of by itself, in one pass."""
     empty = F.array().cast("array<string>")
-    target = lambda patterns, flags: F.exists(F.coalesce("targets", empty), lambda t: any_of(t, patterns, flags))
+    target = lambda patterns, flags, holds={}: F.exists(F.coalesce("targets", empty), lambda t: any_of(t, patterns, flags, holds))
     when = lambda bad, finding: F.when(F.coalesce(bad, F.lit(False)), F.array(finding)).otherwise(F.array().cast("array<struct<severity:string,code:string,subject:string>>"))
     parts = [when(F.coalesce(F.col("axes")[a], F.lit("")) == "", _finding("error", "missing_required_axis", F.lit(a))) for a in REQUIRED_AXES]
     parts += [
         when(~F.col("version").isin(*VERSIONS), _finding("warning", "unexpected_schema_version", F.col("version"))),
         when(F.coalesce("quality_status", F.lit("")) != "reviewed", _finding("error" if require_reviewed else "warning", "unreviewed_examples")),
         when(F.col("quality_status") == "rejected", _finding("error", "rejected_examples_present")),
-        when(target(PLACEHOLDERS, "(?U)"), _finding("error", "placeholder_content")),
+        when(target(PLACEHOLDERS, "(?U)", PLACEHOLDERS_HOLD), _finding("error", "placeholder_content")),
         when(target(FACT_HINTS, "(?iU)"), _finding("warning", "possible_fact_memorization")),
         F.transform(F.filter(F.map_keys(F.coalesce("axes", F.create_map().cast("map<string,string>"))), lambda k: ~k.isin(*AXES)), lambda k: _finding("info", "unregistered_variation_axes", k)),
     ]

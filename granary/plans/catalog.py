@@ -20,6 +20,7 @@ from ..operators import splits as S
 from ..operators import validation as Q
 from ..operators.graders import NDCG_WEIGHT
 from ..sources import files
+from ..sources.scratch import stored
 from . import bindings
 from .bindings import RANKS, RECORDS, TEXTS, rank_sql, table
 
@@ -589,7 +590,7 @@ c AS (SELECT doc_id, w, count(*) FILTER (side = 'a') AS x, count(*) FILTER (side
 SELECT doc_id, round(CASE WHEN sum(x) = 0 OR sum(y) = 0 THEN CASE WHEN sum(x) = sum(y) THEN 1 ELSE 0 END ELSE 2 * sum(least(x, y)) / (sum(x) + sum(y)) END, 6) AS f1 FROM c GROUP BY doc_id"""
 )
 def f27_token_f1(spark: SparkSession, sf: str) -> DataFrame:
-    counts = M.token_counts(table(spark, sf, "documents"), "doc_id", X.normalize_answer(F.col("text")))
+    counts = stored(M.token_counts(table(spark, sf, "documents"), "doc_id", X.normalize_answer(F.col("text"))), "tokens")  # read four times
     after = counts.withColumn("doc_id", F.col("doc_id") - 1)
     return M.token_f1_rows(counts, after, "doc_id").select("doc_id", *six("f1"))
 

@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from granary.plans import catalog, more, results  # noqa: F401
+from granary.plans import catalog, journals, more, results  # noqa: F401
 
 from .conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
-NAMES = "f04_jaccard f12_conversation_hash f22_extract_ranking f29_ndcg p01_filters p02_conversation_shape p11_gate j02_regraded j05b_exact_duplicates j05e_scenario_repeats a03_classification a08_consistency a12_corrected_block a14_generation_stats a15_fingerprint d01_random_split w01_holdout_values r02_cluster t01_windowed_counts t02_sessions j05c_normalized_duplicates j05d_near_duplicates r06_compare g_graders f27_token_f1 s09_load_results s02_rejects s12_events s14_partial_log j14_comparable j15_replies u06_coverage d04_strategies j07_violations a22_sequence_stats f36_error_status p18_contract".split()
+NAMES = sorted(catalog.SQL)
 
 
 @pytest.fixture(scope="module")
