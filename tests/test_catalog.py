@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from granary.plans import catalog, journals, more, results  # noqa: F401
+from granary.plans import catalog, checks, journals, more, results  # noqa: F401
 
 from .conftest import DATA
 
