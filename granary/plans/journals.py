@@ -187,3 +187,37 @@ def x02_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as requests whose ids are their parts, handed to a backend in batches of one padded length."""
     requests = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("example_id")).agg(F.collect_list(F.col("l_partkey").cast("int")).alias("ids"))
     return batching.generate_batches(requests, _added_up, "total long, n long, width long", ["example_id"])
+
+
+@query(_SHAPE + " SELECT 'v2' AS version, count(*) FILTER (errors = 0) AS example_count, count(*) FILTER (errors > 0) AS rejected, 'tool_routing=' || count(*) FILTER (errors = 0) AS tasks, 'career=' || count(*) FILTER (errors = 0) AS domains FROM j")
+def s17_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations prepared as a versioned dataset, by its manifest."""
+    raw, target = shared_path(spark, "raw"), shared_path(spark, "prepared")
+    _lines(spark, sf).select("value").write.text(raw)
+    m = jsonl.prepare(spark, raw, target, "v2")
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return m.select("version", "example_count", "rejected", shown("task_distribution").alias("tasks"), shown("domain_distribution").alias("domains"))
+
+
+@query("SELECT event_type AS event, CAST(user_id % 5 AS VARCHAR) AS experiment_id, count(*) AS n, sum(event_id)::BIGINT AS steps, true AS stamped FROM events GROUP BY ALL")
+def s11_emitted_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events appended in two goes and read back with their times and the fields beyond the schema."""
+    path = shared_path(spark, "events")
+    e = table(spark, sf, "events").select((F.col("user_id") % 5).cast("string").alias("experiment_id"), F.col("event_type").alias("event"), F.col("event_id").alias("step"))
+    for k in range(2):
+        jsonl.emit_events(e.filter(F.col("step") % 2 == k), path)
+    back = jsonl.read_events(spark, path)
+    stamped = F.bool_and((F.col("ts") > 0) & F.col("iso_time").isNotNull())
+    return back.groupBy("event", "experiment_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.variant_get("fields", "$.step", "long")).alias("steps"), stamped.alias("stamped"))
+
+
+@query("SELECT o_orderpriority AS version, count(*) AS example_count, count(*) > 0 AS there FROM orders GROUP BY 1")
+def s20_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest a priority of orders, found in its folder beside files that are none."""
+    root = shared_path(spark, "registry")
+    made = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("version")).agg(F.max("o_orderdate").cast("string").alias("created_at"), F.count(F.lit(1)).alias("example_count"))
+    named = made.withColumn("folder", F.md5("version"))
+    named.repartition("folder").write.partitionBy("folder").json(root)
+    named.select("folder", F.lit("{ torn").alias("value")).write.mode("append").partitionBy("folder").text(root)
+    found = jsonl.load_manifests(spark, f"{root}/*/*")
+    return found.select("version", "example_count", (F.col("created_at") != "").alias("there"))
