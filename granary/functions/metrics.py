@@ -43,8 +43,10 @@ def token_f1(prediction: Column, reference: Column) -> Column:
 
 
 def token_counts(rows: DataFrame, key: str, normalized: Column) -> DataFrame:
-    """key, token, n: how often each token of a normalised text occurs; a text without tokens has one row with a null token and n 0."""
-    return rows.select(key, F.explode_outer(tokens(normalized)).alias("token")).groupBy(key, "token").agg(F.count("token").alias("n"))
+    """key, token (its 64-bit hash, so that what is grouped and joined is two numbers), n: how often each token of a normalised text occurs; a text without tokens has one row with a null token and n 0. Two tokens of one
+    pair of texts that share a hash would count as one: for texts of a million tokens once in ten million pairs."""
+    hashed = F.transform(tokens(normalized), lambda t: F.xxhash64(t))
+    return rows.select(key, F.explode_outer(hashed).alias("token")).groupBy(key, "token").agg(F.count("token").alias("n"))
 
 
 def token_f1_rows(predictions: DataFrame, references: DataFrame, key: str) -> DataFrame:
