@@ -28,6 +28,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg math title".split())
 #: Elements that hold no article text.
 DROPPED = frozenset("head nav aside footer form button select option label dialog menu object canvas audio video map".split()) | RAW
+#: Elements that say that they hold the page's text.
+TEXTS = ("article", "main")
 #: Words in class, id or role that say the same.
 HINTS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentary disqus replies share sharing social related recommended pagination pager toolbar widget widgets search skip complementary contentinfo".split()
@@ -50,12 +52,18 @@ CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
 
 
 class Node:
-    __slots__ = ("tag", "hint", "parent", "items", "digest", "size", "spared")
+    """An element: what it holds, and what digest() and weigh() find: own and kids (length of its own texts, its elements), size and shown (length of all text, and of that which its tags do not drop),
+    holds and inside (around or in an article or main), clear (no name or kind speaks against it or what is around it), around (shown of the article, main or page that it stands in), spared."""
+
+    __slots__ = ("tag", "hint", "parent", "items", "digest", "size", "spared", "own", "kids", "shown", "holds", "inside", "clear", "around")
 
     def __init__(self, tag: str, hint: str, parent: Node | None) -> None:
         self.tag, self.hint, self.parent = tag, hint, parent
         self.items: list[Node | str] = []
         self.digest, self.size, self.spared = 0, 0, False
+        self.own, self.kids = 0, []
+        self.shown, self.around = 0, 0
+        self.holds = self.inside = self.clear = False
 
 
 def parse(page: str) -> Node:
@@ -144,11 +152,15 @@ def digest(root: Node) -> list[Node]:
     nodes = _in_order(root)
     for node in reversed(nodes):
         h = xxhash.xxh64(f"{node.tag}|{node.hint}".encode("utf-8", "surrogatepass"))
+        own, kids = 0, node.kids
         for x in node.items:
-            if isinstance(x, Node):
+            if x.__class__ is Node:
                 h.update(x.digest.to_bytes(8, "little"))
+                kids.append(x)
             elif t := x.strip():
                 h.update(t.encode("utf-8", "surrogatepass"))
+                own += len(t)
+        node.own = own
         node.digest = h.intdigest()
     weigh(nodes, frozenset())
     return nodes
@@ -158,29 +170,34 @@ def weigh(nodes: list[Node], gone: frozenset[int] | set[int]) -> None:
     """Give every element the length of its text without the elements that are gone, and mark forms and hinted elements with most of the text of the page, or of an article or main around them,
     that is not in elements dropped by their tags: what their names say is not taken for their kind. Boxes of readers' remarks are not marked, and where an article or main stands in no element whose name or kind speaks
     against it a box beside it, neither around nor in it, is not marked: it is what it says, however short the article."""
-    shown: dict[int, int] = {}
-    holds: set[int] = set()
     for node in reversed(nodes):
-        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
-        below = [x for x in node.items if isinstance(x, Node)]
-        node.size = 0 if id(node) in gone else own + sum(x.size for x in below)
-        shown[id(node)] = 0 if id(node) in gone or (node.tag in DROPPED and node.tag != "form") else own + sum(shown[id(x)] for x in below)
-        if node.size and node.tag in ("article", "main") or any(id(x) in holds for x in below):
-            holds.add(id(node))
-    clear, sure = {id(nodes[0])}, set()
+        size = shown = node.own
+        holds = False
+        for x in node.kids:
+            size += x.size
+            shown += x.shown
+            holds = holds or x.holds
+        if gone and id(node) in gone:
+            size = shown = 0
+        elif node.tag in DROPPED and node.tag != "form":
+            shown = 0
+        node.size, node.shown, node.holds = size, shown, holds or size > 0 and node.tag in TEXTS
+    root, sure, named = nodes[0], set(), False
+    root.clear, root.around = True, root.shown
     for node in nodes[1:]:
-        if id(node.parent) in clear and node.tag not in DROPPED and id(node) not in gone and (node.tag in ("html", "body", "main") or HINTS.isdisjoint(SPLIT.split(node.hint))):
-            clear.add(id(node))
-            if node.size and node.tag in ("article", "main"):
-                sure.add(node.tag)
-    around, text, inside = {id(nodes[0]): shown[id(nodes[0])]}, "article" if "article" in sure else "main", set()
+        tag = node.tag
+        named = named or node.hint != "" or tag == "form"
+        node.clear = node.parent.clear and tag not in DROPPED and not (gone and id(node) in gone) and (not node.hint or tag in ("html", "body", "main") or HINTS.isdisjoint(SPLIT.split(node.hint)))
+        if tag in TEXTS and node.clear and node.size:
+            sure.add(tag)
+    if not named:
+        return  # nothing that could be spared
+    text = "article" if "article" in sure else "main"
     for node in nodes[1:]:
-        if node.tag == text or id(node.parent) in inside:
-            inside.add(id(node))
-        within = around[id(node.parent)]
-        size = shown[id(node)]
-        node.spared = 2 * size > within and (node.tag == "form" or node.hint != "") and REMARKS.isdisjoint(SPLIT.split(node.hint)) and (not sure or id(node) in holds or id(node) in inside)
-        around[id(node)] = size if node.tag in ("article", "main") and size else within
+        within, tag = node.parent.around, node.tag
+        node.inside = tag == text or node.parent.inside
+        node.spared = (node.hint != "" or tag == "form") and 2 * node.shown > within and (not sure or node.holds or node.inside) and REMARKS.isdisjoint(SPLIT.split(node.hint))
+        node.around = node.shown if tag in TEXTS else within
 
 
 def hidden(node: Node, in_article: bool) -> bool:
@@ -284,7 +301,7 @@ def places(nodes: list[Node], articles: list[Node]) -> dict[int, int]:
         if id(node) in roots:
             continue
         if id(node) in above:
-            stack.extend(x for x in node.items if isinstance(x, Node))
+            stack.extend(node.kids)
         elif node.size and node.tag in BLOCKS and node.tag not in DROPPED:
             out[id(node)] = _signed(path[id(node)] ^ AS_PLACE)
     return out
@@ -315,15 +332,14 @@ def near_copy(page: str, repeated: set[int]) -> bool:
         if hidden(node, False):
             continue
         within = within or (id(node) in may and may[id(node)][1] in repeated)
-        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
-        total += own
-        covered += own if within else 0
-        stack.extend((x, within) for x in node.items if isinstance(x, Node))
+        total += node.own
+        covered += node.own if within else 0
+        stack.extend((x, within) for x in node.kids)
     return 2 * covered > total
 
 
 def _template(nodes: list[Node], template: set[int]) -> set[int]:
-    """Python ids of the outermost elements of the page that are template. Prose inside of the articles stays if it would take more than half of their text: then the pages are copies of a text."""
+    """Python ids of the outermost elements of the page that are template; elements are weighed without them. Prose inside of the articles stays if it would take more than half of their text: then the pages are copies of a text."""
     articles = articles_of(nodes)
     may, place = removable(nodes, articles), places(nodes, articles)
     out, under, prose = set(), set(), []
@@ -338,9 +354,14 @@ def _template(nodes: list[Node], template: set[int]) -> set[int]:
             out.add(id(node))
             if may[id(node)][2]:
                 prose.append(node)
-    weigh(nodes, out - {id(node) for node in prose})
-    if 2 * sum(node.size for node in prose) > sum(node.size for node in articles):
-        out -= {id(node) for node in prose}
+    if not out:
+        return out
+    own = {id(node) for node in prose}
+    weigh(nodes, out - own)
+    if own and 2 * sum(node.size for node in prose) > sum(node.size for node in articles):
+        return out - own
+    if own:
+        weigh(nodes, out)
     return out
 
 
@@ -349,9 +370,9 @@ def _visible(node: Node, inside: bool, gone: set[int]) -> int:
     total, stack = 0, [(node, inside)]
     while stack:
         x, inside = stack.pop()
-        total += sum(len(t.strip()) for t in x.items if isinstance(t, str))
-        for y in x.items:
-            if isinstance(y, Node) and id(y) not in gone and not hidden(y, inside):
+        total += x.own
+        for y in x.kids:
+            if id(y) not in gone and not hidden(y, inside):
                 stack.append((y, inside or y.tag == "article"))
     return total
 
@@ -360,8 +381,6 @@ def cleaned(page: str, template: set[int]) -> tuple[str, int]:
     """The text of a page, its blocks one a line, and the number of subtrees that went as template before the article was looked for."""
     nodes = digest(parse(page))
     gone = _template(nodes, template) if template else set()
-    if template:
-        weigh(nodes, gone)
     articles = articles_of(nodes)
     # where they have half of all text, hidden or not, there is nothing to look at
     if articles and 2 * sum(node.size for node in articles) < nodes[0].size and 2 * sum(_visible(node, True, gone) for node in articles) < _visible(nodes[0], False, gone):
