@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,8 @@ TARGET, SAMPLE, MOST_PROBES = 0.95, 200, 2048
 BOUND_SAMPLE = 8192
 #: Vectors and queries of a bucket that meet in one task at a time.
 BLOCK = 4096
+#: Numbers that a task holds at a time while it looks for the best buckets of some queries.
+PROBE_ROOM = 1 << 21
 #: Answers (k + 1 ids and scores each) that are broadcast at most.
 BROADCAST_ANSWERS = 20_000
 
@@ -172,8 +175,20 @@ def index_of(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return keyed, materialise(entries.join(asked, KEY, "left").withColumn("e", F.monotonically_increasing_id()), "entries")
 
 
+def probes_of(own: np.ndarray, last: int) -> pa.ListArray:
+    """Rows of bucket numbers as lists of structs of c (what all functions but the last say) and f (what the last one says there, of `last` answers): made from flat arrays, so that a bucket takes a few bytes."""
+    own = np.sort(own, axis=1)
+    c = own - own % last
+    new = np.ones(own.shape, bool)
+    new[:, 1:] = c[:, 1:] != c[:, :-1]
+    starts = np.flatnonzero(new)
+    f = pa.ListArray.from_arrays(pa.array(np.append(starts, own.size), pa.int32()), pa.array((own % last).ravel(), pa.int32()))
+    structs = pa.StructArray.from_arrays([pa.array(c.ravel()[starts]), f], ["c", "f"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(new.sum(axis=1)))), pa.int32()), structs)
+
+
 def buckets(entries: DataFrame, k: int, tables: int = TABLES, probes: int | None = None, axes: int = AXES, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Two tables: every entry with its buckets (e, v, least, b: one c, f a table) and every entry that is asked for with the buckets it looks into (e, v, b: c and the array f, bound: no more than its (k + 1)-th best score). c numbers a table
+    """Two tables: every entry with its buckets (e, v, least, b: one c, f a table) and every entry that is asked for with the buckets it looks into, a row for each of the tables (e, v, b: c and the array f, bound: no more than its (k + 1)-th best score). c numbers a table
     and what all functions but the last say, f what the last one says."""
     norm = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
     n, dims, low, high = entries.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(norm), F.max(norm)).first()
@@ -189,36 +204,35 @@ def buckets(entries: DataFrame, k: int, tables: int = TABLES, probes: int | None
         x = _lifted(np.stack(v.to_numpy()).astype(float), high, even, False)
         return pd.Series(list(np.stack([codes(x, sizes, t, seed) + t * each * last for t in range(tables)], axis=1)))
 
-    @F.pandas_udf("array<struct<c: long, f: array<int>>>")
-    def wanted(v: pd.Series) -> pd.Series:
-        x = _lifted(np.stack(v.to_numpy()).astype(float), high, even, True)
-        out = []
-        for a in range(0, len(x), 64):
-            own = np.concatenate([best_codes(x[a : a + 64], sizes, t, seed, probes)[0] + t * each * last for t in range(tables)], axis=1)
-            own.sort(axis=1)
-            for row in own:
-                c, first = np.unique(row - row % last, return_index=True)
-                out.append([{"c": int(b), "f": f} for b, f in zip(c, np.split((row % last).astype(np.int32), first[1:]), strict=True)])
-        return pd.Series(out)
-
     few = min(BOUND_SAMPLE, n // 8)
-    bounds = F.lit(float("-inf"))
+    shared = None
     if few > k:
         some = np.stack(entries.orderBy(*KEY).select("v").limit(few).toPandas()["v"].to_numpy()).astype(float)
         shared = entries.sparkSession.sparkContext.broadcast(some)
 
-        @F.pandas_udf("double")
-        def bound(v: pd.Series) -> pd.Series:
-            y, out = np.stack(v.to_numpy()).astype(float), []
-            for a in range(0, len(y), 256):
-                near = y[a : a + 256] @ shared.value.T
-                out.append(np.partition(near, few - k - 1, axis=1)[:, few - k - 1])
-            return pd.Series(np.concatenate(out) - 1e-10 * high * np.sqrt((y * y).sum(axis=1)))
-
-        bounds = bound("v")
+    def bound(y: np.ndarray) -> np.ndarray:
+        if shared is None:
+            return np.full(len(y), -np.inf)
+        return np.partition(y @ shared.value.T, few - k - 1, axis=1)[:, few - k - 1] - 1e-10 * high * np.sqrt((y * y).sum(axis=1))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in (batch.slice(a, rows) for a in range(0, batch.num_rows, rows)):
+                y = np.asarray(some.column(1).flatten()).astype(float).reshape(len(some), -1)
+                x, bounds = _lifted(y, high, even, True), pa.array(bound(y))
+                own = pa.concat_arrays([probes_of(best_codes(x, sizes, t, seed, probes)[0] + t * each * last, last) for t in range(tables)])
+                # a query's tables lie side by side: its vector, repeated, is compressed where it is shuffled
+                row = np.repeat(np.arange(len(x)), tables)
+                e, v, least = (c.take(pa.array(row)) for c in (*some.columns, bounds))
+                yield pa.RecordBatch.from_arrays([e, v, own.take(pa.array(np.arange(tables * len(x)).reshape(tables, -1).T.ravel())), least], ["e", "v", "b", "bound"])
+
+    # a step from function to function tells `probes` prefixes and all axes apart
+    rows = max(1, min(64, PROBE_ROOM // (min(probes, math.prod(sizes)) * max(sizes))))
     index = materialise(entries.select("e", "v", F.col("ids")[0].alias("least"), held("v").alias("b")), "codes")
     index = index.withColumn("b", F.transform("b", lambda x: F.struct((x - x % last).alias("c"), (x % last).cast("int").alias("f"))))
-    probed = materialise(entries.filter("q").select("e", "v", wanted("v").alias("b"), bounds.alias("bound")), "probed")
+    asked = entries.filter("q").select("e", "v")
+    kind = asked.schema["v"].dataType.simpleString()
+    probed = materialise(asked.mapInArrow(wanted, f"e long, v {kind}, b array<struct<c: long, f: array<int>>>, bound double"), "probed")
     return index, probed
 
 
@@ -321,5 +335,7 @@ def _near(entries: DataFrame, index: DataFrame, probed: DataFrame, k: int) -> Da
 
     met = left.groupBy("c", "x", "y").cogroup(right.groupBy("c2", "x2", "y2")).applyInPandas(meet, "q long, e long, score double").groupBy("q", "e").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    # every entry has an id at least: an entry with k + 1 better ones has no place among the ids
+    met = met.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1).drop("r")
     named = met.join(entries.select("e", F.explode("ids").alias("vec_id")), "e").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     return named.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))

@@ -157,3 +157,19 @@ def test_queries_short_of_answers_are_asked_again(spark, monkeypatch):
 
     monkeypatch.setattr(ann, "buckets", high)
     assert ask(spark, rows, probes=24) == plain
+
+
+def test_probes_are_flat_lists():
+    own = np.array([[9, 2, 3, 8], [4, 5, 0, 1]])
+    assert ann.probes_of(own, 4).to_pylist() == [[{"c": 0, "f": [2, 3]}, {"c": 8, "f": [0, 1]}], [{"c": 0, "f": [0, 1]}, {"c": 4, "f": [0, 1]}]]
+    # 64 queries of 2048 buckets each, no two in one list: a Python object each would take over 50 MB
+    wide = ann.probes_of(np.arange(64 * 2048).reshape(64, 2048), 1)
+    assert wide.nbytes < 4 << 20
+
+
+def test_probed_rows_are_small(spark):
+    """A row of the probes is of one table: what a reader holds at a time does not grow with the number of tables."""
+    x = np.random.default_rng(4).normal(size=(400, 16))
+    _, entries = index_of(usable_rows(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 20 == 0), 5)
+    _, probed = buckets(entries, 5, probes=16)
+    assert probed.count() == 20 * ann.TABLES and probed.select(F.max(F.aggregate("b", F.lit(0), lambda n, b: n + F.size(b["f"])))).first()[0] == 16
