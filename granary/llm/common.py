@@ -107,14 +107,15 @@ KEY = ["k1", "k2"]
 
 def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "left", salts: int = 16, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a usually small table that is already materialised and unique in `on`. It is counted first: up to `rows` it is broadcast; beyond,
-    both sides are salted, so that the rows of a hot key go to `salts` tasks."""
+    it never is: both sides are salted, so that the rows of a hot key go to `salts` tasks."""
     on = [on] if isinstance(on, str) else list(on)
     if small.limit(rows + 1).count() <= rows:
         return big.join(F.broadcast(small), on, how)
     salt = "_salt"
     left = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in on] or [F.lit(0)]), F.lit(salts)).cast("int"))
     right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, salt], how).drop(salt)
+    # Spark goes by the size of files and would broadcast the copies of a table that is small there
+    return left.join(right.hint("merge"), [*on, salt], how).drop(salt)
 
 
 def with_global_index(df: DataFrame, order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:

@@ -30,6 +30,8 @@ COUNTED = 200_000
 SAMPLE, LEAF, SMALL = 100_000, 8192, 24
 #: Bytes of a leaf's words; a larger one is dealt into parts, each of which is asked.
 LEAF_BYTES = 16 << 20
+#: Words (each with another one) that are broadcast at most: with what the driver makes of them, about 20 MB.
+BROADCAST_WORDS = 50_000
 #: Pairs of words compared at a time, in bytes.
 BLOCK = 1 << 23
 
@@ -344,8 +346,8 @@ def group_spellings(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     way = 1
     while way < steps:
         after = chain.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        longer = materialise(join_small(chain, after, "root").select("word", F.coalesce("next", "root").alias("root")), "chain")
+        longer = materialise(join_small(chain, after, "root", salts=4, rows=BROADCAST_WORDS).select("word", F.coalesce("next", "root").alias("root")), "chain")
         release(chain)
         chain, way = longer, 2 * way
-    out = join_small(forms, chain, "word")
+    out = join_small(forms, chain, "word", salts=1, rows=BROADCAST_WORDS)
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

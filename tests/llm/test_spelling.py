@@ -125,3 +125,13 @@ def test_boxes_lose_no_edit():
     assert near.tolist() == [[False, True], [True, False]]
     assert one_edit(codes(["aab"], 3), codes(["aaab", "abab", "baab", "aabc", "bbab"], 4)).tolist() == [[True, True, True, True, False]]
     assert vectors(codes(["a" * 500], 500))[0, 0] == 127 and np.abs(vectors(codes(["abcdé"], 5))).sum() == 9
+
+
+def test_long_tables_are_not_broadcast(spark, monkeypatch):
+    """Chains beyond the bound are joined by shuffles, also where their files are small; roots are the same."""
+    words = spark.createDataFrame([("abcdefgh", 1000), ("abcdefgx", 100), ("abcdefyx", 15), ("abcdezyx", 3)], "word string, n long")
+    want = {r.word: r.root for r in group_spellings(words).collect()}
+    monkeypatch.setattr(spelling, "BROADCAST_WORDS", 1)
+    out = group_spellings(words)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.word: r.root for r in out.collect()} == want and want["abcdezyx"] == "abcdefgh"
