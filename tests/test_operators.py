@@ -177,3 +177,16 @@ def test_holdout_of_many_values(spark):
     assert out.groupBy("domain").agg(F.bool_and(F.col("split") == "test").alias("all"), F.bool_or(F.col("split") == "test").alias("any")).filter("all <> any").count() == 0
     with pytest.raises(ValueError, match="do not occur"):
         S.split_rows(rows, S.SplitConfig("domain_holdout", holdout_values=("nothing",)))
+
+
+def test_draws_are_looked_up_where_they_are_made(spark, monkeypatch):
+    """Units beyond one broadcast: the same estimates slice by slice, by number of value or by value, and draws are never shuffled."""
+    n, rounds = 40_000, 3
+    units = spark.range(n).select(F.col("id").alias("g"), (F.col("id") % 5 / 4.0).alias("total"), (F.col("id") % 3 + 1).alias("size"))
+    want = {r.b: r.e for r in units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).select("b", B.draw(F.col("b"), F.col("g"), F.lit(n).cast("long"), 42).alias("g")).join(units, "g").groupBy("b").agg((F.sum("total") / F.sum("size")).alias("e")).collect()}
+    for room, values in ((32 << 20, 4096), (2 * B.BLOCK, 4096), (16 * B.BLOCK, 1)):
+        monkeypatch.setattr(B, "BROADCAST_BYTES", room)
+        monkeypatch.setattr(B, "MOST_VALUES", values)
+        got = B._resampled(units, n, rounds, 42)
+        assert "hashpartitioning(g" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.b: round(r.estimate, 9) for r in got.collect()} == {b: round(e, 9) for b, e in want.items()}
