@@ -89,11 +89,33 @@ def _bands(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bits of a sketch, one a min-hash; two sets agree in a bit with a chance of (1 + similarity) / 2.
+SKETCH, BITS = 256, ("s0", "s1", "s2", "s3")
+_SA, _SB = np.random.default_rng(7).integers(1, 2**63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """Four longs."""
+    least = np.full(SKETCH, np.uint64(2**64 - 1))
+    for a in range(0, len(grams), 512):
+        x = grams[a : a + 512, None] * _SA + _SB
+        np.minimum(least, x.min(axis=0), out=least)
+    x = (least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.packbits((x >> np.uint64(63)).astype(np.uint8)).view(np.int64)
+
+
+def agreeing(threshold: float) -> int:
+    """Bits in which sketches of sets at the threshold agree but for five standard deviations."""
+    p = (1 + threshold) / 2
+    return int(SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5)
+
+
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """Pairs of different texts whose sets of character n-grams of the normalised text have a Jaccard similarity of `threshold` or more.
 
     Rows of equal normalised text are one class, which its first row stands for; the others are its members by normalized_duplicates() and exact_duplicates(), so copies are not expanded into
-    pairs, and where rows of two splits are alike one of the three says so. Candidates share one of 16 min-hash bands (recall at 0.85 is above 0.9999); sets whose sizes differ by more than the threshold allows
+    pairs, and where rows of two splits are alike one of the three says so. Candidates share one of 16 min-hash bands (recall at 0.85 is above 0.9999) and nearly as many of 256 bits of a sketch as alike sets do, so that few texts
+    are shuffled for pairs that are not alike; sets whose sizes differ by more than the threshold allows
     do not meet. No bucket is left out, however large. Texts are normalised and signed once: what later steps read comes from the same exchanges."""
     normalized = rows.filter(F.col("text").isNotNull()).select("id", "split", "ord", normalize_text(F.col("text")).alias("norm"))
     # one aggregate over a key that is never null, so that every reader of the classes asks for the same exchange
@@ -102,17 +124,19 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = S
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [_grams(t.as_py(), size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int32()), pa.array([_bands(g).view(np.int64) for g in grams], pa.list_(pa.int64()))], ["cls", "n", "bands"])
+            sketches = [_sketch(g) for g in grams]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int32()), pa.array([_bands(g).view(np.int64) for g in grams], pa.list_(pa.int64())), *[pa.array([x[i] for x in sketches], pa.int64()) for i in range(4)]], ["cls", "n", "bands", *BITS])
 
-    signed = classes.select("cls", "f.norm").mapInArrow(sign, "cls string, n int, bands array<long>").repartition("cls", "n")
+    signed = classes.select("cls", "f.norm").mapInArrow(sign, "cls string, n int, bands array<long>, s0 long, s1 long, s2 long, s3 long").repartition("cls", "n")
     # sizes of alike sets differ by less than 1 / threshold: a bucket's members are dealt to size steps of that ratio, and meet those of their own step and the next
     step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold)))
-    keyed = signed.select("cls", "n", step.alias("s"), F.posexplode("bands").alias("band", "h"))
-    left = keyed.select("band", "h", F.col("cls").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("s"), F.col("s").alias("sa"))
-    right = keyed.select("band", "h", "s", F.col("cls").alias("b"), F.col("n").alias("nb"))
+    keyed = signed.select("cls", "n", *BITS, step.alias("s"), F.posexplode("bands").alias("band", "h"))
+    left = keyed.select("band", "h", *[F.col(b).alias(f"x{b}") for b in BITS], F.col("cls").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("s"), F.col("s").alias("sa"))
+    right = keyed.select("band", "h", "s", *BITS, F.col("cls").alias("b"), F.col("n").alias("nb"))
     apart = F.when(F.col("s") == F.col("sa"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     sized = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
-    candidates = left.join(right, ["band", "h", "s"]).filter(apart & sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x{b}"))) for b in BITS), F.lit(0))
+    candidates = left.join(right, ["band", "h", "s"]).filter(apart & sized & (differ <= SKETCH - agreeing(threshold))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = candidates.join(classes.select(F.col("cls").alias("a"), F.col("f").alias("x")), "a").join(classes.select(F.col("cls").alias("b"), F.col("f").alias("y")), "b")
 
     @F.pandas_udf("double")

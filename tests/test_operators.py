@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,14 @@ def test_claims_and_answers_keep_their_forms(spark):
     assert [(r.c, r.r) for r in rows] == [(r.d, r.s) for r in rows] and "$5" in rows[0].c and rows[2].r == ["12", "a1"]
     assert [r.n for r in rows] == ["on may 5 anna berg paid 5 and 7 50 for 12", "no claims", "see ref 12 source a1", "the", "an", "9", "apfel_1", "a an the", "x_1", "word", "", None]
     assert "A-Za-z0-9_" in df.select(X.normalize_answer(F.col("t")))._jdf.queryExecution().analyzed().toString()
+
+
+def test_sketches_keep_alike_sets_apart_from_others(spark):
+    """Sets at the threshold agree in enough bits, sets of half that likeness do not, and pairs are judged by it before any text is joined to them."""
+    agree = lambda a, b: L.SKETCH - sum(int(x).bit_count() for x in (L._sketch(a) ^ L._sketch(b)).view(np.uint64))
+    for seed in range(20):
+        x = np.random.default_rng(seed).integers(0, 2**63, 1600, dtype=np.uint64)
+        assert agree(x[:1480], x[120:]) >= L.agreeing(0.85) > agree(x[:1100], x[700:1600])
+    rows = spark.createDataFrame([("a", "train", 0, "some words that stand here twice, nearly alike in all", None, None), ("b", "test", 1, "some words that stand here twice, nearly alike in all of", None, None)], "id string, split string, ord long, text string, family string, entities string")
+    found = L.near_duplicates(rows)
+    assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString() and [(r.left_id, r.right_id) for r in found.collect()] == [("a", "b")]
