@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import struct
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
 
@@ -22,8 +24,14 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 CAPACITY = 2048
-#: How byte-level BPE cuts a text into pre-tokens (a fixed pattern of the vocabulary).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: How byte-level BPE cuts a text into pre-tokens (a fixed pattern of the vocabulary, written so that runs are not gone back into).
+PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Characters of a text that are encoded by ranks at once, about.
+BLOCK = 1 << 20
+#: Characters of white space in a row that are still encoded by ranks: the pattern's matcher keeps a state a character there, up to a million.
+LONGEST_SPACE = 100_000
+#: A boundary between pre-tokens in any text.
+BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 #: Words of which a worker remembers the ids, at most, by their place in a line (about 25 MB each).
 REMEMBERED = 100_000
 #: Lengths over this share of the capacity are large: they are grouped and put into configurations; the others fill what is left.
@@ -32,14 +40,25 @@ LARGE = 1 / 3
 GROUPS = (64, 256, 512)
 
 
+def blocks(text: str, size: int) -> Iterator[str]:
+    """text in parts of `size` characters or more, each up to the next boundary between pre-tokens."""
+    at = 0
+    while m := BOUNDARY.search(text, at + size):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 class Encoder:
     """Ids of texts under a byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
 
-    A boundary between pre-tokens lies before every single space between two other characters that are not white space, so the text's words can be encoded one by
-    one and remembered. Texts with other white space than single spaces and line ends between words, or with the name of a special token, are encoded whole."""
+    A boundary between pre-tokens lies before every single space between two other characters that are not white space. With ranks, a text is encoded in blocks cut
+    there, a call a block: what it costs does not depend on how many different words there are. Without them, words are encoded one by one and remembered, and texts with
+    other white space than single spaces and line ends between words go to the tokenizer whole; so do texts with the name of a special token, and blocks with white space
+    over LONGEST_SPACE."""
 
     def __init__(self, path: str, ranks: str | None = None) -> None:
-        """path: the tokenizer's JSON file. ranks: the same vocabulary as a file of ranks, by which single words are encoded faster, to the same ids."""
+        """path: the tokenizer's JSON file. ranks: the same vocabulary as a file of ranks, by which texts are encoded faster, to the same ids."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,7 +70,7 @@ class Encoder:
 
             with open(ranks, "rb") as f:
                 pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.ranked = tiktoken.Encoding("words", pat_str=PRE_TOKEN, mergeable_ranks=pairs, special_tokens={}).encode_ordinary
+            self.ranked = tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=pairs, special_tokens={}).encode_ordinary
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -69,18 +88,17 @@ class Encoder:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list(set(words))
-        if self.ranked:
-            for w in new:
-                ids = self.ranked(lead + w)
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-            return
         for w, e in zip(new, self.tokenizer.encode_batch_fast([lead + w for w in new], add_special_tokens=False), strict=True):
             known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        if self.ranked:
+            return b"".join(map(self._by_ranks, blocks(text, BLOCK)))
         lines = text.split("\n")
         parts = [line.split(" ") for line in lines]
-        if any(not p[0] or not p[-1] for p in parts) or "  " in text or len(text.split()) != sum(map(len, parts)) or any(s in text for s in self.special):
+        if any(not p[0] or not p[-1] for p in parts) or "  " in text or len(text.split()) != sum(map(len, parts)):
             return self.whole(text)
         out = []
         for p in parts:
@@ -90,6 +108,11 @@ class Encoder:
             out.append(self.line_end)
         return b"".join(out[:-1])
 
+    def _by_ranks(self, text: str) -> bytes:
+        if len(text) > LONGEST_SPACE and re.search(rf"(?<!\s)\s{{{LONGEST_SPACE}}}", text):
+            return self.whole(text)
+        return np.array(array("I", self.ranked(text)), "<u4").tobytes()
+
     def _words(self, known: dict[str, bytes], words: list[str], lead: str) -> bytes:
         try:
             return b"".join([known[w] for w in words])

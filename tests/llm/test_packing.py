@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from granary.llm import packing
 from granary.llm.packing import Encoder, _Plan, best_plan, pack, plan_runs, with_crc
 from granary.llm.queries import tokenizer_files
 
@@ -29,6 +30,39 @@ def test_special_names():
         assert np.frombuffer(FAST.encode(text), "<u4").tolist() == ids(text)
 
 
+def test_a_call_a_text_however_many_words(monkeypatch):
+    enc = Encoder(FILES["tokenizer"], FILES["ranks"])
+    calls = []
+    monkeypatch.setattr(enc, "ranked", lambda text, ranked=enc.ranked: calls.append(text) or ranked(text))
+    for k in range(20):
+        text = " ".join(f"w{i}x" for i in range(1000 * k, 1000 * k + 1000))
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids(text)
+    assert len(calls) == 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(" \n\t\x1c\u2003ab's1.é中"), max_size=60), st.integers(1, 9))
+def test_blocks(text, size):
+    parts = list(packing.blocks(text, size))
+    assert "".join(parts) == text
+    assert [x for p in parts for x in ids(p)] == ids(text)
+
+
+def test_long_texts_and_runs(monkeypatch):
+    for text in ("a" * 1_200_000, " " * 1_200_000 + "x", "x" + "\n \t" * 400_000 + "y z", "&" * 1_200_000, "one two\n" * 150_000):
+        assert np.frombuffer(FAST.encode(text), "<u4").tolist() == ids(text)
+    monkeypatch.setattr(packing, "BLOCK", 1000)
+    monkeypatch.setattr(packing, "LONGEST_SPACE", 5)
+    for text in ("ab cd, ef\n" * 1000, "a b " * 600 + " " * 9 + "c d" * 600, "it's  so " * 900):
+        assert np.frombuffer(FAST.encode(text), "<u4").tolist() == ids(text)
+
+
+def test_characters_of_the_first_planes():
+    for low in range(0, 0x20000, 4096):
+        text = "\n".join(f"a{c}b 1{c}2 !{c}? {c} {c}{c}" for c in map(chr, range(low, low + 4096)) if not "\ud800" <= c <= "\udfff")
+        assert np.frombuffer(FAST.encode(text), "<u4").tolist() == ids(text), hex(low)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=30), st.sampled_from([1 / 8, 1 / 3, 1 / 2]), st.sampled_from([2, 5, 64]))
 def test_plans_hold_every_piece_once(histogram, large, groups):
