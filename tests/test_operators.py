@@ -1,5 +1,6 @@
 """Values worked out by hand, logs as streams, and what raises."""
 
+import hashlib
 import json
 import math
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions import draws as D
 from granary.functions import extract as E
 from granary.functions import metrics as M
 from granary.functions import text as X
@@ -236,3 +238,19 @@ def test_sketches_keep_alike_sets_apart_from_others(spark):
     rows = spark.createDataFrame([("a", "train", 0, "some words that stand here twice, nearly alike in all", None, None), ("b", "test", 1, "some words that stand here twice, nearly alike in all of", None, None)], "id string, split string, ord long, text string, family string, entities string")
     found = L.near_duplicates(rows)
     assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString() and [(r.left_id, r.right_id) for r in found.collect()] == [("a", "b")]
+
+
+def test_draws_of_a_piece_are_hashed_together(spark):
+    """Numbers equal those of SHA-256 where digits, pieces and words of a message end; no draw is a row, and a total that is null counts by its size alone."""
+    for seed, b, low, high, n in ((42, 0, 0, 25_000, 25_000), (42, 1999, 8_995_000, 9_003_000, 9_003_000), (-7, 3, 10**12 + 5, 10**12 + 15_000, 10**13), (2**62, 10**6, 99_000, 130_100, 3), (1, 12, 5, 120, 77)):
+        got = np.concatenate(list(D.drawn(seed, b, low, high, n)))
+        assert got.tolist() == [int(hashlib.sha256(f"{seed}:{b}:{s}".encode()).hexdigest()[:15], 16) % n for s in range(low, high)]
+    for length in range(1, 48):  # every place of the tail in its words
+        assert int(D.heads(b"7" * length, D.tails(41, 44, 5), 5)[1]) == int(hashlib.sha256(b"7" * length + b"00042").hexdigest()[:15], 16)
+    units = spark.range(5000).select(F.col("id").alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") / 64.0).alias("total"), (F.col("id") % 3 + 1).alias("size"))
+    slots = spark.range(2).withColumnRenamed("id", "b").crossJoin(spark.range(5000)).select("b", B.draw(F.col("b"), F.col("id"), F.lit(5000).cast("long"), 42).alias("g"))
+    want = {r.b: r.e for r in slots.join(units, "g").groupBy("b").agg((F.sum("total") / F.sum("size")).alias("e")).collect()}
+    found = B._resampled(units, 5000, 2, 42)
+    assert "sha2(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.b: r.estimate for r in found.collect()} == pytest.approx(want)
+    assert [r.estimate for r in B._resampled(units.withColumn("total", F.lit(None).cast("double")), 5000, 2, 42).collect()] == [None, None]
