@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SHINGLE, normalize_text
+from ..sources.scratch import stored
 
 KINDS = ("id_collision", "exact_duplicate", "normalized_duplicate", "near_duplicate", "scenario_repeat", "entity_leak")
 #: Kinds that make a split unusable when they cross splits.
@@ -24,6 +25,8 @@ THRESHOLD = 0.85
 SALTS = 16
 #: Min-hash rows of 16 bands of 4.
 BANDS, ROWS = 16, 4
+#: Signatures that a task remembers; grams of a block of texts that are compared together.
+SIGNED, CELL = 20_000, 1 << 20
 
 
 def star(rows: DataFrame, key: Column, kind: str, similarity: float = 1.0) -> DataFrame:
@@ -114,45 +117,76 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = S
     """Pairs of different texts whose sets of character n-grams of the normalised text have a Jaccard similarity of `threshold` or more.
 
     Rows of equal normalised text are one class, which its first row stands for; the others are its members by normalized_duplicates() and exact_duplicates(), so copies are not expanded into
-    pairs, and where rows of two splits are alike one of the three says so. Candidates share one of 16 min-hash bands (recall at 0.85 is above 0.9999) and nearly as many of 256 bits of a sketch as alike sets do, so that few texts
-    are shuffled for pairs that are not alike; sets whose sizes differ by more than the threshold allows
-    do not meet. No bucket is left out, however large. Texts are normalised and signed once: what later steps read comes from the same exchanges."""
-    normalized = rows.filter(F.col("text").isNotNull()).select("id", "split", "ord", normalize_text(F.col("text")).alias("norm"))
-    # one aggregate over a key that is never null, so that every reader of the classes asks for the same exchange
-    classes = normalized.groupBy(F.coalesce(F.sha2("norm", 256), F.lit("")).alias("cls")).agg(F.min(F.struct("ord", "id", "split", "norm")).alias("f"))
+    pairs, and where rows of two splits are alike one of the three says so. Candidates share one of 16 min-hash bands (recall at 0.85 is above 0.9999) and nearly as many of 256 bits of a sketch as alike sets do; sets whose sizes differ
+    by more than the threshold allows are no candidates. No bucket is left out, however large.
+
+    Texts are normalised and signed once and stored; buckets hold numbers only, a row a band. Candidates are compared in cells, each of two blocks of texts: a text goes to its cells and not to its pairs."""
+    texts = rows.filter(F.col("text").isNotNull()).select("id", "split", "ord", normalize_text(F.col("text")).alias("norm"))
+    texts = texts.withColumn("cls", F.coalesce(F.sha2("norm", 256), F.lit("")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}  # copies are signed once where they lie near each other
         for batch in batches:
-            grams = [_grams(t.as_py(), size) for t in batch.column(1)]
-            sketches = [_sketch(g) for g in grams]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int32()), pa.array([_bands(g).view(np.int64) for g in grams], pa.list_(pa.int64())), *[pa.array([x[i] for x in sketches], pa.int64()) for i in range(4)]], ["cls", "n", "bands", *BITS])
-
-    signed = classes.select("cls", "f.norm").mapInArrow(sign, "cls string, n int, bands array<long>, s0 long, s1 long, s2 long, s3 long").repartition("cls", "n")
-    # sizes of alike sets differ by less than 1 / threshold: a bucket's members are dealt to size steps of that ratio, and meet those of their own step and the next
-    step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1.0 / threshold)))
-    keyed = signed.select("cls", "n", *BITS, step.alias("s"), F.posexplode("bands").alias("band", "h"))
-    left = keyed.select("band", "h", *[F.col(b).alias(f"x{b}") for b in BITS], F.col("cls").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("s"), F.col("s").alias("sa"))
-    right = keyed.select("band", "h", "s", *BITS, F.col("cls").alias("b"), F.col("n").alias("nb"))
-    apart = F.when(F.col("s") == F.col("sa"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-    sized = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
+            found = []
+            for cls, t in zip(batch.column(4).to_pylist(), batch.column(3), strict=True):
+                if cls not in known:
+                    if len(known) >= SIGNED:
+                        known.clear()
+                    g = _grams(t.as_py(), size)
+                    known[cls] = (len(g), _bands(g).view(np.int64), _sketch(g))
+                found.append(known[cls])
+            own = [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64())), *[pa.array([x[2][i] for x in found], pa.int64()) for i in range(4)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "n", "bands", *BITS])
+
+    shape = T.StructType([*texts.schema.fields, T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), *[T.StructField(b, T.LongType()) for b in BITS]])
+    signed = stored(texts.mapInArrow(sign, shape).withColumn("rid", F.monotonically_increasing_id()), "signed", "zstd")  # has the texts
+    firsts = signed.groupBy("cls").agg(F.min(F.struct("ord", "id", "split", "rid")).alias("f")).select("f.*")
+    classes = stored(firsts.join(signed.select("rid", "n", "bands", *BITS), "rid"), "classes")
+
+    buckets = classes.select("rid", "n", *BITS, F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "rid", "n", *BITS).repartition("key")  # for both sides of the join
+    others = buckets.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), *[F.col(b).alias(f"x{b}") for b in BITS])
+    sized = F.least("n", "nb") >= F.lit(threshold) * F.greatest("n", "nb")
     differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x{b}"))) for b in BITS), F.lit(0))
-    candidates = left.join(right, ["band", "h", "s"]).filter(apart & sized & (differ <= SKETCH - agreeing(threshold))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = candidates.join(classes.select(F.col("cls").alias("a"), F.col("f").alias("x")), "a").join(classes.select(F.col("cls").alias("b"), F.col("f").alias("y")), "b")
-
-    @F.pandas_udf("double")
-    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            g, h = _grams(p, size), _grams(q, size)
-            common = len(np.intersect1d(g, h, assume_unique=True))
-            out.append(common / (len(g) + len(h) - common) if len(g) + len(h) else 1.0)
-        return pd.Series(out)
-
-    alike = both.withColumn("similarity", similarity("x.norm", "y.norm")).filter(F.col("similarity") >= threshold)
-    first = F.struct("x.ord", "x.id", "x.split") < F.struct("y.ord", "y.id", "y.split")
-    ends = F.when(first, F.struct(F.col("x").alias("l"), F.col("y").alias("r"))).otherwise(F.struct(F.col("y").alias("l"), F.col("x").alias("r")))
-    out = alike.select(ends.alias("e"), "similarity")
-    return out.select(F.lit("near_duplicate").alias("kind"), F.col("e.l.id").alias("left_id"), F.col("e.r.id").alias("right_id"), F.col("e.l.split").alias("left_split"), F.col("e.r.split").alias("right_split"), "similarity")
+    candidates = buckets.join(others, "key").filter((F.col("rid") < F.col("b")) & sized & (differ <= SKETCH - agreeing(threshold))).select(F.col("rid").alias("a"), "b").distinct()
+    cells = _cells(candidates, classes.select("rid", "n"))
+    members = cells.select("cell", F.explode(F.array("a", "b")).alias("rid")).distinct()
+    held = members.join(signed.select("rid", "norm"), "rid").select("cell", F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), "norm")
+    work = held.union(cells.select("cell", "a", "b", F.lit(None).cast("string"))).repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, grams = None, {}
+        for batch in batches:
+            out = []
+            for at, a, b, norm in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != cell:
+                    cell, grams = at, {}
+                if b is None:
+                    grams[a] = _grams(norm, size)
+                    continue
+                g, h = grams[a], grams[b]
+                common = len(np.intersect1d(g, h, assume_unique=True))
+                alike = common / (len(g) + len(h) - common) if len(g) + len(h) else 1.0
+                if alike >= threshold:
+                    out.append((a, b, alike))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+    alike = work.mapInArrow(compare, "a long, b long, similarity double")
+    named = lambda end, x: classes.select(F.col("rid").alias(end), F.struct("ord", "id", "split").alias(x))
+    both = alike.join(named("a", "x"), "a").join(named("b", "y"), "b")
+    out = both.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r"), "similarity")
+    return out.select(F.lit("near_duplicate").alias("kind"), F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.split").alias("left_split"), F.col("r.split").alias("right_split"), "similarity")
+
+
+def _cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cell, a, b: pairs dealt out so that a cell has the pairs between two blocks of about CELL grams each, or within one. A block is of texts whose least neighbour is the same, as it is for near copies of one text; a group of
+    m blocks sends a text to m cells at most, where it has m times as many pairs."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("other")), F.struct(F.col("b").alias("rid"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    roots = ends.groupBy("rid").agg(F.min("other").alias("other")).select("rid", F.least("rid", "other").alias("root")).join(sizes, "rid")
+    parts = roots.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(CELL)).alias("parts"))
+    placed = roots.join(parts, "root").select("rid", F.xxhash64("root", F.pmod(F.xxhash64("rid"), F.greatest("parts", F.lit(1)))).alias("block"))
+    side = lambda end: placed.select(F.col("rid").alias(end), F.col("block").alias(f"block_{end}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.select(F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell"), "a", "b")
 
 
 def scenario_repeats(rows: DataFrame) -> DataFrame:

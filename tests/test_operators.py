@@ -254,3 +254,22 @@ def test_draws_of_a_piece_are_hashed_together(spark):
     assert "sha2(" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.b: r.estimate for r in found.collect()} == pytest.approx(want)
     assert [r.estimate for r in B._resampled(units.withColumn("total", F.lit(None).cast("double")), 5000, 2, 42).collect()] == [None, None]
+
+
+def test_near_duplicates_in_cells(spark, monkeypatch):
+    """Every pair of many near copies is found however small the cells, buckets are shuffled once for both sides, and no text is joined to a pair."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(120)]
+    rows = [(f"a{i:02d}", "train" if i % 2 else "test", i, " ".join(words[:i] + ["zz" + "klmnopqrst"[i % 10] * 3] + words[i:]), None, None) for i in range(24)] + [("c", "test", 99, " ".join(words[:60]), None, None)]
+    df = spark.createDataFrame(rows, "id string, split string, ord long, text string, family string, entities string")
+    sets = {r.id: set(r.g) for r in df.select("id", X.shingles(X.normalize_text(F.col("text"))).alias("g")).collect()}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.85}
+    assert len(want) == 276
+    for cell in (1 << 20, 1500):
+        monkeypatch.setattr(L, "CELL", cell)
+        found = L.near_duplicates(df)
+        assert {(r.left_id, r.right_id): r.similarity for r in found.collect()} == pytest.approx(want)
+    plan = found._jdf.queryExecution().toString()
+    assert "ReusedExchange" in plan and "x.norm" not in plan
+    cells = L._cells(spark.range(1, 24).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")), spark.range(24).select(F.col("id").alias("rid"), F.lit(500).alias("n")))
+    assert cells.count() == 23 and 1 < cells.select("cell").distinct().count() <= 23
