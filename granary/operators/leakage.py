@@ -25,8 +25,8 @@ THRESHOLD = 0.85
 SALTS = 16
 #: Min-hash rows of 16 bands of 4.
 BANDS, ROWS = 16, 4
-#: Signatures that a task remembers; grams of a block of texts that are compared together.
-SIGNED, CELL = 20_000, 1 << 20
+#: Signatures that a task remembers; grams, and texts, of a block whose texts are compared together.
+SIGNED, CELL, MEMBERS = 20_000, 1 << 20, 256
 
 
 def star(rows: DataFrame, key: Column, kind: str, similarity: float = 1.0) -> DataFrame:
@@ -178,12 +178,12 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = S
 
 
 def _cells(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """cell, a, b: pairs dealt out so that a cell has the pairs between two blocks of about CELL grams each, or within one. A block is of texts whose least neighbour is the same, as it is for near copies of one text; a group of
+    """cell, a, b: pairs dealt out so that a cell has the pairs between two blocks of about CELL grams and MEMBERS texts each at most, or within one. A block is of texts whose least neighbour is the same, as it is for near copies of one text; a group of
     m blocks sends a text to m cells at most, where it has m times as many pairs."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rid"), F.col("b").alias("other")), F.struct(F.col("b").alias("rid"), F.col("a").alias("other")))).alias("e")).select("e.*")
     roots = ends.groupBy("rid").agg(F.min("other").alias("other")).select("rid", F.least("rid", "other").alias("root")).join(sizes, "rid")
-    parts = roots.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(CELL)).alias("parts"))
-    placed = roots.join(parts, "root").select("rid", F.xxhash64("root", F.pmod(F.xxhash64("rid"), F.greatest("parts", F.lit(1)))).alias("block"))
+    parts = roots.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CELL)), F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS))).alias("parts"))
+    placed = roots.join(parts, "root").select("rid", F.xxhash64("root", F.pmod(F.xxhash64("rid"), "parts")).alias("block"))
     side = lambda end: placed.select(F.col("rid").alias(end), F.col("block").alias(f"block_{end}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     return met.select(F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell"), "a", "b")

@@ -273,3 +273,5 @@ def test_near_duplicates_in_cells(spark, monkeypatch):
     assert "ReusedExchange" in plan and "x.norm" not in plan
     cells = L._cells(spark.range(1, 24).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")), spark.range(24).select(F.col("id").alias("rid"), F.lit(500).alias("n")))
     assert cells.count() == 23 and 1 < cells.select("cell").distinct().count() <= 23
+    many = L._cells(spark.range(1, 2000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")), spark.range(2000).select(F.col("id").alias("rid"), F.lit(0).alias("n")))
+    assert many.count() == 1999 and many.select("cell").distinct().count() == 8  # short texts are many, whatever their grams
